@@ -38,11 +38,12 @@ def host_of(url: Column) -> Column:
 
 def visible_lines(html: Column) -> Column:
     """The page's blocks, one a line; scripts, styles, comments and tags go."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    text = F.regexp_replace(text, r"\s+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
+    text = F.regexp_replace(html, r"(?s)<(?:!--.*?-->|([sS](?:[cC][rR][iI][pP][tT]|[tT][yY][lL][eE]))\b.*?</\1\s*>)", "")
+    text = F.regexp_replace(text, r"[\n\r\t]", " ")
+    text = F.regexp_replace(text, rf"<(?:/?(?i:{BLOCKS})\b[^>]*>)", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    return F.regexp_replace(F.regexp_replace(text, r" *\n\s*", "\n"), r"^\s+|\s+$", "")
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, " {2,}", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def drop_boilerplate(pages: DataFrame, key: str, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
