@@ -49,7 +49,7 @@ def visible_lines(html: Column) -> Column:
 def drop_boilerplate(pages: DataFrame, key: str, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """key, host, text without boilerplate lines, n_lines and n_dropped (non-blank lines) of every page."""
     rows = stash(pages.select(F.col(key), host.alias("host"), text.alias("text")).withColumn("row_", F.monotonically_increasing_id()), "pages")
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     hashed = rows.select("row_", "host", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("line"))
     of_host = rows.groupBy("host").agg(F.count("*").alias("n_pages"))
     n_hosts = of_host.count()

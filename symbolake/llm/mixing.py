@@ -118,11 +118,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     light = stash(docs.select("source", n_words(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("u")), "words")
     cuts = thresholds(light)
     few = cuts.count() <= FEW_SOURCES
-    rows = docs.withColumn("u", hash_of(F.col("doc_id"), F.col("text"))).withColumn("size_", n_words(F.col("text")))
+    # the document travels as one column, so that none of its names clashes
+    rows = docs.select(F.struct("*").alias("doc"), "source", hash_of(F.col("doc_id"), F.col("text")).alias("u"), n_words(F.col("text")).alias("size"))
     more = (F.col("u") < F.col("cut")) | ((F.col("u") == F.col("cut")) & F.col("at_cut"))
-    times = F.when(F.col("size_") > 0, F.col("whole") + more.cast("long")).otherwise(0).cast("int")
+    times = F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0).cast("int")
     joined = _with_source(rows, cuts.select("source", "whole", "cut", "at_cut"), few)
-    return joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), times))).select("doc.*")
 
 
 ORACLE = r"""

@@ -103,5 +103,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """The documents with all of their columns, and shard, slot and home_shard."""
     results = ("shard", "slot", "home_shard")
     kept = docs.drop(*(c for c in docs.columns if c.lower() in results))
-    slotted = kept.withColumn("ring_slot_", slot_of(F.col("doc_id"), F.col("text"))).withColumn("order_", F.xxhash64("text"))
-    return assign(slotted, "ring_slot_", ["doc_id", "order_"], shards).drop("ring_slot_", "order_")
+    # the document travels as one column, so that none of its names clashes
+    slotted = kept.select(F.struct("*").alias("doc"), slot_of(F.col("doc_id"), F.col("text")).alias("ring_slot"), F.xxhash64("doc_id", "text").alias("order"))
+    placed = assign(slotted, "ring_slot", ["order"], shards)
+    return placed.select("doc.*", *results)
