@@ -1,0 +1,157 @@
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from symbolake.functions import glob_regex
+from symbolake.operators import extract
+from symbolake.sources import tree
+
+
+def files(spark, texts):
+    rows = [(i, f, "." + f.rsplit(".", 1)[1], t.encode() if isinstance(t, str) else t) for i, (f, t) in enumerate(texts.items())]
+    return spark.createDataFrame(rows, "ord long, file string, ext string, content binary")
+
+
+PY = '''
+import os, a.b
+from .rel import x
+from . import y
+from pkg.mod import z
+
+class Outer:
+    """Doc.
+
+       indented
+    """
+    def m(self, p, /, q, *args, k=1, **kw):
+        def inner(): return self.helper(q)
+        return inner() + d["k"]() + f(1)()
+    class Nested:
+        async def go(self): await self.m(); self.m()
+
+@deco(1)
+def top(a=default()): top(); deco(2)
+
+print(top())
+'''
+
+
+def test_python_symbols(spark):
+    facts = extract.python_table(files(spark, {"a.py": PY, "b.py": "def bad(:", "c.py": b"\xff\xfe", "d.py": "", "e.py": "x = '\0'"}))
+    got = [(r.section, r.name, r.line, r.signature, r.docstring) for r in extract.symbols_of(facts).orderBy("ord").collect()]
+    assert got == [
+        ("python_classes", "Outer", 7, "class Outer", "Doc.\n\nindented"),
+        ("python_methods", "Outer.m", 12, "def Outer.m(q)", ""),
+        ("python_methods", "Outer.inner", 13, "def Outer.inner()", ""),
+        ("python_classes", "Nested", 15, "class Nested", ""),
+        ("python_methods", "Outer.Nested.go", 16, "def Outer.Nested.go(self)", ""),
+        ("python_functions", "top", 19, "def top(a)", ""),
+    ]
+
+
+def test_python_edges(spark):
+    facts = extract.python_table(files(spark, {"a.py": PY}))
+    assert sorted(r.module for r in extract.imports_of(facts).collect()) == [".rel", ".y", "a.b", "os", "pkg.mod"]
+    calls = {(r.caller, r.callee): r.line for r in extract.calls_of(facts).collect()}
+    assert calls == {
+        ("Outer.m", "inner"): 14, ("Outer.m", "f"): 14, ("Outer.inner", "helper"): 13, ("Outer.Nested.go", "m"): 16,
+        ("top", "default"): 19, ("top", "top"): 19, ("top", "deco"): 19, ("<module>", "print"): 21, ("<module>", "top"): 21,
+    }
+
+
+def test_first_visited_line_wins():
+    rows = extract.python_facts("@g()\ndef f():\n    g()\n")
+    assert [(r[2], r[3]) for r in rows if r[0] == "call"] == [("g", 3), ("g", 1)]
+
+
+def test_deep_source_is_no_error():
+    assert extract.python_facts("x = " + "(" * 5000 + ")" * 5000) == []
+
+
+JS = "export default async function main(a) {\nclass A {\n  export class B2 {\nfunction* gen() {}\nfunction *no() {}\nconst f = () => 1\n  function $x1 () {}\r\nfunction late() {}"
+
+
+@pytest.mark.parametrize("name, text, want", [
+    ("a.js", JS, [("generic_functions", "main", 1), ("generic_classes", "A", 2), ("generic_classes", "B2", 3), ("generic_functions", "gen", 4), ("generic_functions", "$x1", 7), ("generic_functions", "late", 8)]),
+    ("a.go", "func A() {}\n func B() {}\nfunc (r *T) C(x int) {\nfunc D[T any](x T) {}\ntype S struct {}", [("generic_functions", "A", 1), ("generic_functions", "C", 3)]),
+    ("a.rs", "fn a() {}\n  pub fn b<T>() {}\npub(crate) fn c() {}\nasync fn d() {}\npub struct E;\nenum F {}\nfn naïve() {}", [("generic_functions", "a", 1), ("generic_functions", "b", 2), ("generic_classes", "E", 5), ("generic_functions", "naïve", 7)]),
+    ("a.ts", "\tclass  K<T> {\u2028function q() {}", [("generic_classes", "K", 1), ("generic_functions", "q", 2)]),
+    ("a.tsx", b"\xff function x() {}", []),
+])
+def test_line_backend(spark, name, text, want):
+    got = extract.line_symbols(files(spark, {name: text})).orderBy("ord").collect()
+    assert [(r.section, r.name, r.line) for r in got] == want
+    assert all(r.docstring == "" and r.signature == r.signature.strip() for r in got)
+
+
+def test_each_language_is_named(spark):
+    got = extract.line_symbols(files(spark, {"m.go": "func Same() {}", "m.rs": "fn Same() {}", "m.js": "function Same() {}", "m.tsx": "function Same() {}"})).collect()
+    assert sorted((r.language, r.signature) for r in got) == [("go", "func Same() {}"), ("javascript", "function Same() {}"), ("rust", "fn Same() {}"), ("typescript", "function Same() {}")]
+
+
+def test_backends(monkeypatch):
+    monkeypatch.setattr(extract, "grammar", lambda ext: object() if ext == ".go" else None)
+    assert [extract.backend(e) for e in (".py", ".go", ".rs", ".txt")] == ["ast", "treesitter", "regex", None]
+    assert extract.backend(".go", "regex") == "regex" and extract.backend(".go", "treesitter") == "treesitter"
+    with pytest.raises(RuntimeError, match="tree-sitter-rust"):
+        extract.backend(".rs", "treesitter")
+    with pytest.raises(ValueError, match="auto, regex, treesitter"):
+        extract.backend(".py", "other")
+
+
+class Node:
+    """A small stand-in for a syntax-tree node."""
+
+    def __init__(self, kind, text="", row=0, children=(), **fields):
+        self.type, self.text, self.start_point, self.children, self.fields = kind, text.encode(), (row, 0), [*children], fields
+
+    def child_by_field_name(self, name):
+        return self.fields.get(name)
+
+
+def test_tree_walks():
+    name = lambda t, kind="identifier": Node(kind, t)
+    method = Node("method_definition", "go() {\n}", 2, [name("go", "property_identifier")])
+    arrow = Node("variable_declarator", "f = () => 1", 4, [name("f"), Node("arrow_function")])
+    root = Node("program", children=[Node("class_declaration", "class K {\n}", 1, [name("K"), Node("class_body", children=[method, arrow])]), Node("function_declaration", "function g() {", 7, [name("g"), arrow]), method])
+    assert extract.tree_symbols(root, "javascript") == [("generic_classes", "K", 2, "class K {"), ("generic_methods", "K.go", 3, "go() {"), ("generic_methods", "K.f", 5, "f = () => 1"), ("generic_functions", "g", 8, "function g() {"), ("generic_functions", "f", 5, "f = () => 1")]
+    receiver = Node("parameter_list", children=[Node("pointer_type", children=[name("W", "type_identifier")])])
+    spec = lambda n, kind: Node("type_spec", f"{n} {kind}", 9, name=name(n), type=Node(kind))
+    go = Node("source_file", children=[Node("method_declaration", "func (w *W) R() {", 1, name=name("R"), receiver=receiver), Node("type_declaration", "type A struct {", 3, [spec("A", "struct_type")]), Node("type_declaration", "type (", 8, [spec("B", "struct_type"), spec("C", "interface_type")])])
+    assert extract.tree_symbols(go, "go") == [("generic_functions", "W.R", 2, "func (w *W) R() {"), ("generic_classes", "A", 4, "type A struct {"), ("generic_classes", "B", 10, "B struct_type")]
+    fn = Node("function_item", "fn new() {", 3, name=name("new"))
+    rust = Node("source_file", children=[Node("enum_item", "enum E {", 1, name=name("E")), Node("impl_item", children=[Node("declaration_list", children=[fn])], type=Node("generic_type", children=[name("T", "type_identifier")])), fn])
+    assert extract.tree_symbols(rust, "rust") == [("generic_classes", "E", 2, "enum E {"), ("generic_functions", "T.new", 4, "fn new() {"), ("generic_functions", "new", 4, "fn new() {")]
+
+
+# ---- trees -------------------------------------------------------------------------------
+
+
+def plant(root, **texts):
+    for name, text in texts.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode())
+
+
+def test_tree(spark, tmp_path):
+    names = ["__init__.py", "a/b.py", "a-b.py", "a.py", "_priv/x.go", ".hid/y.rs", "node_modules/z.js", "sub/venv/w.py", "build.py", "n.txt", "up.PY", "gen/c_pb2.py", "c_pb2.py", "skip/k.ts"]
+    plant(tmp_path, **{n: f"# {n}" for n in names})
+    (tmp_path / tree.IGNORE_FILE).write_text("# note\n\n **/*_pb2.py \n")
+    got = tree.read_tree(spark, tmp_path, ["skip/*"]).orderBy("ord").collect()
+    assert [r.file for r in got] == [".hid/y.rs", "__init__.py", "_priv/x.go", "a/b.py", "a-b.py", "a.py", "build.py", "c_pb2.py"]
+    assert all(r.sha256 == hashlib.sha256(f"# {r.file}".encode()).hexdigest() for r in got)
+    assert tree.ignore_globs(tmp_path / "a", ["x"]) == ["x"]
+    df = spark.createDataFrame([(n,) for n in names], "file string")
+    kept = {r.file for r in df.where(~tree.skipped(F.col("file"), ["**/*_pb2.py", "skip/*"])).collect()}
+    assert kept == set(names) - {"node_modules/z.js", "sub/venv/w.py", "gen/c_pb2.py", "skip/k.ts"}
+
+
+def test_path_order_and_globs(spark):
+    rnd = random.Random(1)
+    paths = list({"/".join(rnd.choice(["a", "a-b", "b", "_", "B"]) for _ in range(rnd.randint(1, 4))) for _ in range(60)})
+    got = [r.p for r in spark.createDataFrame([(p,) for p in paths], "p string").orderBy(tree.path_order(F.col("p"))).collect()]
+    assert got == sorted(paths, key=lambda p: p.split("/"))
+    assert spark.createDataFrame([("a/b.c",), ("ab.c\n",)], "p string").where(F.col("p").rlike(glob_regex("a*.[cd]"))).count() == 1

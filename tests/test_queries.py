@@ -1,0 +1,44 @@
+"""Every registered query that has SQL gives the SQL's rows; every other one runs."""
+
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+def plain(v):
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return None
+    return round(float(v), 6) if isinstance(v, float) else v
+
+
+def table(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_equals_sql(spark, con, name):
+    df = entry.queries()[name](spark, SF)
+    got = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in got.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table(columns, got.fetchall())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
