@@ -38,15 +38,36 @@ def _matrix(column, dim: int | None = None) -> np.ndarray:
 
 
 def centroid(vectors: DataFrame, column: str = "vector") -> list[float]:
-    """Mean of the non-empty vectors, not normalised; [] without any. Vectors of unequal length are an error."""
+    """Mean of the non-empty vectors, not normalised; [] without any. Vectors of unequal length are an error.
+
+    Each task adds up its vectors; the driver receives one row for each element.
+    """
     some = vectors.where(F.size(F.coalesce(column, F.array().cast("array<double>"))) > 0)
-    sizes = some.agg(F.min(F.size(column)), F.max(F.size(column))).first()
-    if sizes[0] is None:
+
+    def part(batches):
+        n, total, low, high = 0, 0.0, None, 0
+        for batch in batches:
+            size = np.diff(batch.column(0).offsets.to_numpy())
+            if not len(size):
+                continue
+            low, high = int(size.min() if low is None else min(low, size.min())), int(max(high, size.max()))
+            if low == high:
+                n, total = n + len(size), total + _matrix(batch.column(0), high).sum(0)
+        if low is not None:
+            x = total if low == high else np.zeros(high)
+            yield pa.RecordBatch.from_pydict({
+                "i": pa.array(range(high), pa.int32()), "x": pa.array(x, pa.float64()), "n": pa.array([n] * high, pa.int64()),
+                "low": pa.array([low] * high, pa.int32()), "high": pa.array([high] * high, pa.int32()),
+            })
+
+    sums = some.select(F.col(column).cast("array<double>").alias("v")).mapInArrow(part, "i int, x double, n long, low int, high int")
+    rows = sums.groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("i").collect()
+    if not rows:
         return []
-    if sizes[0] != sizes[1]:
-        raise ValueError(f"vectors have between {sizes[0]} and {sizes[1]} elements")
-    means = some.select(*(F.avg(F.get(column, F.lit(i)).cast("double")) for i in range(sizes[0]))).first()
-    return [*means]
+    low, high = min(r["low"] for r in rows), max(r["high"] for r in rows)
+    if low != high:
+        raise ValueError(f"vectors have between {low} and {high} elements")
+    return [r["x"] / r["n"] for r in rows]
 
 
 def literal(vector: list[float]) -> Column:
