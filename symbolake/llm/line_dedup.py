@@ -72,3 +72,16 @@ def drop_boilerplate(pages: DataFrame, key: str, host: Column, text: Column, rat
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.filter(lines, lambda x: F.array_contains(drop, F.xxhash64(x)))).cast("long").alias("n_dropped"),
     )
+
+
+ORACLE = r"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host,
+   regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '[\n\r\t]', ' ', 'g'),
+   '(?i)</?(?:@BLOCKS@)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+l AS (SELECT r, page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, ' {2,}', ' ', 'g'))), lambda x: x <> '') AS l FROM p),
+n AS (SELECT host, count(*) AS n FROM p GROUP BY host),
+d AS (SELECT host, x, count(*) AS k FROM (SELECT host, unnest(list_distinct(l)) AS x FROM l) GROUP BY ALL),
+o AS (SELECT d.host, list(x) AS drops FROM d JOIN n ON d.host IS NOT DISTINCT FROM n.host WHERE k >= 3 AND k > 0.05 * n GROUP BY d.host),
+f AS (SELECT page_id, l.host, l, list_filter(l, lambda x: NOT list_contains(coalesce(drops, []), x)) AS kept FROM l LEFT JOIN o ON l.host IS NOT DISTINCT FROM o.host)
+SELECT page_id, host, array_to_string(kept, chr(10)) AS text, len(l)::BIGINT AS n_lines, (len(l) - len(kept))::BIGINT AS n_dropped FROM f
+""".replace("@BLOCKS@", BLOCKS)

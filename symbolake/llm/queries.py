@@ -82,8 +82,11 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other)
 """
 
 ORACLES = {
+    "op2_html_extraction": html_extract.TEMPLATE_SQL,
+    "op3_site_line_dedup": line_dedup.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op9_ngram_jaccard_join": JACCARD_SQL,
+    "op10_chat_format": chat_format.ORACLE,
 }
 
