@@ -11,7 +11,9 @@ BUDGET; a longer turn has a window of its own, uncut. Each later window begins
 with the system turn (if the first turn is one) and with as many whole turns of
 history as fit in HISTORY tokens. The loss mask covers texts of assistant turns
 that are new in their window, so every target counts once; repeated turns are
-context.
+context. Of a whole conversation only token counts are gathered in one place;
+texts meet their windows by (conversation, turn), so that a conversation of very
+many turns is spread over tasks and its texts are not copied to each window.
 
 A window is one row: conv_id, window, text, n_context (turns that are repeats)
 and loss, an array of (start, chars) spans of code points in text. ``read_back``
@@ -25,7 +27,7 @@ table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolake.llm.base import let, n_words, stash
@@ -52,35 +54,45 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\\\x00"), F.lit("\\")))
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, text, n_context, loss: the formatted windows of every conversation."""
+def numbered(conversations: DataFrame) -> DataFrame:
+    """Every turn with its place in the conversation and the tokens before it, framed, in the shared folder."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
-    framed = F.concat(F.lit(START), escape_role(role), F.lit("\n"), escape(text), F.lit(END), F.lit("\n"))
-    head = F.length(F.lit(START)) + F.length(escape_role(role)) + 1
-    turn = F.struct(
-        F.col("turn"), role.alias("role"), text.alias("raw"), framed.alias("text"),
-        (n_words(F.col("text")) + FRAME).cast("int").alias("tokens"), F.length(framed).alias("chars"),
-        head.alias("head"), F.length(escape(text)).alias("body"),
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (n_words(text) + FRAME).alias("tokens"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    up = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
+    body = escape(F.col("text"))
+    rows = rows.select(
+        "conv_id", (F.row_number().over(order) - 1).alias("i"), "role", "tokens", (F.sum("tokens").over(up) - F.col("tokens")).alias("before"),
+        F.concat(head, body, F.lit(END), F.lit("\n")).alias("text"), F.length(head).alias("head"), F.length(body).alias("body"),
     )
-    grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    grouped = grouped.withColumn("turns", F.transform("turns", lambda t: t.dropFields("raw", "turn")))
-
-    # running sums of tokens: sums[i] is what stands before turn i
-    zero = F.array(F.lit(0))
-    sums = F.aggregate("turns", zero, lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["tokens"])))
-    grouped = grouped.withColumn("sums", sums).withColumn("n", F.size("turns"))
-    # a window ends before the first turn whose running sum exceeds the budget counted from the window's start
-    cut = lambda a, i: F.when(F.get("sums", i + 1) - F.get("sums", F.element_at(a, -1)) > budget, F.concat(a, F.array(i))).otherwise(a)
-    starts = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), zero, lambda a, i: F.when(i == 0, a).otherwise(cut(a, i)))
-    grouped = grouped.withColumn("starts", starts)
-    spans = F.transform("starts", lambda s, k: F.struct(s.alias("first"), F.coalesce(F.get("starts", k + 1), F.col("n")).alias("end"), k.alias("window")))
-    span = grouped.select("conv_id", "turns", "sums", F.explode(spans).alias("s")).select("conv_id", "turns", "sums", "s.*")
-    system = (F.get("turns", F.lit(0))["role"] == "system") & (F.col("first") > 0)
-    least = F.when(system, 1).otherwise(0)
-    back = F.size(F.filter(F.sequence(F.lit(0), F.col("first")), lambda i: (i >= least) & (i < F.col("first")) & (F.get("sums", F.col("first")) - F.get("sums", i) <= history)))
-    span = span.withColumn("system", F.when(system, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))).withColumn("back", back)
-    context = F.concat("system", F.slice("turns", F.col("first") - F.col("back") + 1, F.col("back")))
-    span = span.withColumn("n_context", F.size("system") + F.col("back")).withColumn("all", F.concat(context, F.slice("turns", F.col("first") + 1, F.col("end") - F.col("first"))))
+    return stash(rows.withColumn("chars", F.length("text")), "turns")
+
+
+def spans(turns: DataFrame, budget: int) -> DataFrame:
+    """conv_id, window, first, end, start (tokens before it) of every window; only token counts are gathered."""
+    counts = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "before", "tokens"))).alias("t"))
+    zero = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).cast("long").alias("start")))
+    # a window ends before the first turn that would take it over the budget
+    over = lambda a, t: (t["i"] > 0) & (t["before"] + t["tokens"] - F.element_at(a, -1)["start"] > budget)
+    cut = lambda a, t: F.when(over(a, t), F.concat(a, F.array(F.struct(t["i"].alias("first"), t["before"].alias("start"))))).otherwise(a)
+    starts = counts.select("conv_id", F.size("t").alias("n"), F.aggregate("t", zero, cut).alias("s"))
+    every = F.transform("s", lambda s, k: F.struct(k.alias("window"), s["first"].alias("first"), F.coalesce(F.get("s", k + 1)["first"], F.col("n")).alias("end"), s["start"].alias("start")))
+    return starts.select("conv_id", F.explode(every).alias("s")).select("conv_id", "s.*")
+
+
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """conv_id, window, text, n_context, loss: the formatted windows of every conversation."""
+    turns = numbered(conversations)
+    span = spans(turns, budget).withColumnRenamed("conv_id", "conv")
+    # a turn has FRAME tokens or more, so history reaches back a bounded number of turns
+    near = F.sequence(F.greatest(F.col("first") - history // FRAME, F.lit(0)), F.col("end") - 1)
+    place = span.select("*", F.explode(F.array_union(F.array(F.lit(0)), near)).alias("at"))
+    rows = turns.join(place, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("i") == F.col("at")))
+    context = (F.col("start") - F.col("before") <= history) | ((F.col("i") == 0) & (F.col("role") == "system"))
+    rows = rows.where((F.col("i") >= F.col("first")) | context)
+    turn = F.struct("i", "role", "text", "chars", "head", "body")
+    grouped = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(turn)).alias("all"), F.sum((F.col("i") < F.col("first")).cast("int")).cast("int").alias("n_context"))
 
     def mask(all_):
         start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<start:int,chars:int>>").alias("loss"))
@@ -89,7 +101,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         step = lambda a, t: F.struct((a["at"] + t["chars"]).alias("at"), (a["k"] + 1).alias("k"), F.when(new(a, t), F.concat(a["loss"], here(a, t))).otherwise(a["loss"]).alias("loss"))
         return F.aggregate(all_, start, step, lambda a: a["loss"])
 
-    return span.select("conv_id", "window", F.array_join(F.transform("all", lambda t: t["text"]), "").alias("text"), "n_context", mask(F.col("all")).alias("loss"))
+    return grouped.select("conv_id", "window", F.array_join(F.transform("all", lambda t: t["text"]), "").alias("text"), "n_context", mask(F.col("all")).alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

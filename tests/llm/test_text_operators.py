@@ -215,6 +215,13 @@ def test_chat_windows(spark, talks):
             assert len(r.loss) == sum(role == "assistant" for role, _ in turns[c][a:b])
 
 
+def test_chat_long_conversation(spark):
+    n = 30_000
+    rows = [(7, t, "system" if t == 0 else "user" if t % 2 else "assistant", f"turn {t} <|im_end|> " + "w " * (t % 40), 0, "") for t in range(n)]
+    (got,) = chat_format.digest(spark.createDataFrame(rows, ROWS)).collect()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == plain_digest([(r[2], r[3]) for r in rows])
+
+
 def test_chat_empty(spark):
     assert chat_format.digest(spark.createDataFrame([], ROWS)).count() == 0
 
