@@ -12,7 +12,7 @@ with the system turn (if the first turn is one) and with as many whole turns of
 history as fit in HISTORY tokens. The loss mask covers texts of assistant turns
 that are new in their window, so every target counts once; repeated turns are
 context. Of a whole conversation only token counts are gathered in one place;
-texts meet their windows by (conversation, turn), so that a conversation of very
+texts meet their windows by the number of their row, so that a conversation of very
 many turns is spread over tasks and its texts are not copied to each window.
 
 A window is one row: conv_id, window, text, n_context (turns that are repeats)
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolake.llm.base import let, n_words, stash
+from symbolake.llm.base import let, lookup, n_words, stash
 
 BUDGET, HISTORY, FRAME = 400, 100, 4
 START, END = "<|im_start|>", "<|im_end|>"
@@ -54,24 +54,26 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\\\x00"), F.lit("\\")))
 
 
-def numbered(conversations: DataFrame) -> DataFrame:
-    """Every turn with its place in the conversation and the tokens before it, framed, in the shared folder."""
+def numbered(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns with a row number, and for each row its place in the conversation and the tokens before it.
+
+    Texts are written once; they move for the order only where turn and role are equal.
+    """
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (n_words(text) + FRAME).alias("tokens"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("same", F.xxhash64("conv_id", "turn", "role")), "turns")
+    ties = stash(rows.groupBy("same").count().where("count > 1").select("same"), "ties")
+    tied = lookup(rows.select("row", "same", "text"), ties, ["same"], "left_semi", ties.count()).select("row", F.col("text").alias("tie"))
+    light = rows.select("row", "conv_id", "turn", "role", "tokens").join(tied, "row", "left")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "tie", "row")
     up = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    body = escape(F.col("text"))
-    rows = rows.select(
-        "conv_id", (F.row_number().over(order) - 1).alias("i"), "role", "tokens", (F.sum("tokens").over(up) - F.col("tokens")).alias("before"),
-        F.concat(head, body, F.lit(END), F.lit("\n")).alias("text"), F.length(head).alias("head"), F.length(body).alias("body"),
-    )
-    return stash(rows.withColumn("chars", F.length("text")), "turns")
+    places = light.select("row", "conv_id", (F.row_number().over(order) - 1).alias("i"), (F.col("role") == "system").alias("system"), "tokens", (F.sum("tokens").over(up) - F.col("tokens")).alias("before"))
+    return rows.select("row", "role", "text"), stash(places, "places")
 
 
-def spans(turns: DataFrame, budget: int) -> DataFrame:
+def spans(places: DataFrame, budget: int) -> DataFrame:
     """conv_id, window, first, end, start (tokens before it) of every window; only token counts are gathered."""
-    counts = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "before", "tokens"))).alias("t"))
+    counts = places.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "before", "tokens"))).alias("t"))
     zero = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).cast("long").alias("start")))
     # a window ends before the first turn that would take it over the budget
     over = lambda a, t: (t["i"] > 0) & (t["before"] + t["tokens"] - F.element_at(a, -1)["start"] > budget)
@@ -83,16 +85,19 @@ def spans(turns: DataFrame, budget: int) -> DataFrame:
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, text, n_context, loss: the formatted windows of every conversation."""
-    turns = numbered(conversations)
-    span = spans(turns, budget).withColumnRenamed("conv_id", "conv")
+    turns, places = numbered(conversations)
+    span = spans(places, budget).withColumnRenamed("conv_id", "conv")
     # a turn has FRAME tokens or more, so history reaches back a bounded number of turns
     near = F.sequence(F.greatest(F.col("first") - history // FRAME, F.lit(0)), F.col("end") - 1)
-    place = span.select("*", F.explode(F.array_union(F.array(F.lit(0)), near)).alias("at"))
-    rows = turns.join(place, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("i") == F.col("at")))
-    context = (F.col("start") - F.col("before") <= history) | ((F.col("i") == 0) & (F.col("role") == "system"))
-    rows = rows.where((F.col("i") >= F.col("first")) | context)
-    turn = F.struct("i", "role", "text", "chars", "head", "body")
-    grouped = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(turn)).alias("all"), F.sum((F.col("i") < F.col("first")).cast("int")).cast("int").alias("n_context"))
+    wanted = span.select("*", F.explode(F.array_union(F.array(F.lit(0)), near)).alias("at"))
+    member = places.join(wanted, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("i") == F.col("at")))
+    context = (F.col("start") - F.col("before") <= history) | ((F.col("i") == 0) & F.col("system"))
+    member = stash(member.where((F.col("i") >= F.col("first")) | context).select("row", "conv_id", "window", "i", (F.col("i") < F.col("first")).alias("old")), "members")
+    rows = lookup(turns, member, ["row"], "inner", member.count())
+    head, body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), escape(F.col("text"))
+    framed = F.concat(head, body, F.lit(END), F.lit("\n"))
+    turn = F.struct("i", "role", framed.alias("text"), F.length(framed).alias("chars"), F.length(head).alias("head"), F.length(body).alias("body"))
+    grouped = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(turn)).alias("all"), F.sum(F.col("old").cast("int")).cast("int").alias("n_context"))
 
     def mask(all_):
         start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<start:int,chars:int>>").alias("loss"))
