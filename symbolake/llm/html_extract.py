@@ -46,6 +46,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|widget|pager|pagination|skip-?link|toolbar|login|search-?(?:form|box))(?:$|[\s_-])",
     re.I,
 )
+#: Class names that say what a container has, not what it is: "with-sidebar".
+HAS = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-][\w-]+", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: What an opening tag closes when it is open within the same parent.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -73,7 +75,7 @@ def _unwanted(name: str, attributes: str, inside_article: bool) -> bool:
             return True
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and NAMES.search(value):
+        if key in ("class", "id") and NAMES.search(HAS.sub("", value)):
             return True
     return False
 

@@ -215,6 +215,13 @@ def test_chat_windows(spark, talks):
             assert len(r.loss) == sum(role == "assistant" for role, _ in turns[c][a:b])
 
 
+def test_html_container_named_for_its_parts():
+    body = "<p>" + "A sentence, with commas, of the article. " * 6 + "</p>"
+    page = f'<body><div class="layout has-sidebar no-ads"><div class="text">{body}</div><div class="sidebar"><p>Aside, aside, aside.</p></div></div></body>'
+    got = html_extract.main_text(page)
+    assert got.startswith("A sentence") and "Aside" not in got
+
+
 def test_chat_long_conversation(spark):
     n = 30_000
     rows = [(7, t, "system" if t == 0 else "user" if t % 2 else "assistant", f"turn {t} <|im_end|> " + "w " * (t % 40), 0, "") for t in range(n)]
