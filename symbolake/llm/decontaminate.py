@@ -1,24 +1,21 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit check.
+"""Benchmark decontamination: pieces by the pigeonhole principle, exact edit check.
 
 Texts and items are sequences of words (runs of letters and digits, whatever
 their case). An item of n words leaks into a text when some window of the text
 is within ``floor(EDITS * n)`` word edits (insert, delete, replace) of it.
 
-* The CGK walk reads a sequence with a pointer that stays or moves on by a coin
-  of (step, word), the same coins for texts and items. Few edits between two
-  sequences leave few differing steps, so edit distance becomes Hamming
-  distance of the words that are read.
-* A repetition samples a few steps of the walk; a window starting at any word
-  and an item are candidates when all sampled words agree. The walk of a window
-  ends as soon as the words read so far agree with no item. Items are dealt to
-  classes of like length, and samples lie within the item-sized window.
-* Candidates are checked by the edit distance itself, so what is returned is
-  exact; the repetitions set the recall (tests measure it at the largest
-  distance allowed).
-
-A window that has too many words which no item has cannot match; such windows
-are not walked. Items go to the executors in blocks of at most BLOCK_WORDS
-words, so what is broadcast is bounded whatever the size of the benchmark.
+* An item that allows k edits is cut into k + 1 adjacent pieces. An edit touches
+  one piece at most, so a window within k edits has some piece word for word, at
+  most k words from its place. Where the first GRAM words of a piece stand in a
+  text are therefore all the places to look at, whatever the item's length.
+* Of those, only places are kept around which n + k words have n - k words of
+  the item, which k edits can not go below either.
+* Around those the edit distance of every start is computed, so what is returned
+  is exact and whole: every leak, with its least distance, of equal ones the
+  first start, and of equal ones the shortest window.
+
+Items go to the executors in blocks of at most BLOCK_WORDS words, so what is
+broadcast is bounded whatever the size of the benchmark.
 
 Edge cases: null or empty texts and items have no words and never match. Items
 under MIN_WORDS words are left out, as chance repeats them. Equal items match
@@ -39,64 +36,43 @@ from symbolake.llm.textkernel import LOOSE, buffers, chunks, word_hashes
 
 EDITS = 0.2
 MIN_WORDS = 8
-REPEATS = 16
-SAMPLES = 3
+#: Words of a piece that are looked up.
+GRAM = 4
 BLOCK_WORDS = 500_000
-#: Items whose lengths differ by less than this factor share a class.
-CLASS_RATIO = 1.25
+#: Numbers that one numpy array of the edit check may hold.
+HELD = 1 << 20
 
 FOUND = "doc_id long, item_id long, start_word int, end_word int, distance int"
 
 
 class Block:
-    """Some items, their embeddings and sampled keys."""
+    """Some items and where the beginnings of their pieces stand in them."""
 
-    def __init__(self, ids: list[int], sequences: list[np.ndarray], repeats: int, samples: int, edits: float):
+    def __init__(self, ids: list[int], sequences: list[np.ndarray], edits: float):
         vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *sequences]))
         self.vocabulary, self.ids = vocabulary, np.array(ids, np.int64)
         self.items = [np.searchsorted(vocabulary, s).astype(np.int32) + 1 for s in sequences]
+        self.sizes = np.array([len(s) for s in sequences], np.int64)
         self.allowed = np.array([int(edits * len(s)) for s in sequences], np.int64)
-        self.longest = max((len(s) + int(k) for s, k in zip(sequences, self.allowed, strict=True)), default=0)
+        self.longest = int((self.sizes + self.allowed).max(initial=0))
         # which low bits of word hashes occur: most words of a text end here
         self.low = np.zeros(1 << 18, bool)
         self.low[(vocabulary & np.uint64(2**18 - 1)).astype(np.int64)] = True
-        rng = np.random.Generator(np.random.PCG64(len(vocabulary)))
-        self.classes = []
-        size = MIN_WORDS
-        while size <= max(map(len, sequences), default=0):
-            top = max(int(size * CLASS_RATIO), size + 1)
-            members = [i for i, s in enumerate(sequences) if size <= len(s) < top]
-            if members:
-                self.classes.append(self._class(members, repeats, samples, rng))
-            size = top
-
-    def _class(self, members: list[int], repeats: int, samples: int, rng) -> dict:
-        low = min(len(self.items[i]) for i in members)
-        edits = int(max(self.allowed[i] for i in members))
-        steps = max(int(1.6 * low), samples)
-        padded = np.zeros((len(members), steps + 1), np.int32)
-        for row, i in enumerate(members):
-            own = self.items[i][: steps + 1]
-            padded[row, : len(own)] = own
-        tables = []
-        for _ in range(repeats):
-            coins = rng.integers(0, 2**63, (-(-steps // 62), len(self.vocabulary) + 1), dtype=np.int64)
-            # the first sample lies early: most windows end there
-            early = int(rng.integers(0, max(1, steps // 5)))
-            later = early + 1 + rng.choice(steps - early - 1, samples - 1, replace=False)
-            at = np.sort(np.append(later, early))
-            place = np.zeros(len(members), np.int64)
-            key, keys = np.zeros(len(members), np.uint64), []
-            for j in range(int(at[-1]) + 1):
-                word = padded[np.arange(len(members)), place]
-                if j in at:
-                    key = join_key(key, word)
-                    keys.append(key)
-                place = place + ((coins[j // 62, word] >> (j % 62)) & 1)
-            # a flag for each word is the quickest test of the first sample
-            flag = np.isin(join_key(np.zeros(1, np.uint64), np.arange(len(self.vocabulary) + 1)), keys[0])
-            tables.append((coins, at, flag, [np.unique(k) for k in keys], keys[-1]))
-        return {"members": np.array(members), "low": low, "edits": edits, "tables": tables}
+        grams: dict[int, list] = {}
+        for i, (item, k) in enumerate(zip(self.items, self.allowed.tolist(), strict=True)):
+            cuts = np.arange(k + 2) * len(item) // (k + 1)
+            for at, size in zip(cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True):
+                grams.setdefault(min(size, GRAM), []).append((i, at))
+        self.tables = []
+        for size, found in grams.items():
+            which, at = np.array(found, np.int64).T
+            keys = np.zeros(len(which), np.uint64)
+            for j in range(size):
+                keys = join_key(keys, np.array([self.items[i][a + j] for i, a in found]))
+            order = np.argsort(keys, kind="stable")
+            flag = np.zeros(1 << 20, bool)
+            flag[(keys >> np.uint64(44)).astype(np.int64)] = True
+            self.tables.append((size, flag, keys[order], which[order], at[order]))
 
 
 def join_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -114,43 +90,64 @@ def numbers(block: Block, hashes: np.ndarray) -> np.ndarray:
 
 
 def candidates(block: Block, words: np.ndarray):
-    """Yield (starts, item index) that agree in all samples of some repetition."""
+    """Yield (item index, place) where a piece puts the item's beginning."""
     known = np.concatenate([[0], np.cumsum(words > 0)])
-    last = len(words) - block.longest
-    for c in block.classes:
-        width = c["low"] - c["edits"]
-        begin = np.flatnonzero(known[width : width + last] - known[:last] >= width - c["edits"])
-        if not len(begin):
-            continue
-        pairs = []
-        for coins, at, flag, keys, final in c["tables"]:
-            start, place = begin, begin
-            key, done = None, 0
-            for j in range(int(at[-1]) + 1):
-                word = words[place]
-                if j == at[done]:
-                    if done == 0:
-                        hit = np.flatnonzero(flag[word])
-                        key = join_key(np.zeros(1, np.uint64), word[hit])
-                    else:
-                        key = join_key(key, word)
-                        hit = np.minimum(np.searchsorted(keys[done], key), len(keys[done]) - 1)
-                        hit = np.flatnonzero(keys[done][hit] == key)
-                        key = key[hit]
-                    start, place, word = start[hit], place[hit], word[hit]
-                    done += 1
-                    if not len(start):
-                        break
-                place = place + ((coins[j // 62, word] >> (j % 62)) & 1)
-            if len(start):
-                order = np.argsort(final, kind="stable")
-                final = final[order]
-                a, b = np.searchsorted(final, key, "left"), np.searchsorted(final, key, "right")
-                n = b - a
-                which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-                pairs.append(np.column_stack([np.repeat(start, n), c["members"][order[which]]]))
-        if pairs:
-            yield np.unique(np.concatenate(pairs), axis=0)
+    for size, flag, keys, which, at in block.tables:
+        start = np.flatnonzero(known[size:] - known[:-size] == size)
+        key = np.zeros(len(start), np.uint64)
+        for j in range(size):
+            key = join_key(key, words[start + j])
+        may = np.flatnonzero(flag[(key >> np.uint64(44)).astype(np.int64)])
+        start, key = start[may], key[may]
+        a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        may = np.flatnonzero(b > a)
+        start, a, n = start[may], a[may], (b - a)[may]
+        total = np.cumsum(n)
+        lo = 0
+        while lo < len(start):
+            before = total[lo] - n[lo]
+            hi = max(int(np.searchsorted(total, before + HELD, "right")), lo + 1)
+            some = n[lo:hi]
+            entry = np.arange(some.sum()) + np.repeat(a[lo:hi] - (np.cumsum(some) - some), some)
+            item = which[entry]
+            place = np.repeat(start[lo:hi], some) - at[entry]
+            k = block.allowed[item]
+            # the item's words that are left are within k words of their places
+            first, last = np.maximum(place - k, 0), np.minimum(place + block.sizes[item] + k, len(words))
+            keep = known[last] - known[first] >= block.sizes[item] - k
+            yield item[keep], place[keep]
+            lo = hi
+
+
+def start_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Least edits between one item and what begins at each word of each row of ``text`` (and at its end)."""
+    across = np.arange(text.shape[1] + 1, dtype=np.int32)
+    text = text[:, ::-1]
+    row = np.zeros((len(text), len(across)), np.int32)
+    for i, word in enumerate(item[::-1]):
+        step = row + 1
+        np.minimum(step[:, 1:], row[:, :-1] + (text != word), out=step[:, 1:])
+        step[:, 0] = i + 1
+        row = np.minimum.accumulate(step - across, axis=1) + across
+    return row[:, ::-1]
+
+
+def near_starts(block: Block, item: int, places: np.ndarray, words: np.ndarray, member: np.ndarray):
+    """Yield (starts, distances) of what is within the item's edits and begins at most so many words from a place."""
+    own, k = block.items[item], int(block.allowed[item])
+    # places near each other are looked at together; windows begin in the first ``span`` words of a row
+    step = max(len(own) // 2, 4)
+    span, reach = step + 2 * k, len(own) + k
+    first = np.unique(places // step) * step - k
+    for some in np.array_split(first, -(-len(first) * (span + reach) // HELD)):
+        text = words[np.clip(some[:, None] + np.arange(span + reach), 0, len(words) - 1)]
+        have = np.cumsum(np.pad(member[text], ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+        may = have[:, reach : reach + span] - have[:, :span] >= len(own) - k
+        rows = np.flatnonzero(may.any(axis=1))
+        if len(rows):
+            distance = start_distances(own, text[rows])[:, :span]
+            row, at = np.nonzero(distance <= k)
+            yield some[rows[row]] + at, distance[row, at]
 
 
 def edit_distances(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,33 +168,43 @@ def leaks(block: Block, array: pa.Array):
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
     if not block.longest:
         return out
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    member = np.zeros(len(block.vocabulary) + 1, bool)
     raw, offsets = buffers(array)
     for lo, hi in chunks(offsets):
         part = offsets[lo : hi + 1]
         hashes, first = word_hashes(raw[part[0] : part[-1]], part - part[0], LOOSE)
-        # between texts lie words that no item has, so that no window crosses
+        # around texts lie words that no item has, so that no window crosses
         gap = block.longest + 1
-        at = np.arange(len(hashes)) + np.repeat(np.arange(hi - lo) * gap, np.diff(first))
-        words = np.zeros(len(hashes) + (hi - lo) * gap + gap, np.int32)
-        words[at] = numbers(block, hashes)
-        begins = first[:-1] + np.arange(hi - lo) * gap
-        for pairs in candidates(block, words):
-            for item in np.unique(pairs[:, 1]):
-                start = pairs[pairs[:, 1] == item, 0]
-                own = block.items[item]
-                reach = len(own) + int(block.allowed[item])
-                for some in np.array_split(start, max(1, len(start) // 4096)):
-                    distance, size = edit_distances(own, words[some[:, None] + np.arange(reach)])
-                    for k in np.flatnonzero(distance <= block.allowed[item]):
-                        text = int(np.searchsorted(begins, some[k], "right")) - 1
-                        place = int(some[k] - begins[text])
-                        found = (int(distance[k]), place, place + int(size[k]))
-                        name = (lo + text, int(block.ids[item]))
-                        out[name] = min(out.get(name, found), found)
+        begins = first[:-1] + np.arange(1, hi - lo + 1) * gap
+        ends = begins + np.diff(first)
+        words = np.zeros(len(hashes) + (hi - lo + 1) * gap, np.int32)
+        words[np.arange(len(hashes)) + np.repeat(begins - first[:-1], np.diff(first))] = numbers(block, hashes)
+        for items, places in candidates(block, words):
+            order = np.argsort(items, kind="stable")
+            cuts = np.flatnonzero(np.diff(items[order])) + 1
+            for part in np.split(order, cuts) if len(order) else ():
+                item = int(items[part[0]])
+                member[block.items[item]] = True
+                for start, distance in near_starts(block, item, places[part], words, member):
+                    text = np.searchsorted(begins, start, "right") - 1
+                    inside = (text >= 0) & (start < ends[text])
+                    for t, s, d in zip(text[inside].tolist(), start[inside].tolist(), distance[inside].tolist(), strict=True):
+                        name, found = (lo + t, item), (d, s)
+                        best[name] = min(best.get(name, found), found)
+                member[block.items[item]] = False
+        for (text, item), (distance, start) in best.items():
+            own = block.items[item]
+            _, size = edit_distances(own, words[None, start : start + len(own) + int(block.allowed[item])])
+            place = int(start - begins[text - lo])
+            found = (distance, place, place + int(size[0]))
+            name = (text, int(block.ids[item]))
+            out[name] = min(out.get(name, found), found)
+        best.clear()
     return out
 
 
-def blocks(items: DataFrame, repeats: int = REPEATS, samples: int = SAMPLES, edits: float = EDITS) -> list[Block]:
+def blocks(items: DataFrame, edits: float = EDITS) -> list[Block]:
     """The benchmark (item_id, text) as blocks of bounded size."""
     done, ids, sequences, size = [], [], [], 0
     rows = items.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text")
@@ -209,9 +216,9 @@ def blocks(items: DataFrame, repeats: int = REPEATS, samples: int = SAMPLES, edi
         sequences.append(words)
         size += len(words)
         if size >= BLOCK_WORDS:
-            done.append(Block(ids, sequences, repeats, samples, edits))
+            done.append(Block(ids, sequences, edits))
             ids, sequences, size = [], [], 0
-    return [*done, Block(ids, sequences, repeats, samples, edits)] if ids else done
+    return [*done, Block(ids, sequences, edits)] if ids else done
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

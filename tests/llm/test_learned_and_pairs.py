@@ -233,6 +233,50 @@ def test_blocks_of_items(spark, bench, monkeypatch):
     assert len(decontaminate.blocks(bench)) > 3 and got.where("distance = 0").select("doc_id").distinct().count() == len(texts)
 
 
+def plain_leaks(item, text, k):
+    """The least (distance, start, end) of all windows, if within k edits."""
+    best = min(((distance(item, text[s:e]), s, e) for s in range(len(text)) for e in range(s, min(len(text), s + len(item) + k) + 1)), default=(k + 1,))
+    return best if best[0] <= k else None
+
+
+def block_of(items, edits=None):
+    sequences = [word_hashes(*buffers(pa.array([" ".join(x)])), LOOSE)[0] for x in items]
+    return decontaminate.Block([*range(len(items))], sequences, decontaminate.EDITS if edits is None else edits)
+
+
+@pytest.mark.parametrize("held", [decontaminate.HELD, 64])
+def test_leaks_are_those_of_all_windows(monkeypatch, held):
+    """Best windows equal those of comparing every window, also among few words, at the ends of texts and in small slices."""
+    monkeypatch.setattr(decontaminate, "HELD", held)
+    rnd, found = random.Random(5), 0
+    for trial in range(12):
+        word = lambda v=(2, 5, 40)[trial % 3]: f"w{rnd.randint(0, v)}"
+        items = [[word() for _ in range(rnd.randint(8, 16))] for _ in range(4)]
+        texts = []
+        for _ in range(4):
+            w = [*rnd.choice(items)]
+            for _ in range(int(decontaminate.EDITS * len(w)) + rnd.randint(-1, 1)):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.randint(0, 1)] = [word()] * rnd.randint(0, 1)
+            texts.append([word() for _ in range(rnd.choice([0, 2, 12]))] + w + [word() for _ in range(rnd.choice([0, 2, 12]))])
+        got = decontaminate.leaks(block_of(items), pa.array([" ".join(t) for t in texts]))
+        plain = {(t, i): plain_leaks(item, text, int(decontaminate.EDITS * len(item))) for t, text in enumerate(texts) for i, item in enumerate(items)}
+        assert got == {k: v for k, v in plain.items() if v}
+        found += len(got)
+    assert found > 40
+
+
+@pytest.mark.parametrize("length", [8, 20, 40, 60, 100, 200, 400, 800])
+def test_recall_by_length(length):
+    """Copies with as many edits as an item allows are all found, however long it is."""
+    rnd = random.Random(length)
+    items = [[f"w{rnd.randint(0, 3000)}" for _ in range(length)] for _ in range(25)]
+    filler = lambda: [f"f{rnd.randint(0, 10**6)}" for _ in range(40)]
+    texts = [[*filler(), *edited(rnd, w, int(decontaminate.EDITS * length)), *filler()] for w in items]
+    got = decontaminate.leaks(block_of(items), pa.array([" ".join(t) for t in texts]))
+    assert {(i, i) for i in range(len(items))} <= set(got)
+
+
 def test_edit_distances_against_plain():
     rnd = random.Random(1)
     for _ in range(60):
