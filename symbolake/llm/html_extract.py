@@ -14,7 +14,8 @@ Inside a block, inline elements join without a break, character references are
 decoded and white space becomes one space. Blocks are joined by a newline.
 
 Broken markup is fine: elements that are never closed end with their parent, a
-block element ends an open paragraph, unknown end tags are ignored, a "<" that
+block element ends an open paragraph, body or what can not stand in a head ends an
+open head, unknown end tags are ignored, a "<" that
 begins no tag is text. The work is linear in the page and recursion-free.
 
 Edge cases: null, empty, blank or text-free pages give "". A page without any
@@ -49,6 +50,8 @@ NAMES = re.compile(
 #: Class names that say what a container has, not what it is: "with-sidebar".
 HAS = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-][\w-]+", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: What may stand in a head; anything else, and text, ends it.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: What an opening tag closes when it is open within the same parent.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIBLING = 0.2
@@ -91,6 +94,8 @@ class _Page:
         self.blocks: list[tuple[Node, str]] = []
 
     def text(self, value: str) -> None:
+        if self.open[-1].name == "head" and value.strip():
+            self.close(len(self.open) - 1)
         if self.open[-1].out:
             return
         if self.in_link:
@@ -150,6 +155,8 @@ def parse(source: str) -> _Page:
             elif name == "a" and page.in_link:
                 page.in_link -= 1
             continue
+        if page.open[-1].name == "head" and name not in IN_HEAD:
+            page.close(len(page.open) - 1)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             if not m.group().endswith("/>"):

@@ -44,6 +44,18 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<html><head><title>T</title><body><p>{PROSE}", PROSE), (f"<head><meta charset=utf-8><link rel=x><style>p{{}}</style><p>{PROSE}</p>", PROSE),
+        (f"<html><head><title>T</title>\n<b>Bold</b> {PROSE}", f"Bold {PROSE}"), (f"<head><script>1</script>{PROSE}", PROSE),
+        (f"<head><title>T</title><img src=x><article><p>{PROSE}</article>", PROSE), ("<html><head><title>T</title>\n</head><body></body></html>", ""),
+    ],
+)
+def test_head_without_end_tag(html, want):
+    assert main_text(html) == want
+
+
 def test_links_count_against_a_container():
     menu = "<div>" + "".join(f"<li><a href=x>{PROSE}</a></li>" for _ in range(9)) + "</div>"
     assert main_text(f"<body>{menu}<div><p>{PROSE}</p><p>{PROSE}</p></div></body>").count("A long") == 2
