@@ -8,7 +8,10 @@ it and on. Points are discounted by the container's link density. The best
 container is kept, with those of its siblings that score well or read as prose;
 so are blocks in page order. Parts that are never content (menus, headers,
 footers, sidebars, notices, adverts, forms, comments of readers, scripts, styles)
-are left out by element, role, class or id before scoring.
+are left out by element, role, class or id before scoring. A class or id only
+counts where it agrees with the text: a name within a longer token ("my-widget-x")
+takes out parts with little prose or many links, and a name that may mean content
+does not count where the parts that have it hold most of the page's prose.
 
 Inside a block, inline elements join without a break, character references are
 decoded and white space becomes one space. Blocks are joined by a newline.
@@ -26,6 +29,7 @@ rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import pyarrow as pa
@@ -43,10 +47,17 @@ LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OUT = {"nav", "aside", "footer", "form", "dialog", "menu", "button", "fieldset", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|widget|pager|pagination|skip-?link|toolbar|login|search-?(?:form|box))(?:$|[\s_-])",
-    re.I,
-)
+#: Names of parts that are never content, and of parts that may be.
+FIRM = r"ads?|advert[a-z0-9]*|adsense|nav|navbar|navigation|menu[a-z0-9]*|breadcrumbs?|sidebar[a-z0-9]*|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|newsletter|pager|pagination|skip-?link|login|search-?(?:form|box)"
+LOOSE = r"banner|promo[a-z0-9]*|sponsor[a-z0-9]*|notice|notification|popup|modal|overlay|subscribe|signup|share|sharing|social|related|recommend[a-z0-9]*|widget|toolbar"
+NAMES = re.compile(rf"(?:^|[\s_-])({FIRM}|{LOOSE})(?=$|[\s_-])", re.I)
+IS_FIRM = re.compile(FIRM, re.I)
+#: Words that may stand beside a name without changing what it says.
+LAYOUT = r"area|articles?|bar|block|body|bottom|box|buttons?|col|column|container|content|form|global|group|header|icons?|inner|items?|label|left|links?|list|main|media|mobile|outer|page|panel|posts?|primary|right|rail|row|secondary|section|site|slot|stories|text|thread|title|top|unit|wrap|wrapper|\d+"
+#: Atomic, so that no token takes more than one try.
+WHOLE = re.compile(rf"(?>(?:[_-]*(?>(?:{FIRM}|{LOOSE}|{LAYOUT})(?=[_-]|$)))+)[_-]*", re.I)
+#: Names of parts that stay out even where nothing else is left.
+NEVER = re.compile(r"ad|cookie|consent|gdpr|login", re.I)
 #: Class names that say what a container has, not what it is: "with-sidebar".
 HAS = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-][\w-]+", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -58,29 +69,51 @@ SIBLING = 0.2
 
 
 class Node:
-    __slots__ = ("name", "parent", "out", "blocks", "score", "chars", "links", "depth")
+    __slots__ = ("name", "parent", "out", "word", "kind", "named", "prose", "score", "chars", "links", "depth")
 
-    def __init__(self, name: str, parent: Node | None, out: bool):
+    def __init__(self, name: str, parent: Node | None, out: bool, word: str = "", kind: str = ""):
         self.name, self.parent, self.out = name, parent, out
+        #: What its class or id calls it, and how surely; ``named`` is the nearest such node from here up.
+        self.word, self.kind = word, kind
+        self.named = self if word else parent.named if parent else None
         self.score = 0.0
-        self.chars = self.links = 0
+        self.chars = self.links = self.prose = 0
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _unwanted(name: str, attributes: str, inside_article: bool) -> bool:
+def _unwanted(name: str, attributes: str, inside_article: bool) -> tuple[bool, str, str]:
+    """Whether a part is never content; else the name its class or id gives it, and the kind of that name."""
     if name in OUT or (name == "header" and not inside_article):
-        return True
+        return True, "", ""
     if name in ("html", "body", "article", "main") or not attributes:
-        return False
+        return False, "", ""
+    word = kind = ""
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
-            return True
+            return True, "", ""
         if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and NAMES.search(HAS.sub("", value)):
-            return True
-    return False
+            return True, "", ""
+        if key in ("class", "id") and kind != "firm" and NAMES.search(value := HAS.sub("", value)):
+            for token in value.split():
+                found = [x.lower() for x in NAMES.findall(token)]
+                sure = [x for x in found if IS_FIRM.fullmatch(x)]
+                sort = "part" if not WHOLE.fullmatch(token) else "firm" if sure else "loose"
+                if found and (kind in ("", "part") or sort == "firm"):
+                    word, kind = (sure or found)[0], sort
+    return False, word, kind
+
+
+def _prose(value: str, linked: int) -> bool:
+    return 3 * linked <= len(value) and (len(value) > 40 or value.endswith((".", "!", "?", "。", "！", "？", "…")))
+
+
+def above(node: Node):
+    """The nodes with a name from here up."""
+    node = node.named
+    while node is not None:
+        yield node
+        node = node.parent.named
 
 
 class _Page:
@@ -91,7 +124,7 @@ class _Page:
         self.linked = 0  # characters of the open block inside links
         self.in_link = 0
         self.block: Node | None = None
-        self.blocks: list[tuple[Node, str]] = []
+        self.blocks: list[tuple[Node, str, int]] = []
 
     def text(self, value: str) -> None:
         if self.open[-1].name == "head" and value.strip():
@@ -110,20 +143,51 @@ class _Page:
         self.pieces, linked, self.linked = [], self.linked, 0
         if not value:
             return
-        at = self.open[-1]
-        kind = at.name
-        self.blocks.append((at, value))
-        holder = at.parent if kind in LEAF and at.parent else at
-        points = 1 + value.count(",") + value.count("，") + min(len(value) // 100, 3)
-        if kind in HEADING:
-            points = 0.5
-        share = 1.0
-        while holder is not None:
-            holder.chars += len(value)
-            holder.links += min(linked, len(value))
-            holder.score += points * share
-            share *= 0.5
-            holder = holder.parent
+        self.blocks.append((self.open[-1], value, min(linked, len(value))))
+
+    def drop_named(self) -> None:
+        """Leave out the blocks of parts that their names and their text show to be no content.
+
+        A name that is a whole token takes its part out; one that never means
+        content does unless all prose lies within such parts (then the outermost
+        stay), one that may mean content does unless the parts of that name hold
+        most of the prose. A name that is a piece of a token takes out parts with
+        little prose or many links, with the same exception.
+        """
+        firm = [sum(math.inf if NEVER.match(x.word) else 1 for x in above(at) if x.kind == "firm") for at, _, _ in self.blocks]
+        prose = [len(v) if at.name not in HEADING and _prose(v, linked) else 0 for at, v, linked in self.blocks]
+        least = min((n for n, size in zip(firm, prose, strict=True) if size and n < math.inf), default=0)
+        left = [(*x, size) for x, n, size in zip(self.blocks, firm, prose, strict=True) if n <= least]
+        total, of_name = sum(x[3] for x in left), {}
+        for at, value, linked, size in left:
+            for node in above(at):
+                node.chars, node.links, node.prose = node.chars + len(value), node.links + linked, node.prose + size
+            for name in {(x.word, x.kind) for x in above(at)}:
+                of_name[name] = of_name.get(name, 0) + size
+
+        def gone(node: Node) -> bool:
+            if node.kind == "firm" or 2 * of_name[node.word, node.kind] > total:
+                return False
+            return node.kind == "loose" or not node.prose or 2 * node.links > node.chars
+
+        self.blocks = [x[:3] for x in left if not any(map(gone, above(x[0])))]
+
+    def score(self) -> None:
+        for at, _, _ in self.blocks:
+            for node in above(at):
+                node.chars = node.links = 0
+        for at, value, linked in self.blocks:
+            holder = at.parent if at.name in LEAF and at.parent else at
+            points = 1 + value.count(",") + value.count("，") + min(len(value) // 100, 3)
+            if at.name in HEADING:
+                points = 0.5
+            share = 1.0
+            while holder is not None:
+                holder.chars += len(value)
+                holder.links += linked
+                holder.score += points * share
+                share *= 0.5
+                holder = holder.parent
 
     def close(self, until: int) -> None:
         self.flush()
@@ -147,7 +211,7 @@ def parse(source: str) -> _Page:
             continue
         name = name.lower()
         if m.group(1):
-            if name in BLOCK or any(x.name == name and x.out for x in page.open[-1:]):
+            if name in BLOCK or any(x.name == name and (x.out or x.word) for x in page.open[-1:]):
                 for k in range(len(page.open) - 1, 0, -1):
                     if page.open[k].name == name:
                         page.close(k)
@@ -170,11 +234,13 @@ def parse(source: str) -> _Page:
         if name == "a":
             page.in_link += 1
             continue
-        out = page.open[-1].out or _unwanted(name, m.group(3) or "", any(x.name in ("article", "main") for x in page.open))
+        out, word, kind = page.open[-1].out, "", ""
+        if not out:
+            out, word, kind = _unwanted(name, m.group(3) or "", any(x.name in ("article", "main") for x in page.open))
         if name not in BLOCK:
-            if out and not page.open[-1].out and not m.group().endswith("/>"):
+            if (out or kind in ("firm", "loose")) and not page.open[-1].out and not m.group().endswith("/>"):
                 page.flush()
-                page.open.append(Node(name, page.open[-1], True))
+                page.open.append(Node(name, page.open[-1], out, word, kind))
             continue
         page.flush()
         page.in_link = 0
@@ -189,8 +255,10 @@ def parse(source: str) -> _Page:
                 break
             if page.open[k].name in ("ul", "ol", "dl", "table", "div", "section", "article"):
                 break
-        page.open.append(Node(name, page.open[-1], out))
+        page.open.append(Node(name, page.open[-1], out, word, kind))
     page.flush()
+    page.drop_named()
+    page.score()
     return page
 
 
@@ -205,7 +273,7 @@ def main_text(source: str | None) -> str:
     if not page.blocks:
         return ""
     holders: dict[int, Node] = {}
-    for at, _ in page.blocks:
+    for at, _, _ in page.blocks:
         node = at.parent if at.name in LEAF and at.parent else at
         while node is not None and id(node) not in holders:
             holders[id(node)] = node
@@ -223,7 +291,7 @@ def main_text(source: str | None) -> str:
         bar = max(10.0, SIBLING * _discounted(best))
         keep |= {id(x) for x in holders.values() if x.parent is best.parent and _discounted(x) >= bar}
     text = []
-    for at, value in page.blocks:
+    for at, value, _ in page.blocks:
         node = at
         while node is not None and id(node) not in keep:
             node = node.parent

@@ -56,6 +56,23 @@ def test_head_without_end_tag(html, want):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article>" + f"<div class='elementor-element elementor-widget elementor-widget-heading'><h2>T</h2></div><div class='elementor-element elementor-widget elementor-widget-text-editor'><p>{PROSE}</p></div>" * 3 + "</article>", "\n".join([f"T\n{PROSE}"] * 3)),
+        (f"<div class='post comments-open'><p>{PROSE}</p><p>{PROSE}</p></div><div><a href=x>Other</a></div>", f"{PROSE}\n{PROSE}"),
+        (f"<main><div class='entry-content social-science'><p>{PROSE}</p></div><div class=social><p>{PROSE}</p></div><div class=x-share-this><a href=x>Share</a></div></main>", PROSE),
+        (f"<article><p>{PROSE}</p><p>{PROSE}</p><div class='lab-notice-board'><p>{PROSE}</p></div></article>", f"{PROSE}\n{PROSE}\n{PROSE}"),
+        (f"<div id=page class=sidebar-right><div><p>{PROSE}</p></div><div class=sidebar><p>{PROSE}</p></div></div>", PROSE),
+        (f"<div><p>{PROSE}</p></div><div class=comments-area><p>{PROSE}</p><p>{PROSE}</p></div><div class=cookie-banner><p>{PROSE}</p></div>", PROSE),
+        (f"<nav>x</nav><div class=cookie-banner><p>{PROSE}</p></div>", ""),
+        (f"<p>one <span class=social-science>two</span> three, {PROSE}</p>", f"one two three, {PROSE}"),
+    ],
+)
+def test_names_agree_with_text(html, want):
+    assert main_text(html) == want
+
+
 def test_links_count_against_a_container():
     menu = "<div>" + "".join(f"<li><a href=x>{PROSE}</a></li>" for _ in range(9)) + "</div>"
     assert main_text(f"<body>{menu}<div><p>{PROSE}</p><p>{PROSE}</p></div></body>").count("A long") == 2
