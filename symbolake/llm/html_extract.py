@@ -5,8 +5,9 @@ of text (paragraph, heading, list item, cell, or text that stands in a container
 itself) passes points to its ancestors: one, one for each comma, and one for
 each hundred characters up to three, halved from the container to the one around
 it and on. Points are discounted by the container's link density. The best
-container is kept, with those of its siblings that score well or read as prose;
-so are blocks in page order. Parts that are never content (menus, headers,
+container is kept, and in page order what else belongs to it: beside an article or
+main element the siblings that score well, else all parts beside it or beside the
+containers around it that read as prose, short or long, and have few links. Parts that are never content (menus, headers,
 footers, sidebars, notices, adverts, forms, comments of readers, scripts, styles)
 are left out by element, role, class or id before scoring. A class or id only
 counts where it agrees with the text: a name within a longer token ("my-widget-x")
@@ -66,6 +67,8 @@ IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript"
 #: What an opening tag closes when it is open within the same parent.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIBLING = 0.2
+#: Share of link text up to which a part beside the best container is prose.
+LINKED = 0.3
 
 
 class Node:
@@ -266,6 +269,39 @@ def _discounted(node: Node) -> float:
     return node.score * (1 - node.links / node.chars) if node.chars else 0.0
 
 
+def _parts(best: Node, page: _Page, holders: dict[int, Node], beside: set[int]) -> set[int]:
+    """Other parts of an article that is not marked as one: what stands beside the best container, or around it, and reads as prose.
+
+    Length does not matter, only links do. Beside containers around the best one
+    other parts count up to the body, whose other children must be sections.
+    """
+    prose = set()
+    for at, value, linked in page.blocks:
+        if at.name in HEADING or not _prose(value, linked):
+            continue
+        node = at
+        while node is not None and id(node) not in prose:
+            prose.add(id(node))
+            node = node.parent
+    inside: dict[int, list[Node]] = {}
+    for x in holders.values():
+        if x.parent is not None:
+            inside.setdefault(id(x.parent), []).append(x)
+    keep, node = set(), best
+    while node.parent is not None:
+        at_top = node.parent.name in ("", "html", "body")
+        if not at_top:
+            beside.add(id(node.parent))
+        for x in inside[id(node.parent)]:
+            text = x.name == "section" or id(x) in prose and (node is best or not at_top)
+            if x is not node and text and x.links <= LINKED * x.chars:
+                keep.add(id(x))
+        if at_top:
+            break
+        node = node.parent
+    return keep
+
+
 def main_text(source: str | None) -> str:
     if not source:
         return ""
@@ -287,16 +323,21 @@ def main_text(source: str | None) -> str:
         top = top.parent
     best = top if top.name in ("article", "main") else best
     keep = {id(best)}
-    if best.parent is not None:
+    beside: set[int] = set()  # parents whose own prose is kept
+    if best.parent is not None and best.name in ("article", "main"):
         bar = max(10.0, SIBLING * _discounted(best))
         keep |= {id(x) for x in holders.values() if x.parent is best.parent and _discounted(x) >= bar}
+    elif best.parent is not None:
+        keep |= _parts(best, page, holders, beside)
     text = []
-    for at, value, _ in page.blocks:
+    for at, value, linked in page.blocks:
         node = at
         while node is not None and id(node) not in keep:
             node = node.parent
         prose = at.parent is best.parent and at.name == "p" and len(value) > 80 and not at.links
-        if node is not None or (best.parent is not None and prose):
+        own = at.parent if at.name in LEAF and at.parent else at
+        part = id(own) in beside and (at.name in HEADING and not linked or at.name not in HEADING and _prose(value, linked))
+        if node is not None or part or (best.parent is not None and prose):
             text.append(value)
     return "\n".join(text)
 

@@ -73,6 +73,25 @@ def test_names_agree_with_text(html, want):
     assert main_text(html) == want
 
 
+LONG = "".join(f"<p>{PROSE}</p>" for _ in range(20))
+LONG_TEXT = "\n".join([PROSE] * 20)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<div id=content><section>Short intro.</section><section>{LONG}</section></div>", f"Short intro.\n{LONG_TEXT}"),
+        (f"<body><div id=content><h1>Head</h1><section><h2>In</h2><p>Short intro.</p></section><section><h2>B</h2>{LONG}</section><section><h2>C</h2><p>{PROSE}</p></section></div>", f"Head\nIn\nShort intro.\nB\n{LONG_TEXT}\nC\n{PROSE}"),
+        (f"<div id=content><div><div>{LONG}</div><div><a href=x>{PROSE}</a></div></div><div><p>{PROSE}</p></div></div>", f"{LONG_TEXT}\n{PROSE}"),
+        (f"<div id=content><div><div><p>{PROSE}</p></div></div><div><div>{LONG}</div></div><div><ul><li><a href=x>{PROSE}</a></ul></div></div>", f"{PROSE}\n{LONG_TEXT}"),
+        (f"<body><section><p>Short intro.</p></section><section><div>{LONG}</div></section><div>Imprint</div><div><a href=x>Terms of use.</a></div>", f"Short intro.\n{LONG_TEXT}"),
+        (f"<body><div><p>Intro text.</p></div><div>{LONG}</div><div class=sidebar><p>{PROSE}</p></div><div><a href=x>{PROSE}</a></div>", f"Intro text.\n{LONG_TEXT}"),
+    ],
+)
+def test_sections_without_article(html, want):
+    assert main_text(html) == want
+
+
 def test_links_count_against_a_container():
     menu = "<div>" + "".join(f"<li><a href=x>{PROSE}</a></li>" for _ in range(9)) + "</div>"
     assert main_text(f"<body>{menu}<div><p>{PROSE}</p><p>{PROSE}</p></div></body>").count("A long") == 2
