@@ -18,7 +18,8 @@ Items go to the executors in blocks of at most BLOCK_WORDS words, so what is
 broadcast is bounded whatever the size of the benchmark.
 
 Edge cases: null or empty texts and items have no words and never match. Items
-under MIN_WORDS words are left out, as chance repeats them. Equal items match
+under EXACT_BELOW words match word for word only, as chance comes near them;
+``drop_leaks`` can be told to spare what only short items match. Equal items match
 the same texts, each under its own id. Rows with equal doc_id are judged one by
 one; a null doc_id is kept as null. Other columns are ignored.
 """
@@ -35,7 +36,8 @@ from symbolake.llm.base import small_batches
 from symbolake.llm.textkernel import LOOSE, buffers, chunks, word_hashes
 
 EDITS = 0.2
-MIN_WORDS = 8
+#: Shorter items allow no edits.
+EXACT_BELOW = 8
 #: Words of a piece that are looked up.
 GRAM = 4
 BLOCK_WORDS = 500_000
@@ -53,7 +55,7 @@ class Block:
         self.vocabulary, self.ids = vocabulary, np.array(ids, np.int64)
         self.items = [np.searchsorted(vocabulary, s).astype(np.int32) + 1 for s in sequences]
         self.sizes = np.array([len(s) for s in sequences], np.int64)
-        self.allowed = np.array([int(edits * len(s)) for s in sequences], np.int64)
+        self.allowed = np.array([int(edits * len(s)) if len(s) >= EXACT_BELOW else 0 for s in sequences], np.int64)
         self.longest = int((self.sizes + self.allowed).max(initial=0))
         # which low bits of word hashes occur: most words of a text end here
         self.low = np.zeros(1 << 18, bool)
@@ -204,13 +206,13 @@ def leaks(block: Block, array: pa.Array):
     return out
 
 
-def blocks(items: DataFrame, edits: float = EDITS) -> list[Block]:
+def blocks(items: DataFrame, edits: float = EDITS, min_words: int = 1) -> list[Block]:
     """The benchmark (item_id, text) as blocks of bounded size."""
     done, ids, sequences, size = [], [], [], 0
     rows = items.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         words, _ = word_hashes(*buffers(pa.array([row["text"]], pa.string())), LOOSE)
-        if len(words) < MIN_WORDS:
+        if len(words) < min_words:
             continue
         ids.append(row["item_id"])
         sequences.append(words)
@@ -241,8 +243,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND)
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents into which no item leaks, with all of their columns."""
+def drop_leaks(docs: DataFrame, items: DataFrame, min_words: int = 1) -> DataFrame:
+    """The documents into which no item of ``min_words`` words or more leaks, with all of their columns."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -253,6 +255,6 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             keep[[k[0] for k in found]] = False
             yield batch.filter(pa.array(keep))
 
-    for block in blocks(items):
+    for block in blocks(items, min_words=min_words):
         docs = docs.mapInArrow(functools.partial(run, spark.sparkContext.broadcast(block)), docs.schema)
     return docs

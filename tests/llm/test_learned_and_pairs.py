@@ -277,6 +277,17 @@ def test_recall_by_length(length):
     assert {(i, i) for i in range(len(items))} <= set(got)
 
 
+def test_short_items_match_word_for_word(spark):
+    items = [["yes"], ["w1", "w2"], ["a", "b", "c"], ["q1", "q2", "q3", "q4", "q5"], [f"s{k}" for k in range(7)]]
+    texts = ["no", "yes", "x W1, w2 y", "w1 x w2", "a b c a b c", "q1 q2 q3 q4", "q1 q2 q3 q4 q5", "s0 s1 s2 s3 s4 s5 s6", "s0 s1 s2 x s4 s5 s6", "a b", "c yes"]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = table(spark, texts)
+    got = {(r.doc_id, r.item_id): (r.start_word, r.end_word, r.distance) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(1, 0): (0, 1, 0), (2, 1): (1, 3, 0), (4, 2): (0, 3, 0), (6, 3): (0, 5, 0), (7, 4): (0, 7, 0), (10, 0): (1, 2, 0)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {0, 3, 5, 8, 9}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench, min_words=5).collect()} == {0, 1, 2, 3, 4, 5, 8, 9, 10}
+
+
 def test_edit_distances_against_plain():
     rnd = random.Random(1)
     for _ in range(60):
