@@ -19,7 +19,8 @@ ids start among all files by the manifest.
 Encoding: a worker keeps the ids of the pieces it has seen (words, cut before
 punctuation, in lower case), as the tokenizer lower-cases and never joins across
 white space or letters with punctuation; the new pieces of a batch are encoded
-together by the tokenizers library. ``encode_whole`` is the plain form
+together by the tokenizers library. Pieces that hold an added token's text in any
+case are kept by their exact spelling, as added tokens are matched so. ``encode_whole`` is the plain form
 that tests compare with.
 
 Edge cases: null and empty texts are just the end id. A null doc_id comes first.
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolake.llm.base import new_path, small_batches, stash
-from symbolake.llm.textkernel import FOLDED, buffers, chunks, hashes_at, word_starts
+from symbolake.llm.textkernel import EXACT, FOLDED, buffers, chunks, hashes_at, word_starts
 
 MAGIC, FOOTER = b"SYTOKEN1", struct.Struct("<II4Q8s")
 BLOCK = 1 << 14
@@ -51,6 +52,8 @@ BLOCK = 1 << 14
 KNOWN = 1_000_000
 #: Text bytes that are encoded together.
 TOGETHER = 1 << 22
+#: Sets hashes of exact spellings apart from case-free ones.
+SPELLED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def width(vocabulary: int) -> int:
@@ -105,6 +108,7 @@ class Encoder:
         if suffix:
             self.ends = np.zeros(self.vocabulary, bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.forget()
 
     def forget(self) -> None:
@@ -141,11 +145,24 @@ class Encoder:
         self.hashes = np.concatenate([self.hashes, hashes])[order]
         self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
 
+    def _spelled(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Pieces that hold the text of an added token in any case."""
+        data, found = raw.tobytes().lower(), []
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                found.append(at)
+                at = data.find(token, at + 1)
+        return np.unique(np.searchsorted(starts, np.array(found, np.int64), "right") - 1)
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of adjacent texts, and the n + 1 offsets of each text's ids."""
         hashes, first, starts = piece_hashes(raw, offsets)
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        spelled = self._spelled(raw, starts)
+        if len(spelled):
+            hashes[spelled] = hashes_at(raw, starts, EXACT)[spelled] ^ SPELLED
         word, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         known = np.zeros(len(word), bool)
         if len(self.hashes):

@@ -390,6 +390,15 @@ def test_encoding_equals_the_library(tokenizer, docs):
             assert ids[at[i] : at[i + 1]].tolist() == code.encode_whole(t or ""), t
 
 
+def test_added_tokens_by_their_spelling(tokenizer):
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "x<|EndOfText|>y x<|endoftext|>y", "<|STARTOFTEXT|><|endoftext|>", "<|startoftext|><|endoftext|>"]
+    for order in (texts, texts[::-1]):
+        code = token_files.Encoder(tokenizer)
+        for batch in (order, *([t] for t in order)):
+            ids, at = code.encode(*token_files.buffers(pa.array(batch)))
+            assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(batch))] == [code.encode_whole(t) for t in batch]
+
+
 def test_token_files_end_to_end(spark, tokenizer, docs, odd_docs, no_docs, tmp_path):
     code = token_files.Encoder(tokenizer)
     for df in (docs, odd_docs):
