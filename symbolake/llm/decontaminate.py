@@ -1,56 +1,120 @@
-"""Benchmark decontamination: pieces by the pigeonhole principle, exact edit check.
-
-Texts and items are sequences of words (runs of letters and digits, whatever
-their case). An item of n words leaks into a text when some window of the text
-is within ``floor(EDITS * n)`` word edits (insert, delete, replace) of it.
-
-* An item that allows k edits is cut into k + 1 adjacent pieces. An edit touches
-  one piece at most, so a window within k edits has some piece word for word, at
-  most k words from its place. Where the first GRAM words of a piece stand in a
-  text are therefore all the places to look at, whatever the item's length.
+"""Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit check.
+
+Texts and items are sequences of words: runs of letters, digits and combining
+marks of any script, whatever their case; a Han or Kana character is a word of
+its own. An item of n words leaks into a text when some window of the text is
+within ``floor(EDITS * n)`` word edits (insert, delete, replace) of it.
+
+* The CGK walk reads a sequence from a start: at each step it puts out the word
+  it stands on and then moves on or stays, as a coin of (repetition, step, word)
+  says. Edited copies fall back into step, so edit distance becomes Hamming
+  distance. A walk soon loses a copy with many edits, whatever its length; so an
+  item that allows k edits is cut into k // 2 + 1 adjacent windows, one of which
+  has one edit at most, and each is embedded from its beginning.
+* Each of REPEATS repetitions samples SAMPLES of the first STEPS places of the
+  embedding. Windows of a text that agree with a window of an item in the sample
+  of some repetition are candidates. Repetitions begin at the first, second or
+  third word of an item's window, so that an edit there does not spoil them all.
+  REPEATS is set for a recall of 0.99 at the largest allowed distance at every
+  length; the least measured, over all places of the edits, is 0.97 (items of 8
+  and 9 words with their edit at the worst place).
 * Of those, only places are kept around which n + k words have n - k words of
-  the item, which k edits can not go below either.
-* Around those the edit distance of every start is computed, so what is returned
-  is exact and whole: every leak, with its least distance, of equal ones the
+  the item. Around these the edit distance of every start is computed, so what
+  is returned is exact: the least distance of the leaks found, of equal ones the
   first start, and of equal ones the shortest window.
 
-Items go to the executors in blocks of at most BLOCK_WORDS words, so what is
-broadcast is bounded whatever the size of the benchmark.
+Coins are bits of a hash of the word, so nothing but the items is broadcast.
+Items go to the executors in blocks of at most BLOCK_WORDS words (and one item),
+about 60 MB; blocks are built, broadcast and let go one by one. Texts are read in
+slices, so that a text of any length takes some 30 bytes a word.
 
 Edge cases: null or empty texts and items have no words and never match. Items
-under EXACT_BELOW words match word for word only, as chance comes near them;
+under EXACT_BELOW words match word for word only, as chance comes near them (all
+of their copies are found: without edits a walk stays in step);
 ``drop_leaks`` can be told to spare what only short items match. Equal items match
 the same texts, each under its own id. Rows with equal doc_id are judged one by
-one; a null doc_id is kept as null. Other columns are ignored.
+one; a null doc_id is kept as null. Bytes that are not UTF-8 separate words.
+Other columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from symbolake.llm.base import small_batches
-from symbolake.llm.textkernel import LOOSE, buffers, chunks, word_hashes
+from symbolake.llm.textkernel import EXACT, buffers, chunks, mix, valid, word_hashes
 
 EDITS = 0.2
 #: Shorter items allow no edits.
 EXACT_BELOW = 8
-#: Words of a piece that are looked up.
-GRAM = 4
+#: Repetitions of the walk (a multiple of 8), its steps, and the steps that each repetition samples.
+REPEATS, STEPS, SAMPLES = 16, 8, 4
 BLOCK_WORDS = 500_000
+#: Words of texts that are walked together.
+SLICE = 1 << 18
 #: Numbers that one numpy array of the edit check may hold.
 HELD = 1 << 20
 
 FOUND = "doc_id long, item_id long, start_word int, end_word int, distance int"
 
 
+def plain(array: pa.Array) -> pa.Array:
+    """Texts in lower case with one space between words."""
+    text = pc.replace_substring_regex(pc.utf8_lower(valid(array)), r"[^\pL\pN\pM]+", " ")
+    raw, _ = buffers(text)
+    if (raw >= 0xE3).any():  # no such byte, no character that is a word of its own
+        text = pc.replace_substring_regex(text, r"([\p{Han}\p{Hiragana}\p{Katakana}])", r" \1 ")
+    return text
+
+
+def sampled(repeat: int) -> list[int]:
+    """The steps that a repetition samples: one of each equal share of the steps."""
+    share = STEPS // SAMPLES
+    rng = np.random.Generator(np.random.PCG64(repeat))
+    return [i * share + int(rng.integers(share)) for i in range(SAMPLES)]
+
+
+def join_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (key * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def coins(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """For each word eight bytes, one for a repetition; a byte holds the coins of the steps."""
+    return mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (lane + 1) % 2**64)).view(np.uint8).reshape(-1, 8)
+
+
+def walk(words: np.ndarray, coin: np.ndarray, start: np.ndarray, steps: list[int]) -> np.ndarray:
+    """Key of the sampled steps of the walk from each start; ``coin`` has a byte for each word."""
+    at, key = start.copy(), np.zeros(len(start), np.uint64)
+    for step in range(steps[-1] + 1):
+        if step in steps:
+            key = join_key(key, words[at])
+        if step < steps[-1]:
+            at += (coin[at] >> step) & 1
+    return key
+
+
+class Table:
+    """Keys of item windows under one sample, and where the windows stand in their items."""
+
+    def __init__(self, repeat: int, steps: list[int], keys: np.ndarray, which: np.ndarray, at: np.ndarray, span: int, least: int):
+        self.repeat, self.steps, self.span, self.least = repeat, steps, span, least
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.which, self.at = keys[order], which[order], at[order]
+        self.flag = np.zeros(1 << 20, bool)
+        self.flag[(keys >> np.uint64(44)).astype(np.int64)] = True
+
+
 class Block:
-    """Some items and where the beginnings of their pieces stand in them."""
+    """Some items and the keys of their windows."""
 
-    def __init__(self, ids: list[int], sequences: list[np.ndarray], edits: float):
+    def __init__(self, ids: list[int], sequences: list[np.ndarray], edits: float = EDITS):
         vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *sequences]))
         self.vocabulary, self.ids = vocabulary, np.array(ids, np.int64)
         self.items = [np.searchsorted(vocabulary, s).astype(np.int32) + 1 for s in sequences]
@@ -60,25 +124,32 @@ class Block:
         # which low bits of word hashes occur: most words of a text end here
         self.low = np.zeros(1 << 18, bool)
         self.low[(vocabulary & np.uint64(2**18 - 1)).astype(np.int64)] = True
-        grams: dict[int, list] = {}
-        for i, (item, k) in enumerate(zip(self.items, self.allowed.tolist(), strict=True)):
-            cuts = np.arange(k + 2) * len(item) // (k + 1)
-            for at, size in zip(cuts[:-1].tolist(), np.diff(cuts).tolist(), strict=True):
-                grams.setdefault(min(size, GRAM), []).append((i, at))
-        self.tables = []
-        for size, found in grams.items():
-            which, at = np.array(found, np.int64).T
-            keys = np.zeros(len(which), np.uint64)
-            for j in range(size):
-                keys = join_key(keys, np.array([self.items[i][a + j] for i, a in found]))
-            order = np.argsort(keys, kind="stable")
-            flag = np.zeros(1 << 20, bool)
-            flag[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((size, flag, keys[order], which[order], at[order]))
-
-
-def join_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (key * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        # all items behind each other, with room for a walk's end
+        begin = np.cumsum(self.sizes + STEPS) - self.sizes - STEPS
+        words = np.zeros(int((self.sizes + STEPS).sum()), np.int32)
+        for a, item in zip(begin.tolist(), self.items, strict=True):
+            words[a : a + len(item)] = item
+        hashes = np.concatenate([np.zeros(1, np.uint64), vocabulary])[words]
+        self.tables: list[Table] = []
+        exact = self.allowed == 0
+        reach = np.minimum(self.sizes, STEPS)
+        for n in np.unique(reach[exact & (self.sizes > 0)]).tolist():
+            which = np.flatnonzero(exact & (reach == n))
+            keys = walk(words, np.ascontiguousarray(coins(hashes, 0)[:, 0]), begin[which], [*range(n)])
+            self.tables.append(Table(0, [*range(n)], keys, which, np.zeros(len(which), np.int64), n, n))
+        windows = [(i, np.arange(k // 2 + 2) * len(self.items[i]) // (k // 2 + 1)) for i, k in enumerate(self.allowed.tolist()) if k]
+        if windows:
+            which = np.concatenate([np.full(len(c) - 1, i) for i, c in windows])
+            at, size = np.concatenate([c[:-1] for _, c in windows]), np.concatenate([np.diff(c) for _, c in windows])
+            # repetitions begin at different words, so that an edit of the first one does not spoil them all
+            later = np.clip(size - 3, 1, 3)
+            short = int((size - later + 1).min())
+            for repeat in range(REPEATS):
+                if repeat % 8 == 0:
+                    coin = coins(hashes, repeat // 8)
+                own = at + repeat % later
+                keys = walk(words, np.ascontiguousarray(coin[:, repeat % 8]), begin[which] + own, sampled(repeat))
+                self.tables.append(Table(repeat, sampled(repeat), keys, which, own, short + 1, short - 1))
 
 
 def numbers(block: Block, hashes: np.ndarray) -> np.ndarray:
@@ -91,34 +162,56 @@ def numbers(block: Block, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(block: Block, words: np.ndarray):
-    """Yield (item index, place) where a piece puts the item's beginning."""
-    known = np.concatenate([[0], np.cumsum(words > 0)])
-    for size, flag, keys, which, at in block.tables:
-        start = np.flatnonzero(known[size:] - known[:-size] == size)
-        key = np.zeros(len(start), np.uint64)
-        for j in range(size):
-            key = join_key(key, words[start + j])
-        may = np.flatnonzero(flag[(key >> np.uint64(44)).astype(np.int64)])
-        start, key = start[may], key[may]
-        a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-        may = np.flatnonzero(b > a)
-        start, a, n = start[may], a[may], (b - a)[may]
-        total = np.cumsum(n)
-        lo = 0
-        while lo < len(start):
-            before = total[lo] - n[lo]
-            hi = max(int(np.searchsorted(total, before + HELD, "right")), lo + 1)
-            some = n[lo:hi]
-            entry = np.arange(some.sum()) + np.repeat(a[lo:hi] - (np.cumsum(some) - some), some)
-            item = which[entry]
-            place = np.repeat(start[lo:hi], some) - at[entry]
-            k = block.allowed[item]
-            # the item's words that are left are within k words of their places
-            first, last = np.maximum(place - k, 0), np.minimum(place + block.sizes[item] + k, len(words))
-            keep = known[last] - known[first] >= block.sizes[item] - k
-            yield item[keep], place[keep]
-            lo = hi
+def hits(table: Table, key: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(item index, place of the item's beginning) of every window under a key, HELD at a time."""
+    may = np.flatnonzero(table.flag[(key >> np.uint64(44)).astype(np.int64)])
+    start, key = start[may], key[may]
+    a, b = np.searchsorted(table.keys, key, "left"), np.searchsorted(table.keys, key, "right")
+    may = np.flatnonzero(b > a)
+    start, a, n = start[may], a[may], (b - a)[may]
+    total, lo = np.cumsum(n), 0
+    while lo < len(start):
+        hi = max(int(np.searchsorted(total, total[lo] - n[lo] + HELD, "right")), lo + 1)
+        some = n[lo:hi]
+        entry = np.arange(some.sum()) + np.repeat(a[lo:hi] - (np.cumsum(some) - some), some)
+        yield table.which[entry], np.repeat(start[lo:hi], some) - table.at[entry]
+        lo = hi
+
+
+def candidates(block: Block, words: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield distinct (item index, place) that some window's sample suggests; ``words`` ends in STEPS zeros or more."""
+    known = np.concatenate([np.zeros(1, np.int32), np.cumsum(words > 0, dtype=np.int32)])
+    end = len(words) - STEPS
+    held, size = [], 0
+
+    def distinct():
+        found = np.unique(np.concatenate(held))
+        return found // len(words), found % len(words) - block.longest
+
+    for lo in range(0, end, SLICE):
+        hi = min(lo + SLICE, end)
+        here, lane = words[lo : hi + STEPS], None
+        for table in block.tables:
+            last = np.minimum(np.arange(lo, hi) + table.span, len(words))
+            start = np.flatnonzero(known[last] - known[lo:hi] >= table.least)
+            if not len(start):
+                continue
+            if lane != table.repeat // 8:
+                lane = table.repeat // 8
+                coin = coins(hashes[lo : hi + STEPS], lane)
+            key = walk(here, np.ascontiguousarray(coin[:, table.repeat % 8]), start, table.steps)
+            for item, place in hits(table, key, start + lo):
+                k = block.allowed[item]
+                # the item's words that are left are within k words of their places
+                first, last = np.maximum(place - k, 0), np.clip(place + block.sizes[item] + k, 0, len(words))
+                keep = known[last] - known[first] >= block.sizes[item] - k
+                held.append(item[keep] * len(words) + place[keep] + block.longest)
+                size += len(held[-1])
+                if size > HELD:
+                    yield distinct()
+                    held, size = [], 0
+    if size:
+        yield distinct()
 
 
 def start_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -172,17 +265,18 @@ def leaks(block: Block, array: pa.Array):
         return out
     best: dict[tuple[int, int], tuple[int, int]] = {}
     member = np.zeros(len(block.vocabulary) + 1, bool)
-    raw, offsets = buffers(array)
+    raw, offsets = buffers(plain(array))
     for lo, hi in chunks(offsets):
         part = offsets[lo : hi + 1]
-        hashes, first = word_hashes(raw[part[0] : part[-1]], part - part[0], LOOSE)
+        found, first = word_hashes(raw[part[0] : part[-1]], part - part[0], EXACT)
         # around texts lie words that no item has, so that no window crosses
-        gap = block.longest + 1
+        gap = max(block.longest + 1, STEPS)
         begins = first[:-1] + np.arange(1, hi - lo + 1) * gap
         ends = begins + np.diff(first)
-        words = np.zeros(len(hashes) + (hi - lo + 1) * gap, np.int32)
-        words[np.arange(len(hashes)) + np.repeat(begins - first[:-1], np.diff(first))] = numbers(block, hashes)
-        for items, places in candidates(block, words):
+        goal = np.arange(len(found)) + np.repeat(begins - first[:-1], np.diff(first))
+        words, hashes = np.zeros(len(found) + (hi - lo + 1) * gap, np.int32), np.zeros(len(found) + (hi - lo + 1) * gap, np.uint64)
+        words[goal], hashes[goal] = numbers(block, found), found
+        for items, places in candidates(block, words, hashes):
             order = np.argsort(items, kind="stable")
             cuts = np.flatnonzero(np.diff(items[order])) + 1
             for part in np.split(order, cuts) if len(order) else ():
@@ -206,25 +300,26 @@ def leaks(block: Block, array: pa.Array):
     return out
 
 
-def blocks(items: DataFrame, edits: float = EDITS, min_words: int = 1) -> list[Block]:
-    """The benchmark (item_id, text) as blocks of bounded size."""
-    done, ids, sequences, size = [], [], [], 0
+def blocks(items: DataFrame, edits: float = EDITS, min_words: int = 1) -> Iterator[Block]:
+    """The benchmark (item_id, text) as blocks of bounded size, one after another."""
+    ids, sequences, size = [], [], 0
     rows = items.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
-        words, _ = word_hashes(*buffers(pa.array([row["text"]], pa.string())), LOOSE)
+        words, _ = word_hashes(*buffers(plain(pa.array([row["text"]], pa.string()))), EXACT)
         if len(words) < min_words:
             continue
+        if ids and size + len(words) > BLOCK_WORDS:
+            yield Block(ids, sequences, edits)
+            ids, sequences, size = [], [], 0
         ids.append(row["item_id"])
         sequences.append(words)
         size += len(words)
-        if size >= BLOCK_WORDS:
-            done.append(Block(ids, sequences, edits))
-            ids, sequences, size = [], [], 0
-    return [*done, Block(ids, sequences, edits)] if ids else done
+    if ids:
+        yield Block(ids, sequences, edits)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each document and item that leaks into it: its best window, in words."""
+    """One row for each document and item that leaks into it: its best window, in words. Each block reads the texts once."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -244,7 +339,11 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, min_words: int = 1) -> DataFrame:
-    """The documents into which no item of ``min_words`` words or more leaks, with all of their columns."""
+    """The documents into which no item of ``min_words`` words or more leaks, with all of their columns.
+
+    Null and empty texts stay, so does everything where there are no items; rows
+    with equal doc_id are judged one by one. All blocks are passed in one scan.
+    """
     spark = docs.sparkSession
     small_batches(spark)
 

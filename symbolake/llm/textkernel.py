@@ -53,16 +53,19 @@ EXACT = Alphabet(~_white(), np.arange(256))
 FOLDED = Alphabet(~_white(), _lower())
 
 
-def _loose() -> Alphabet:
-    inside = np.zeros(256, bool)
-    inside[48:58] = inside[65:91] = inside[97:123] = inside[128:] = True
-    same = _lower()
-    same[0x80:0xA0] += 0x20  # upper and lower case of Latin letters differ by this bit
-    return Alphabet(inside, same)
 
-
-#: Runs of letters and digits, whatever their case; punctuation separates.
-LOOSE = _loose()
+def valid(array: pa.Array) -> pa.Array:
+    """Texts as large strings; null counts as empty, bytes that are not UTF-8 become U+FFFD."""
+    if isinstance(array, pa.ChunkedArray):
+        array = array.combine_chunks()
+    if array.null_count:
+        array = array.fill_null("")
+    array = array.cast(pa.large_string())
+    try:
+        array.validate(full=True)
+        return array
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in array.cast(pa.large_binary()).to_pylist()], pa.large_string())
 
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +102,28 @@ def word_starts(raw: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> np.
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word in order, and per text the index of its first word (n + 1 values)."""
+    if len(raw) > 2 * CHUNK and len(offsets) == 2:
+        parts = [hashes_at(raw[a:b], word_starts(raw[a:b], np.array([0, b - a]), alphabet), alphabet) for a, b in slabs(raw, alphabet)]
+        hashes = np.concatenate(parts)
+        return hashes, np.array([0, len(hashes)])
     starts = word_starts(raw, offsets, alphabet)
     return hashes_at(raw, starts, alphabet), np.searchsorted(starts, offsets)
 
 
+def slabs(raw: np.ndarray, alphabet: Alphabet):
+    """Ranges of one long text of about CHUNK bytes that end between words, so that arrays over bytes stay small."""
+    a, n = 0, len(raw)
+    while a < n:
+        b = min(a + CHUNK, n)
+        while b < n:  # on to the next byte outside words
+            gap = np.flatnonzero(~alphabet.inside[raw[b : b + CHUNK]])
+            b += int(gap[0]) if len(gap) else min(CHUNK, n - b)
+            if len(gap):
+                break
+        yield a, b
+        a = b
+
+
 def hashes_at(raw: np.ndarray, starts: np.ndarray, alphabet: Alphabet) -> np.ndarray:
     """Hash of the word that begins at each start; bytes outside words add nothing."""
     if not len(starts):

@@ -9,7 +9,7 @@ import pytest
 
 from symbolake.llm import components as cc
 from symbolake.llm import decontaminate, jaccard_join, quality_model, token_files
-from symbolake.llm.textkernel import LOOSE, buffers, shingle_sets, word_hashes
+from symbolake.llm.textkernel import EXACT, buffers, shingle_sets, word_hashes
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -154,7 +154,7 @@ def distance(item, window):
 
 
 def norm(text):
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    return decontaminate.plain(pa.array([text]))[0].as_py().split()
 
 
 def edited(rnd, words, k):
@@ -230,7 +230,7 @@ def test_blocks_of_items(spark, bench, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 200)
     texts = [r.text for r in bench.collect()]
     got = decontaminate.find_leaks(table(spark, texts), bench)
-    assert len(decontaminate.blocks(bench)) > 3 and got.where("distance = 0").select("doc_id").distinct().count() == len(texts)
+    assert len([*decontaminate.blocks(bench)]) > 3 and got.where("distance = 0").select("doc_id").distinct().count() == len(texts)
 
 
 def plain_leaks(item, text, k):
@@ -240,16 +240,17 @@ def plain_leaks(item, text, k):
 
 
 def block_of(items, edits=None):
-    sequences = [word_hashes(*buffers(pa.array([" ".join(x)])), LOOSE)[0] for x in items]
+    sequences = [word_hashes(*buffers(pa.array([" ".join(x)])), EXACT)[0] for x in items]
     return decontaminate.Block([*range(len(items))], sequences, decontaminate.EDITS if edits is None else edits)
 
 
-@pytest.mark.parametrize("held", [decontaminate.HELD, 64])
-def test_leaks_are_those_of_all_windows(monkeypatch, held):
-    """Best windows equal those of comparing every window, also among few words, at the ends of texts and in small slices."""
-    monkeypatch.setattr(decontaminate, "HELD", held)
-    rnd, found = random.Random(5), 0
-    for trial in range(12):
+@pytest.mark.parametrize("settings", [{}, {"HELD": 64}, {"SLICE": 16}])
+def test_leaks_against_all_windows(monkeypatch, settings):
+    """Against comparing every window, also among few words, at the ends of texts and in small slices: nothing false, nearly all found."""
+    for k, v in settings.items():
+        monkeypatch.setattr(decontaminate, k, v)
+    rnd, found, best, all_ = random.Random(5), 0, 0, 0
+    for trial in range(30):
         word = lambda v=(2, 5, 40)[trial % 3]: f"w{rnd.randint(0, v)}"
         items = [[word() for _ in range(rnd.randint(8, 16))] for _ in range(4)]
         texts = []
@@ -261,20 +262,53 @@ def test_leaks_are_those_of_all_windows(monkeypatch, held):
             texts.append([word() for _ in range(rnd.choice([0, 2, 12]))] + w + [word() for _ in range(rnd.choice([0, 2, 12]))])
         got = decontaminate.leaks(block_of(items), pa.array([" ".join(t) for t in texts]))
         plain = {(t, i): plain_leaks(item, text, int(decontaminate.EDITS * len(item))) for t, text in enumerate(texts) for i, item in enumerate(items)}
-        assert got == {k: v for k, v in plain.items() if v}
-        found += len(got)
-    assert found > 40
+        plain = {k: v for k, v in plain.items() if v}
+        assert all(distance(items[i], texts[t][s:e]) == d >= plain[t, i][0] for (t, i), (d, s, e) in got.items())
+        found, best, all_ = found + len(got), best + sum(got.get(k) == v for k, v in plain.items()), all_ + len(plain)
+    assert all_ > 100 and found >= 0.98 * all_ and best >= 0.97 * all_
 
 
-@pytest.mark.parametrize("length", [8, 20, 40, 60, 100, 200, 400, 800])
+@pytest.mark.parametrize("length", [8, 10, 15, 20, 40, 60, 100, 200, 400, 800])
 def test_recall_by_length(length):
-    """Copies with as many edits as an item allows are all found, however long it is."""
+    """Copies with as many edits as an item allows are found, however long it is."""
     rnd = random.Random(length)
-    items = [[f"w{rnd.randint(0, 3000)}" for _ in range(length)] for _ in range(25)]
+    items = [[f"w{rnd.randint(0, 3000)}" for _ in range(length)] for _ in range(100)]
     filler = lambda: [f"f{rnd.randint(0, 10**6)}" for _ in range(40)]
     texts = [[*filler(), *edited(rnd, w, int(decontaminate.EDITS * length)), *filler()] for w in items]
     got = decontaminate.leaks(block_of(items), pa.array([" ".join(t) for t in texts]))
-    assert {(i, i) for i in range(len(items))} <= set(got)
+    assert len({(i, i) for i in range(len(items))} & set(got)) >= 98
+
+
+@pytest.mark.parametrize("length", [10, 15, 20])
+def test_recall_when_edits_are_spread_evenly(length):
+    """The worst case: each window of an item has as many edits as any."""
+    rnd = random.Random(length)
+    k = int(decontaminate.EDITS * length)
+    items = [[f"w{rnd.randint(0, 3000)}" for _ in range(length)] for _ in range(200)]
+    texts = []
+    for w in items:
+        w = [*w]
+        for at in sorted((rnd.randrange(j * length // k, (j + 1) * length // k) for j in range(k)), reverse=True):
+            w[at : at + rnd.randint(0, 1)] = [f"zz{rnd.randint(0, 999)}"] * rnd.randint(0, 1)
+        texts.append([f"f{rnd.randint(0, 10**6)}" for _ in range(9)] + w + [f"f{rnd.randint(0, 10**6)}" for _ in range(9)])
+    got = decontaminate.leaks(block_of(items), pa.array([" ".join(t) for t in texts]))
+    assert len({(i, i) for i in range(len(items))} & set(got)) >= 196
+
+
+def test_words_of_any_script():
+    words = decontaminate.plain(pa.array(["It's É-cole, 42!", "it S école 42", None, "РУС “рус”", "一丠 ab一", "x\u200by"])).to_pylist()
+    assert [w.split() for w in words] == [["it", "s", "é", "cole", "42"], ["it", "s", "école", "42"], [], ["рус", "рус"], ["一", "丠", "ab", "一"], ["x", "y"]]
+    bad = pa.array([b"one \xff two", b"three"]).cast(pa.binary()).view(pa.string())
+    assert [w.split() for w in decontaminate.plain(bad).to_pylist()] == [["one", "two"], ["three"]]
+
+
+def test_a_very_long_text_is_read_in_slices(monkeypatch):
+    monkeypatch.setattr("symbolake.llm.textkernel.CHUNK", 1000)
+    rnd = random.Random(2)
+    item = [f"w{k}" for k in range(30)]
+    text = [f"f{rnd.randint(0, 999)}" for _ in range(4000)] + item + ["x" * 5000] + item[:29]
+    got = decontaminate.leaks(block_of([item]), pa.array([" ".join(text)]))
+    assert got == {(0, 0): (0, 4000, 4030)}
 
 
 def test_short_items_match_word_for_word(spark):
@@ -299,12 +333,6 @@ def test_edit_distances_against_plain():
             assert d[k] == min(every) == every[end[k]]
 
 
-def test_loose_words():
-    h, first = word_hashes(*buffers(pa.array(["It's É-cole, 42!", "it S école 42", None])), LOOSE)
-    assert first.tolist() == [0, 5, 9, 9]
-    assert h[0] == h[5] and h[1] == h[6] and h[4] == h[8]
-
-
 # ---- classifier ----------------------------------------------------------------------
 
 
