@@ -12,26 +12,30 @@ id range by the table of block offsets and unpacks only those blocks, with numpy
     footer: bits, block ids as u32, then blocks, documents, ids, offset of the
             tables as u64, then "SYTOKEN1"
 
-Each file is written under a name of its attempt and then renamed, so a task that
-runs again replaces its file by an equal one; readers are told where each file's
-ids start among all files by the manifest.
-
-Encoding: a worker keeps the ids of the pieces it has seen (words, cut before
-punctuation, in lower case), as the tokenizer lower-cases and never joins across
-white space or letters with punctuation; the new pieces of a batch are encoded
-together by the tokenizers library. Pieces that hold an added token's text in any
-case are kept by their exact spelling, as added tokens are matched so. ``encode_whole`` is the plain form
-that tests compare with.
+Each attempt of a task writes a file of its own name, and the manifest, which
+Spark commits, names the files of the attempts that counted and where their ids
+start among all files. So nothing is renamed or replaced, and what a lost task
+left is never read. Files hold about FILE_BYTES of texts, however large the table.
+
+Encoding: where a tokenizer lower-cases and never joins across white space or
+letters with punctuation (see ``splits``), a worker keeps the ids of the pieces
+it has seen (words, cut before punctuation, in lower case), and the new pieces
+of a batch are encoded together by the tokenizers library. Pieces are looked up
+by hash and compared by their bytes. Pieces that hold an added token's text in
+any case are kept by their exact spelling, as added tokens are matched so. Any
+other tokenizer, and texts in which two pieces share a hash, go through the
+library text by text (``encode_whole``), which is also what tests compare with.
 
 Edge cases: null and empty texts are just the end id. A null doc_id comes first.
-Rows with equal doc_id are ordered by text. An empty table gives no files and no
-rows. Other columns are ignored. A text of any length is encoded whole; only its
-own ids are held in memory.
+Rows with equal doc_id are ordered by a hash of their text and then by text, and
+may lie in several files. An empty table gives no files and no rows. Other
+columns are ignored. A text of any length is encoded whole; only its own ids are
+held in memory. Bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
-import functools
+import json
 import struct
 import zlib
 from urllib.parse import urlparse
@@ -44,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolake.llm.base import new_path, small_batches, stash
-from symbolake.llm.textkernel import EXACT, FOLDED, buffers, chunks, hashes_at, word_starts
+from symbolake.llm.textkernel import EXACT, FOLDED, buffers, chunks, hashes_at, valid, word_starts
 
 MAGIC, FOOTER = b"SYTOKEN1", struct.Struct("<II4Q8s")
 BLOCK = 1 << 14
@@ -52,6 +56,8 @@ BLOCK = 1 << 14
 KNOWN = 1_000_000
 #: Text bytes that are encoded together.
 TOGETHER = 1 << 22
+#: Bytes of texts that one file takes.
+FILE_BYTES = 1 << 28
 #: Sets hashes of exact spellings apart from case-free ones.
 SPELLED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,6 +81,8 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return np.packbits(np.pad(each, ((0, 0), (0, 32 - bits))), axis=1, bitorder="little").view("<u4").ravel()
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 _PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = True
@@ -92,8 +100,25 @@ def piece_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes_at(raw, starts, FOLDED), np.searchsorted(starts, offsets), starts
 
 
+# How a tokenizers file says that it lower-cases and splits words from punctuation.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits(made: dict) -> bool:
+    """Whether pieces of a text may be encoded one by one, whatever their case, by a tokenizer of this description."""
+    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [made.get("pre_tokenizer") or {}]
+    first, rest = steps[0], steps[1:]
+    cut = first.get("type") == "Split" and first.get("pattern") == {"Regex": PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+    whole = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in rest)
+    plain = lambda x: not (x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]) and x["content"].isascii() and not any(c.isspace() or c in ".,;:!?" for c in x["content"])
+    model = made["model"]
+    loose = made.get("truncation") or made.get("padding") or model.get("dropout")
+    return made.get("normalizer") == NORMALIZER and cut and whole and model["type"] == "BPE" and not loose and all(map(plain, made["added_tokens"]))
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizers file that lower-cases and whose pre-tokenizer never crosses a piece."""
+    """Ids of whole texts by a tokenizers file."""
 
     def __init__(self, path: str):
         import os
@@ -102,6 +127,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = splits(json.loads(self.tokenizer.to_str()))
         self.vocabulary = self.tokenizer.get_vocab_size()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
@@ -116,6 +142,7 @@ class Encoder:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.spelling, self.spelled_at, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -136,14 +163,21 @@ class Encoder:
             out[k] = np.array(got.ids, np.uint32)
         return out
 
-    def _learn(self, hashes: np.ndarray, new: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, new: list[str], spelling: np.ndarray, length: np.ndarray) -> None:
+        """Keep the ids of new pieces; ``spelling`` has their bytes as they are compared."""
         ids = self._each(new)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, *ids])
+        spelled_at = len(self.spelling) + np.cumsum(length) - length
+        self.pool, self.spelling = np.concatenate([self.pool, *ids]), np.concatenate([self.spelling, spelling])
         order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
-        self.hashes = np.concatenate([self.hashes, hashes])[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        for name, more in (("hashes", hashes), ("at", at), ("size", size), ("spelled_at", spelled_at), ("length", length)):
+            setattr(self, name, np.concatenate([getattr(self, name), more])[order])
+
+    def _plain(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = raw.tobytes()
+        each = [np.array(self.encode_whole(data[a:b].decode()), np.uint32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([*map(len, each)], dtype=np.int64)])
 
     def _spelled(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Pieces that hold the text of an added token in any case."""
@@ -157,30 +191,52 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of adjacent texts, and the n + 1 offsets of each text's ids."""
+        if not self.by_pieces:
+            return self._plain(raw, offsets)
         hashes, first, starts = piece_hashes(raw, offsets)
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        length = np.add.reduceat(FOLDED.inside[raw], starts, dtype=np.int64)
+        folded = _FOLD[raw]
         spelled = self._spelled(raw, starts)
         if len(spelled):
             hashes[spelled] = hashes_at(raw, starts, EXACT)[spelled] ^ SPELLED
+            at = spans(starts[spelled], length[spelled])
+            folded[at] = raw[at]
         word, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not same(folded, starts, length, folded, starts[where][which], length[where][which]):
+            return self._plain(raw, offsets)
         known = np.zeros(len(word), bool)
         if len(self.hashes):
-            known = self.hashes[np.minimum(np.searchsorted(self.hashes, word), len(self.hashes) - 1)] == word
+            at = np.minimum(np.searchsorted(self.hashes, word), len(self.hashes) - 1)
+            known = self.hashes[at] == word
+            held, own = at[known], where[known]
+            if not same(folded, starts[own], length[own], self.spelling, self.spelled_at[held], self.length[held]):
+                return self._plain(raw, offsets)
         if not known.all():
             if len(self.hashes) + int((~known).sum()) > KNOWN:
                 self.forget()
                 known[:] = False
-            ends = np.append(starts[1:], len(raw))
-            data = raw.tobytes()
-            new = [data[starts[w] : ends[w]].split(None, 1)[0].decode() for w in where[~known]]
-            self._learn(word[~known], new)
+            data, own = raw.tobytes(), where[~known]
+            new = [data[a : a + n].decode() for a, n in zip(starts[own].tolist(), length[own].tolist(), strict=True)]
+            self._learn(word[~known], new, folded[spans(starts[own], length[own])], length[own])
         at = np.searchsorted(self.hashes, word)
         size = self.size[at][which]
-        begin = self.at[at][which]
-        total = np.cumsum(size)
-        source = np.arange(total[-1]) - np.repeat(total - size, size) + np.repeat(begin, size)
-        return self.pool[source], np.concatenate([[0], total])[first]
+        return self.pool[spans(self.at[at][which], size)], np.concatenate([[0], np.cumsum(size)])[first]
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of spans, one after another."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - size), size)
+
+
+def same(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> bool:
+    """Whether each span of ``a`` has the bytes of its span of ``b``."""
+    if not (a_size == b_size).all():
+        return False
+    moved = np.flatnonzero((a_at != b_at) | (a is not b))
+    return bool((a[spans(a_at[moved], a_size[moved])] == b[spans(b_at[moved], b_size[moved])]).all())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -287,12 +343,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             if writer is None:
                 fs, root = _open(folder)
                 fs.create_dir(root, recursive=True)
-                name = f"{root}/part-{part:06d}"
-                temporary = f"{name}.{TaskContext.get().taskAttemptId()}"
-                out = fs.open_output_stream(temporary)
+                name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}"
+                out = fs.open_output_stream(f"{root}/{name}")
                 writer = Writer(out, bits, block)
             doc_ids = batch.column(0).to_pylist()
-            raw, offsets = buffers(batch.column(1))
+            raw, offsets = buffers(valid(batch.column(1)))
             for lo, hi in chunks(offsets, TOGETHER):
                 mine = offsets[lo : hi + 1]
                 ids, at = code.encode(raw[mine[0] : mine[-1]], mine - mine[0])
@@ -301,11 +356,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         if writer is not None:
             writer.close()
             out.close()
-            fs.move(temporary, name)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/part-{part:06d}"], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    # many rows of one doc_id are dealt to several files by the hash
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    ranged = order.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return stash(ranged.mapInArrow(run, MANIFEST), "manifest")
 
 

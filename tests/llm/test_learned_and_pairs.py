@@ -427,6 +427,53 @@ def test_added_tokens_by_their_spelling(tokenizer):
             assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(batch))] == [code.encode_whole(t) for t in batch]
 
 
+def test_added_tokens_in_any_mix(tokenizer):
+    """Random texts with added tokens whole, in mixed case, cut and glued, in any order: the ids are the library's."""
+    rnd = random.Random(8)
+    some = ["<|endoftext|>", "<|startoftext|>", "<|end", "oftext|>", "<|", "|>", "<", " ", "\n", ".", "'s", "É", "e\u0301", "ß", "\u3000", "word", "42", "K"]
+    code = token_files.Encoder(tokenizer)
+    assert code.by_pieces
+    for _ in range(60):
+        texts = ["".join(rnd.choice((str, str.upper, str.title, str.swapcase))(rnd.choice(some)) for _ in range(rnd.randint(0, 12))) for _ in range(20)]
+        ids, at = code.encode(*token_files.buffers(pa.array(texts)))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(20)] == [code.encode_whole(t) for t in texts]
+
+
+def test_equal_hashes_are_told_apart(tokenizer, monkeypatch):
+    """Pieces that share a hash, in one batch or with a piece seen before, still get their own ids."""
+    monkeypatch.setattr(token_files, "hashes_at", lambda raw, starts, alphabet: np.ones(len(starts), np.uint64))
+    for batches in ([["one", "two two", ""]], [["one"], ["two", "one one"]], [["abc"], ["abd"]]):
+        code = token_files.Encoder(tokenizer)
+        for texts in batches:
+            ids, at = code.encode(*token_files.buffers(pa.array(texts)))
+            assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [code.encode_whole(t) for t in texts]
+
+
+def test_other_tokenizers_take_the_plain_way(tokenizer):
+    import public_tokenizers
+
+    code = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not code.by_pieces
+    texts = ["Case Matters, case matters", " leading", "", "tab\tand  spaces\n"]
+    ids, at = code.encode(*token_files.buffers(pa.array(texts)))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [code.encode_whole(t) for t in texts]
+    import json
+
+    made = json.loads(token_files.Encoder(tokenizer).tokenizer.to_str())
+    assert token_files.splits(made)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"model": made["model"] | {"dropout": 0.1}}, {"added_tokens": [made["added_tokens"][0] | {"normalized": True}]}, {"added_tokens": [made["added_tokens"][0] | {"content": "a b"}]}):
+        assert not token_files.splits(made | change)
+
+
+def test_many_rows_of_one_id_fill_several_files(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
+    df = spark.createDataFrame([(None if i % 3 else 7, f"text number {i} " * 5) for i in range(400)], "doc_id long, text string")
+    manifest = token_files.write(df, tokenizer, 1)
+    assert manifest.count() > 10 and manifest.agg({"n_docs": "max"}).first()[0] < 100
+    got = token_files.read(manifest).orderBy("start").collect()
+    assert len(got) == 400 and [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda x: (x is not None, x or 0))
+
+
 def test_token_files_end_to_end(spark, tokenizer, docs, odd_docs, no_docs, tmp_path):
     code = token_files.Encoder(tokenizer)
     for df in (docs, odd_docs):
