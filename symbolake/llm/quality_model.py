@@ -9,16 +9,19 @@ get tables of their own in the same way. To score is to look up a bin for each
 feature and to add.
 
 Fitting runs on the driver over at most TRAIN_ROWS labelled documents, taken by
-the smallest hash of their doc_id; everything else covers all rows. The features
-are computed once and written to the shared folder; they are what fitting and
-scoring read.
+the smallest hash of their doc_id; everything else covers all rows. Features are
+computed in the pass that scores; only those of the documents that are fitted
+are computed before.
 
 Edge cases: null, empty and blank texts are rows of zeros and are scored like any
 other. Null labels and labels without a document are left out; a document with
 several labels has their majority, ties count as 1. Without labels, or with
 labels of one kind, every score is the (smoothed) share of good labels. Rows
-with equal doc_id are scored one by one; a null doc_id is scored and never
-trained on. Labels, lang, source and doc_id are no inputs of a score.
+with equal doc_id are scored one by one and fitted as one, that of the smallest
+features; a null doc_id is scored and never trained on. A very long text is
+measured whole, at some 40 bytes a word. Labels, lang, source and doc_id are no
+inputs of a score. An empty table gives no rows. Other columns are ignored by
+``classify`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolake.llm.base import small_batches, stash
+from symbolake.llm.base import small_batches
 from symbolake.llm.textkernel import EXACT, buffers, chunks, shingle_hashes, word_hashes
 
 FEATURES = (
@@ -124,13 +127,15 @@ class Model:
         total = np.full(len(x), self.base)
         for j, t in enumerate(self.tables):
             total += t[b[:, j]]
+        c = self.coarse(b)
         for i, j, t in self.pairs:
-            total += t[_coarse(b[:, i]), _coarse(b[:, j])]
+            total += t[c[:, i], c[:, j]]
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
-
-def _coarse(b: np.ndarray) -> np.ndarray:
-    return b * PAIR_BINS // BINS
+    def coarse(self, b: np.ndarray) -> np.ndarray:
+        """Bins as cells of the pair tables: each feature's own bins in PAIR_BINS equal shares, or as they are where they are few."""
+        have = np.array([len(c) + 1 for c in self.cuts], np.int64)
+        return np.where(have > PAIR_BINS, b * PAIR_BINS // have, b) if len(have) else b
 
 
 def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int) -> np.ndarray:
@@ -204,7 +209,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
     boost_all(ROUNDS)
     grad, hess = slopes()
-    c = _coarse(b)
+    c = model.coarse(b)
     found = []
     grid = lambda i, j, z: np.bincount(c[:, i] * PAIR_BINS + c[:, j], z, PAIR_BINS**2).reshape(PAIR_BINS, PAIR_BINS)
     for i in range(x.shape[1]):
@@ -225,25 +230,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of every row, written to the shared folder."""
+def measured(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id of every row and its features, or its score by a model."""
     small_batches(docs.sparkSession)
 
-    def run(batches):
+    def run(model, batches):
         for batch in batches:
             x = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(len(FEATURES)))], ["doc_id", *FEATURES])
+            columns = [pa.array(x[:, j]) for j in range(len(FEATURES))] if model is None else [pa.array(model.score(x))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(FEATURES if model is None else ["score"])])
+
+    names = FEATURES if model is None else ["score"]
+    return docs.select("doc_id", "text").mapInArrow(functools.partial(run, model), "doc_id long, " + ", ".join(f"{f} double" for f in names))
 
-    kind = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    return stash(docs.select("doc_id", "text").mapInArrow(run, kind), "features")
 
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """Fit to the labelled documents that are not held out.
 
-def train(table: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit to the labelled rows of a feature table that are not held out."""
+    Null and repeated labels are treated as the module says; without labelled
+    documents the model is a constant.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label_"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = table.join(F.broadcast(picked), "doc_id").select("doc_id", "label_", *FEATURES).toArrow()  # bounded by rows
+    picked = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    found = measured(docs.join(picked.select("doc_id"), "doc_id", "left_semi"))
+    # one row a doc_id, however many the table has of it
+    one = found.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "x.*")
+    got = one.join(picked, "doc_id").toArrow()  # bounded by rows
     x = np.column_stack([got[f].to_numpy() for f in FEATURES]).reshape(-1, len(FEATURES))
     y = got["label_"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y, got["doc_id"].to_numpy()))
@@ -252,25 +265,22 @@ def train(table: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    table = feature_table(docs)
-    model = train(table, labels)
-
-    def run(model, batches):
-        for batch in batches:
-            x = np.column_stack([batch.column(1 + j).to_numpy() for j in range(len(FEATURES))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
-
-    scored = table.mapInArrow(functools.partial(run, model), "doc_id long, score double")
+    scored = measured(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all of their columns."""
-    model = train(feature_table(docs), labels)
+    """The documents that the classifier accepts, with all of their columns.
+
+    Rows with equal doc_id are judged one by one; null and empty texts are judged
+    as rows of zeros; a null doc_id is kept as null. An empty table stays empty.
+    """
+    model = train(docs, labels)
 
     def run(model, batches):
         for batch in batches:
             score = model.score(features(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array(score >= KEEP_SCORE))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(functools.partial(run, model), docs.schema)

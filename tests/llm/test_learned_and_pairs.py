@@ -357,10 +357,53 @@ def test_lookup_tables_score_as_the_sum_of_parts():
     total = model.base + sum(t[b[j]] for j, t in enumerate(model.tables))
     total += sum(t[b[i] * 8 // 32, b[j] * 8 // 32] for i, j, t in model.pairs)
     assert model.score(x[:1])[0] == pytest.approx(1 / (1 + np.exp(-total)))
+    assert all(len(c) == 31 for c in model.cuts)
     again = quality_model.fit(x, y)
     assert (again.score(x) == model.score(x)).all()
 
 
+def test_pairs_of_features_with_few_values():
+    """Features of two or five values have cells of their own in the pair tables."""
+    rnd = np.random.default_rng(3)
+    for values in (2, 5):
+        x = np.column_stack([rnd.integers(0, values, 4000), rnd.integers(0, values, 4000), rnd.normal(size=4000)]).astype(float)
+        y = ((x[:, 0] >= values / 2) ^ (x[:, 1] >= values / 2)).astype(float)
+        model = quality_model.fit(x, y)
+        assert np.mean((model.score(x) > 0.5) == y) > 0.98
+
+
+def test_one_boosting_round_by_brute_force():
+    """A tree's first split and a grid's split are the best of all; values are sums of gradients over curvatures."""
+    rnd = np.random.default_rng(4)
+    gain = lambda g, h: g.sum() ** 2 / (h.sum() + 1.0)
+    for _ in range(50):
+        g, h = rnd.normal(size=12), rnd.uniform(0.1, 2, 12)
+        best = max(range(1, 12), key=lambda k: gain(g[:k], h[:k]) + gain(g[k:], h[k:]))
+        tree = quality_model._tree(g, h, 2)
+        assert tree[:best] == pytest.approx(g[:best].sum() / (h[:best].sum() + 1)) and tree[best:] == pytest.approx(g[best:].sum() / (h[best:].sum() + 1))
+        three = quality_model._tree(g, h, 3)
+        assert len(set(three)) == 3 and (three == tree).sum() >= min(best, 12 - best)
+        g, h = rnd.normal(size=(6, 6)), rnd.uniform(0.1, 2, (6, 6))
+        parts = lambda z, i, j: (z[:i, :j], z[:i, j:], z[i:, :j], z[i:, j:])
+        gains = {(i, j): sum(map(gain, parts(g, i, j), parts(h, i, j))) for i in range(1, 6) for j in range(1, 6)}
+        (i, j), most = max(gains.items(), key=lambda x: x[1])
+        found, value = quality_model._quadrants(g, h)
+        assert found == pytest.approx(most)
+        for own, a, b in zip(parts(value, i, j), parts(g, i, j), parts(h, i, j), strict=True):
+            assert own == pytest.approx(a.sum() / (b.sum() + 1))
+
+
+def test_scores_are_those_of_the_rows_features(spark, docs):
+    """What the query returns is the model on plainly computed features, and repeated doc_ids are fitted once."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    model, again = quality_model.train(docs, labels), quality_model.train(twice, labels)
+    rows = docs.collect()
+    plain = dict(zip((r.doc_id for r in rows), model.score(quality_model.features(pa.array([r.text for r in rows]))), strict=True))
+    assert {r.doc_id: r.score for r in quality_model.classify(twice, labels).collect()} == pytest.approx(plain)
+    assert (again.score(quality_model.features(pa.array(["one two"]))) == model.score(quality_model.features(pa.array(["one two"])))).all()
+
+
 def test_classifier_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (7, None, None), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality_model.classify(odd_docs, labels).collect()
