@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,13 +22,16 @@ def test_rows_law(docs):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
 
 
-def test_ring_against_plain_walk():
+@pytest.mark.parametrize("seed", range(4))
+def test_ring_against_plain_walk(seed):
     """place() on slot counts equals placing keys one by one on the ring."""
-    rnd = __import__("random").Random(5)
-    slots = sorted(rnd.choices(range(64), k=501))
-    runs = sharding.place(Counter(slots), 5, vnodes=7, bits=6)
-    points = sorted((sharding.point(s, k, 6), s) for s in range(5) for k in range(7))
-    room = [501 // 5 + (s < 501 % 5) for s in range(5)]
+    rnd = __import__("random").Random(seed)
+    slots = sorted(rnd.choices(range(64), k=501) + [9] * 200 * (seed % 2))
+    counted = sorted(Counter(slots).items())
+    runs = sharding.place(np.array([c[0] for c in counted]), np.array([c[1] for c in counted]), 5, vnodes=7, bits=6).tolist()
+    points = [*zip(*(x.tolist() for x in sharding.ring(5, 7, 6)), strict=True)]
+    assert points == sorted(points)
+    room = [len(slots) // 5 + (s < len(slots) % 5) for s in range(5)]
     want, ranks = [], Counter()
     for slot in slots:
         at = next((i for i, (p, _) in enumerate(points) if p >= slot), 0)
@@ -41,6 +45,40 @@ def test_ring_against_plain_walk():
     assert [(s, r, got[s, r]) for s, r, _ in want] == want
 
 
+def placed(keys, shards):
+    """Shard of each ascending 64-bit key, and the share that leaves its home."""
+    slot = (keys >> np.uint64(64 - sharding.ring_bits(shards))).astype(np.int64)
+    slots, first, counts = np.unique(slot, return_index=True, return_counts=True)
+    at, out, left = dict(zip(slots.tolist(), first.tolist(), strict=True)), np.empty(len(keys), np.int64), 0
+    for s, a, b, shard, _, home in sharding.place(slots, counts, shards).tolist():
+        out[at[s] + a : at[s] + b] = shard
+        left += (b - a) * (shard != home)
+    return out, left / len(keys)
+
+
+@pytest.mark.parametrize("shards", [8, 64, 512])
+def test_growth_moves_little(shards):
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64 - 1, 300_000, dtype=np.uint64))
+    (before, left), (after, _) = placed(keys, shards), placed(keys, shards + 1)
+    assert left < 0.07
+    assert np.mean(before != after) < 4 / (shards + 1) and np.mean(before != after) < 0.3
+    assert sharding.ring_bits(shards) == {8: 16, 64: 19, 512: 20}[shards]
+
+
+def test_hot_slots_are_numbered_in_parts(spark, monkeypatch):
+    """Equal rows, rows of one doc_id and rows without one: the law holds and no slot is numbered in one task."""
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    rows = [(None, None, "x")] * 300 + [(7, "same", None)] * 200 + [(8, f"other {i}", "y") for i in range(150)] + [(i, f"t{i}", None) for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part_ string")
+    for got in (sharding.shard_table(docs, 8), sharding.shard_documents(docs, 8)):
+        got = got.collect()
+        counts = Counter(r.shard for r in got)
+        assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+        for s in counts:
+            assert sorted(r.slot for r in got if r.shard == s) == [*range(counts[s])]
+    assert Counter((r.doc_id, r.text, r.part_) for r in got) == Counter(rows)
+
+
 def test_few_leave_home(docs):
     got = sharding.shard_table(docs, 4)
     assert got.where("shard <> home_shard").count() < 0.3 * got.count()
