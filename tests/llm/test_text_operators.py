@@ -143,6 +143,19 @@ def test_line_dedup_odd(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], kind), "id", F.col("host"), F.col("text")).count() == 0
 
 
+def test_small_hosts_by_their_ratio(spark):
+    """Two pages share a line: a host of two or three loses it by default, as of any size up to 2 / RATIO; one page loses nothing."""
+    for pages, gone in ((1, False), (2, True), (3, True), (39, True), (41, False)):
+        rows = [(i, "h", f"own {i}\nshared" if i < 2 else f"own {i}") for i in range(pages)]
+        got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "id long, host string, text string"), "id", F.col("host"), F.col("text")).collect()
+        assert {r.text for r in got if r.id < 2} == {f"own {i}" + ("" if gone else "\nshared") for i in range(min(2, pages))}
+
+
+def test_tags_with_quoted_angles(spark):
+    page = """<p title="a>b">T</p><p data-x='1 > 0' class=y>U <a href="x>y" id=z>v</a></p><p data-x=it's>don't</p>a < b, c > d<br/>""" + "<p " + 'a="1" ' * 20_000 + """>X</p><p title="open>W</p>"""
+    assert spark.createDataFrame([(page,)], "h string").select(line_dedup.visible_lines(F.col("h"))).first()[0] == "T\nU v\ndon't\na < b, c > d\nX\nW"
+
+
 def test_hosts_and_visible_lines(spark):
     rows = [("HTTP://User@WWW.Ex.org:80/a?b#c", "www.ex.org"), ("mailto:x", None), (None, None), ("https://a.b", "a.b")]
     df = spark.createDataFrame(rows, "url string, host string")
