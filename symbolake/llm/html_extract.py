@@ -15,16 +15,22 @@ takes out parts with little prose or many links, and a name that may mean conten
 does not count where the parts that have it hold most of the page's prose.
 
 Inside a block, inline elements join without a break, character references are
-decoded and white space becomes one space. Blocks are joined by a newline.
+decoded and white space becomes one space. Blocks are joined by a newline. An
+unwanted inline element leaves its paragraph in one piece.
 
 Broken markup is fine: elements that are never closed end with their parent, a
 block element ends an open paragraph, body or what can not stand in a head ends an
-open head, unknown end tags are ignored, a "<" that
-begins no tag is text. The work is linear in the page and recursion-free.
+open head, unknown end tags are ignored, a "<" that begins no tag is text. A
+quoted value ends at its quote; a quote that is never closed, or closed where no
+attribute ends, ends with its tag. A link may hold blocks; one that is never
+closed ends with its block. Time is linear in the page: sums go up the tree once,
+and no step walks over what is open. There is no recursion.
 
 Edge cases: null, empty, blank or text-free pages give "". A page without any
-container is scored as one. Of equal scores the first container wins. Repeated
-rows give repeated results; other columns are ignored.
+container is scored as one. Of equal scores the first container wins. Where
+everything is named as no content, the least suspect parts are kept. Very long
+pages take some hundred bytes for each tag. Repeated rows give repeated results;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,16 +43,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from symbolake.llm.base import small_batches
-
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = {"script", "style", "template", "noscript", "textarea", "title", "svg", "math", "iframe", "object", "select", "canvas", "audio", "video"}
+from symbolake.llm.textkernel import valid
+
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)|<", re.S)
+#: The attributes of a tag and its end.
+REST = re.compile(r"""([^>=]*+(?:=\s*+(?:"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))?+[^>=]*+)*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
+#: Where the next link begins or ends.
+LINK_EDGE = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+#: Elements whose content is no markup; and those left out with all that they hold.
+RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
+HOLLOW = {"template", "noscript", "svg", "math", "object", "select", "canvas", "audio", "video", "button", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "blockquote", "caption", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "article", "main", "body", "html", "head", "aside", "nav", "header", "footer", "form", "fieldset", "dialog", "menu", "center"}
 #: Blocks that hold text and no other block of their kind; all other blocks may be containers.
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "pre", "figcaption", "caption", "summary"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-OUT = {"nav", "aside", "footer", "form", "dialog", "menu", "button", "fieldset", "head"}
+OUT = {"nav", "aside", "footer", "form", "dialog", "menu", "fieldset", "head", *HOLLOW}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 #: Names of parts that are never content, and of parts that may be.
 FIRM = r"ads?|advert[a-z0-9]*|adsense|nav|navbar|navigation|menu[a-z0-9]*|breadcrumbs?|sidebar[a-z0-9]*|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|newsletter|pager|pagination|skip-?link|login|search-?(?:form|box)"
@@ -54,7 +70,7 @@ LOOSE = r"banner|promo[a-z0-9]*|sponsor[a-z0-9]*|notice|notification|popup|modal
 NAMES = re.compile(rf"(?:^|[\s_-])({FIRM}|{LOOSE})(?=$|[\s_-])", re.I)
 IS_FIRM = re.compile(FIRM, re.I)
 #: Words that may stand beside a name without changing what it says.
-LAYOUT = r"area|articles?|bar|block|body|bottom|box|buttons?|col|column|container|content|form|global|group|header|icons?|inner|items?|label|left|links?|list|main|media|mobile|outer|page|panel|posts?|primary|right|rail|row|secondary|section|site|slot|stories|text|thread|title|top|unit|wrap|wrapper|\d+"
+LAYOUT = r"all|area|articles?|bar|block|blog|body|bottom|box|buttons?|col|column|component|container|content|custom|entry|fb|form|global|group|header|icons?|inner|items?|js|label|latest|left|links?|list|main|media|mobile|module|more|my|new|news|outer|page|panel|posts?|primary|readers?|recent|right|rail|row|secondary|section|single|site|slot|stories|story|text|thread|title|top|unit|users?|visitors?|wrap|wrapper|\d+(?:x\d+)?"
 #: Atomic, so that no token takes more than one try.
 WHOLE = re.compile(rf"(?>(?:[_-]*(?>(?:{FIRM}|{LOOSE}|{LAYOUT})(?=[_-]|$)))+)[_-]*", re.I)
 #: Names of parts that stay out even where nothing else is left.
@@ -66,29 +82,37 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: What an opening tag closes when it is open within the same parent.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SIBLING = 0.2
 #: Share of link text up to which a part beside the best container is prose.
 LINKED = 0.3
 
 
 class Node:
-    __slots__ = ("name", "parent", "out", "word", "kind", "named", "prose", "score", "chars", "links", "depth")
+    """A block element, or an inline element that is left out or has a telling name."""
+
+    __slots__ = ("name", "parent", "out", "word", "kind", "up", "outer", "firm", "article", "depth", "inline", "within", "score", "chars", "links", "prose", "gone", "kept")
 
     def __init__(self, name: str, parent: Node | None, out: bool, word: str = "", kind: str = ""):
         self.name, self.parent, self.out = name, parent, out
-        #: What its class or id calls it, and how surely; ``named`` is the nearest such node from here up.
+        #: What its class or id calls it, and how surely; ``up`` is the nearest node with a name above, ``outer`` whether none above has the same.
         self.word, self.kind = word, kind
-        self.named = self if word else parent.named if parent else None
+        self.up = (parent if parent.word else parent.up) if parent else None
+        self.outer = True
+        self.firm = (self.up.firm if self.up else 0) + (kind == "firm") * (math.inf if NEVER.match(word) else 1)
+        self.article = bool(parent and parent.article) or name in ("article", "main")
+        self.depth = parent.depth + 1 if parent else 0
+        #: Open inline elements, kept from the first that tells on, and how many of each name.
+        self.inline: list[Node] = []
+        self.within: dict[str, int] = {}
         self.score = 0.0
         self.chars = self.links = self.prose = 0
-        self.depth = parent.depth + 1 if parent else 0
+        self.gone = self.kept = False
 
 
 def _unwanted(name: str, attributes: str, inside_article: bool) -> tuple[bool, str, str]:
     """Whether a part is never content; else the name its class or id gives it, and the kind of that name."""
     if name in OUT or (name == "header" and not inside_article):
         return True, "", ""
-    if name in ("html", "body", "article", "main") or not attributes:
+    if name in ("html", "body", "article", "main") or not TELLING.search(attributes):
         return False, "", ""
     word = kind = ""
     for key, value in ATTRIBUTE.findall(attributes):
@@ -111,94 +135,150 @@ def _prose(value: str, linked: int) -> bool:
     return 3 * linked <= len(value) and (len(value) > 40 or value.endswith((".", "!", "?", "。", "！", "？", "…")))
 
 
-def above(node: Node):
-    """The nodes with a name from here up."""
-    node = node.named
-    while node is not None:
-        yield node
-        node = node.parent.named
-
-
 class _Page:
     def __init__(self):
         self.root = Node("", None, False)
-        self.open: list[Node] = [self.root]
-        self.pieces: list[str] = []
-        self.linked = 0  # characters of the open block inside links
-        self.in_link = 0
-        self.block: Node | None = None
-        self.blocks: list[tuple[Node, str, int]] = []
+        self.nodes = [self.root]
+        self.open = [self.root]  # blocks
+        self.within: dict[str, int] = {}  # open blocks by name
+        self.named: dict[tuple[str, str], int] = {}  # open nodes by name and kind
+        #: Texts of the open block: the node that holds each (for its name), the text, and characters inside links.
+        self.pieces: list[tuple[Node, str, int]] = []
+        self.link = 0  # 1: until its end tag; 2: until the block ends
+        self.blocks: list[tuple[Node, list[tuple[Node, str, int]]]] = []
+
+    @property
+    def at(self) -> Node:
+        """The innermost open element that matters."""
+        block = self.open[-1]
+        return block.inline[-1] if block.inline else block
 
     def text(self, value: str) -> None:
         if self.open[-1].name == "head" and value.strip():
             self.close(len(self.open) - 1)
-        if self.open[-1].out:
-            return
-        if self.in_link:
-            self.linked += len(value.strip())
-        self.pieces.append(value)
+        at = self.at
+        if not at.out:
+            self.pieces.append((at, value, len(value.strip()) if self.link else 0))
 
     def flush(self) -> None:
         """The open block ends."""
-        if not self.pieces:
-            return
-        value = " ".join("".join(self.pieces).split())
-        self.pieces, linked, self.linked = [], self.linked, 0
-        if not value:
-            return
-        self.blocks.append((self.open[-1], value, min(linked, len(value))))
+        if self.link == 2:
+            self.link = 0
+        if any(not value.isspace() for _, value, _ in self.pieces):
+            self.blocks.append((self.open[-1], self.pieces))
+        self.pieces = []
+
+    def begin(self, name: str, out: bool, word: str, kind: str) -> Node:
+        node = Node(name, self.at, out, word, kind)
+        self.nodes.append(node)
+        if word:
+            node.outer = not self.named.get((word, kind))
+            self.named[word, kind] = self.named.get((word, kind), 0) + 1
+        return node
+
+    def block(self, name: str, out: bool, word: str, kind: str) -> None:
+        self.open.append(self.begin(name, out, word, kind))
+        self.within[name] = self.within.get(name, 0) + 1
+
+    def span(self, name: str, out: bool, word: str, kind: str) -> None:
+        """An inline element that tells, or lies in one."""
+        block = self.open[-1]
+        if word or block.inline or out and not block.out:
+            block.inline.append(self.begin(name, out, word, kind))
+            block.within[name] = block.within.get(name, 0) + 1
+
+    def end_span(self, name: str) -> None:
+        block = self.open[-1]
+        if block.within.get(name):
+            while True:
+                node = block.inline.pop()
+                block.within[node.name] -= 1
+                self.unname(node)
+                if node.name == name:
+                    break
+
+    def unname(self, node: Node) -> None:
+        if node.word:
+            self.named[node.word, node.kind] -= 1
+
+    def close(self, until: int) -> None:
+        self.flush()
+        for node in self.open[until:]:
+            self.within[node.name] -= 1
+            for x in (node, *node.inline):
+                self.unname(x)
+        del self.open[until:]
+
+    def end_block(self, name: str) -> None:
+        if self.within.get(name):
+            k = len(self.open) - 1
+            while self.open[k].name != name:
+                k -= 1
+            self.close(k)
 
     def drop_named(self) -> None:
-        """Leave out the blocks of parts that their names and their text show to be no content.
+        """Leave out the texts of parts that their names and their text show to be no content.
 
         A name that is a whole token takes its part out; one that never means
         content does unless all prose lies within such parts (then the outermost
         stay), one that may mean content does unless the parts of that name hold
-        most of the prose. A name that is a piece of a token takes out parts with
-        little prose or many links, with the same exception.
+        most of the prose. A name that is a piece of a token takes out parts that
+        are mostly links, with the same exception. Where nothing would be left,
+        all stays.
         """
-        firm = [sum(math.inf if NEVER.match(x.word) else 1 for x in above(at) if x.kind == "firm") for at, _, _ in self.blocks]
-        prose = [len(v) if at.name not in HEADING and _prose(v, linked) else 0 for at, v, linked in self.blocks]
-        least = min((n for n, size in zip(firm, prose, strict=True) if size and n < math.inf), default=0)
-        left = [(*x, size) for x, n, size in zip(self.blocks, firm, prose, strict=True) if n <= least]
-        total, of_name = sum(x[3] for x in left), {}
-        for at, value, linked, size in left:
-            for node in above(at):
-                node.chars, node.links, node.prose = node.chars + len(value), node.links + linked, node.prose + size
-            for name in {(x.word, x.kind) for x in above(at)}:
-                of_name[name] = of_name.get(name, 0) + size
-
-        def gone(node: Node) -> bool:
-            if node.kind == "firm" or 2 * of_name[node.word, node.kind] > total:
-                return False
-            return node.kind == "loose" or not node.prose or 2 * node.links > node.chars
-
-        self.blocks = [x[:3] for x in left if not any(map(gone, above(x[0])))]
+        every = []
+        for block, pieces in self.blocks:
+            for at, value, linked in pieces:
+                own = at if at.word else at.up
+                plain = " ".join(value.split())
+                every.append((own, len(plain), linked, len(plain) if block.name not in HEADING and _prose(plain, linked) else 0))
+        firm = [own.firm if own else 0 for own, _, _, _ in every]
+        least = min((n for n, x in zip(firm, every, strict=True) if x[3] and n < math.inf), default=0)
+        keep, total = [n <= least for n in firm], 0
+        for (own, chars, linked, prose), stays in zip(every, keep, strict=True):
+            if stays:
+                total += prose
+                if own:
+                    own.chars, own.links, own.prose = own.chars + chars, own.links + linked, own.prose + prose
+        named, of_name = [x for x in self.nodes if x.word], {}
+        for x in reversed(named):
+            if x.up:
+                x.up.chars, x.up.links, x.up.prose = x.up.chars + x.chars, x.up.links + x.links, x.up.prose + x.prose
+            if x.outer:
+                of_name[x.word, x.kind] = of_name.get((x.word, x.kind), 0) + x.prose
+        for x in named:
+            if x.kind != "firm" and 2 * of_name[x.word, x.kind] <= total:
+                x.gone = x.kind == "loose" or 2 * x.links > x.chars
+            x.gone = x.gone or bool(x.up and x.up.gone)
+        fine = [stays and not (x[0] and x[0].gone) for x, stays in zip(every, keep, strict=True)]
+        if not any(f and x[1] for f, x in zip(fine, every, strict=True)):
+            fine = keep
+        k = iter(fine)
+        self.texts: list[tuple[Node, str, int]] = []
+        for block, pieces in self.blocks:
+            some = [x for x in pieces if next(k)]
+            if value := " ".join("".join(x[1] for x in some).split()):
+                self.texts.append((block, value, min(sum(x[2] for x in some), len(value))))
 
     def score(self) -> None:
-        for at, _, _ in self.blocks:
-            for node in above(at):
-                node.chars = node.links = 0
-        for at, value, linked in self.blocks:
-            holder = at.parent if at.name in LEAF and at.parent else at
-            points = 1 + value.count(",") + value.count("，") + min(len(value) // 100, 3)
-            if at.name in HEADING:
-                points = 0.5
-            share = 1.0
-            while holder is not None:
-                holder.chars += len(value)
-                holder.links += linked
-                holder.score += points * share
-                share *= 0.5
-                holder = holder.parent
+        for x in self.nodes:
+            x.chars = x.links = 0
+        for at, value, linked in self.texts:
+            holder = _holder(at)
+            points = 0.5 if at.name in HEADING else 1 + value.count(",") + value.count("，") + min(len(value) // 100, 3)
+            holder.chars, holder.links, holder.score = holder.chars + len(value), holder.links + linked, holder.score + points
+        for x in reversed(self.nodes):  # those inside come after
+            if x.parent:
+                x.parent.chars, x.parent.links, x.parent.score = x.parent.chars + x.chars, x.parent.links + x.links, x.parent.score + x.score / 2
 
-    def close(self, until: int) -> None:
-        self.flush()
-        del self.open[until:]
+
+def _holder(at: Node) -> Node:
+    """The container of a block."""
+    return at.parent if at.name in LEAF and at.parent else at
 
 
 def parse(source: str) -> _Page:
-    page, at, n = _Page(), 0, len(source)
+    page, at, n, endless = _Page(), 0, len(source), set()
     while at < n:
         m = TOKEN.search(source, at)
         if not m:
@@ -207,27 +287,32 @@ def parse(source: str) -> _Page:
         if m.start() > at:
             page.text(entities.unescape(source[at : m.start()]))
         at = m.end()
-        name = m.group(2)
-        if name is None:
-            if m.group() == "<":
+        if m[2] is None:
+            if m[0] == "<":
                 page.text("<")
             continue
-        name = name.lower()
-        if m.group(1):
-            if name in BLOCK or any(x.name == name and (x.out or x.word) for x in page.open[-1:]):
-                for k in range(len(page.open) - 1, 0, -1):
-                    if page.open[k].name == name:
-                        page.close(k)
-                        break
-            elif name == "a" and page.in_link:
-                page.in_link -= 1
+        name, rest = m[2].lower(), REST.match(source, at)
+        if not rest:
+            break  # the page ends in a tag
+        at = rest.end()
+        if m[1]:
+            if name == "a":
+                page.link = 0
+            elif name in BLOCK:
+                page.end_block(name)
+            page.end_span(name)
             continue
+        attributes = rest[1]
         if page.open[-1].name == "head" and name not in IN_HEAD:
             page.close(len(page.open) - 1)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            if not m.group().endswith("/>"):
-                at = end.end() if end else n
+            end = None if name in endless else RAW_END[name].search(source, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                break
+            else:
+                endless.add(name)  # without an end what follows is read as usual
             continue
         if name == "br":
             page.text(" ")
@@ -235,30 +320,22 @@ def parse(source: str) -> _Page:
         if name in VOID and name != "hr":
             continue
         if name == "a":
-            page.in_link += 1
-            continue
-        out, word, kind = page.open[-1].out, "", ""
+            edge = LINK_EDGE.search(source, at)
+            page.link = 0 if not HREF.search(attributes) else 1 if edge and edge[1] else 2
+        out, word, kind = page.at.out, "", ""
         if not out:
-            out, word, kind = _unwanted(name, m.group(3) or "", any(x.name in ("article", "main") for x in page.open))
+            out, word, kind = _unwanted(name, attributes, page.open[-1].article)
         if name not in BLOCK:
-            if (out or kind in ("firm", "loose")) and not page.open[-1].out and not m.group().endswith("/>"):
-                page.flush()
-                page.open.append(Node(name, page.open[-1], out, word, kind))
+            if not (attributes.endswith("/") and (name in HOLLOW)):
+                page.span(name, out, word, kind)
             continue
         page.flush()
-        page.in_link = 0
         if name == "hr":
             continue
         # a paragraph or heading never holds a block; items and cells end their like
-        while page.open[-1].name == "p" or page.open[-1].name in HEADING:
+        while page.open[-1].name == "p" or page.open[-1].name in HEADING or page.open[-1].name in CLOSES.get(name, ()):
             page.close(len(page.open) - 1)
-        for k in range(len(page.open) - 1, 0, -1):
-            if page.open[k].name in CLOSES.get(name, ()):
-                page.close(k)
-                break
-            if page.open[k].name in ("ul", "ol", "dl", "table", "div", "section", "article"):
-                break
-        page.open.append(Node(name, page.open[-1], out, word, kind))
+        page.block(name, out, word, kind)
     page.flush()
     page.drop_named()
     page.score()
@@ -269,34 +346,42 @@ def _discounted(node: Node) -> float:
     return node.score * (1 - node.links / node.chars) if node.chars else 0.0
 
 
+def _readable(page: _Page) -> tuple[set[int], set[int]]:
+    """Nodes that hold prose somewhere, and those that hold headings of which every one is a link (teasers)."""
+    prose, linked, plain = set(), set(), set()
+    for at, value, links in page.texts:
+        kind = prose if at.name not in HEADING and _prose(value, links) else linked if at.name in HEADING and 2 * links > len(value) else plain if at.name in HEADING else None
+        node = at if kind is not None else None
+        while node is not None and id(node) not in kind:
+            kind.add(id(node))
+            node = node.parent
+    return prose, linked - plain
+
+
 def _parts(best: Node, page: _Page, holders: dict[int, Node], beside: set[int]) -> set[int]:
-    """Other parts of an article that is not marked as one: what stands beside the best container, or around it, and reads as prose.
+    """Other parts of the article: what stands beside the best container, or around it, and reads as prose.
 
-    Length does not matter, only links do. Beside containers around the best one
-    other parts count up to the body, whose other children must be sections.
+    Length does not matter, only links do; a teaser, whose headings are links, is
+    no part of an article that has other headings. Beside containers around the
+    best one other parts count up to the body, whose other children must be
+    sections. Beside an article or main only what stands next to it counts.
     """
-    prose = set()
-    for at, value, linked in page.blocks:
-        if at.name in HEADING or not _prose(value, linked):
-            continue
-        node = at
-        while node is not None and id(node) not in prose:
-            prose.add(id(node))
-            node = node.parent
+    prose, teasers = _readable(page)
     inside: dict[int, list[Node]] = {}
     for x in holders.values():
         if x.parent is not None:
             inside.setdefault(id(x.parent), []).append(x)
-    keep, node = set(), best
+    keep, node, marked = set(), best, best.name in ("article", "main")
     while node.parent is not None:
         at_top = node.parent.name in ("", "html", "body")
         if not at_top:
             beside.add(id(node.parent))
         for x in inside[id(node.parent)]:
-            text = x.name == "section" or id(x) in prose and (node is best or not at_top)
-            if x is not node and text and x.links <= LINKED * x.chars:
+            near = node is best or not at_top
+            text = x.name == "section" and not marked or id(x) in prose and near
+            if x is not node and text and x.links <= LINKED * x.chars and not (id(x) in teasers and id(best) not in teasers):
                 keep.add(id(x))
-        if at_top:
+        if at_top or marked:
             break
         node = node.parent
     return keep
@@ -306,11 +391,11 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = parse(source)
-    if not page.blocks:
+    if not page.texts:
         return ""
     holders: dict[int, Node] = {}
-    for at, _, _ in page.blocks:
-        node = at.parent if at.name in LEAF and at.parent else at
+    for at, _, _ in page.texts:
+        node = _holder(at)
         while node is not None and id(node) not in holders:
             holders[id(node)] = node
             node = node.parent
@@ -322,22 +407,17 @@ def main_text(source: str | None) -> str:
     while top.parent is not None and top.name not in ("article", "main"):
         top = top.parent
     best = top if top.name in ("article", "main") else best
-    keep = {id(best)}
-    beside: set[int] = set()  # parents whose own prose is kept
-    if best.parent is not None and best.name in ("article", "main"):
-        bar = max(10.0, SIBLING * _discounted(best))
-        keep |= {id(x) for x in holders.values() if x.parent is best.parent and _discounted(x) >= bar}
-    elif best.parent is not None:
+    keep, beside = {id(best)}, set()  # beside: parents whose own headings and prose are kept
+    if best.parent is not None:
         keep |= _parts(best, page, holders, beside)
+    for x in page.nodes:  # those inside come after
+        x.kept = id(x) in keep or bool(x.parent and x.parent.kept)
     text = []
-    for at, value, linked in page.blocks:
-        node = at
-        while node is not None and id(node) not in keep:
-            node = node.parent
-        prose = at.parent is best.parent and at.name == "p" and len(value) > 80 and not at.links
-        own = at.parent if at.name in LEAF and at.parent else at
-        part = id(own) in beside and (at.name in HEADING and not linked or at.name not in HEADING and _prose(value, linked))
-        if node is not None or part or (best.parent is not None and prose):
+    for at, value, linked in page.texts:
+        heading = at.name in HEADING
+        own = id(_holder(at)) in beside and (not linked if heading else _prose(value, linked))
+        paragraph = best.parent is not None and at.parent is best.parent and at.name == "p" and not linked and _prose(value, linked)
+        if at.kept or own or paragraph:
             text.append(value)
     return "\n".join(text)
 
@@ -348,7 +428,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            text = [main_text(x.as_py()) for x in batch.column(2)]
+            text = [main_text(x) for x in valid(batch.column(2)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

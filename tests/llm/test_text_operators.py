@@ -2,7 +2,9 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,12 +99,121 @@ def test_links_count_against_a_container():
     assert main_text(f"<body>{menu}<div><p>{PROSE}</p><p>{PROSE}</p></div></body>").count("A long") == 2
 
 
+SHORT = "One more short section of the same article."
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        # short articles and parts beside long ones, and no teasers of other pages
+        (f"<main><article>{LONG}</article><article><p>{SHORT}</p></article></main>", f"{LONG_TEXT}\n{SHORT}"),
+        (f"<main><article><h2>A</h2>{LONG}</article><div><p>{SHORT}</p></div></main>", f"A\n{LONG_TEXT}\n{SHORT}"),
+        (f"<main><h1>Title</h1><article>{LONG}</article><article><h3><a href=x>Other page</a></h3><p>{SHORT}</p></article></main>", f"Title\n{LONG_TEXT}"),
+        (f"<div><div>{LONG}</div><div><p>{SHORT}</p></div></div>", f"{LONG_TEXT}\n{SHORT}"),
+        # attributes
+        (f"<div><p data-x=it's>{PROSE}</p><p>It's fine, isn't it.</p></div>", f"{PROSE}\nIt's fine, isn't it."),
+        (f'<div><p title="abc>{PROSE}</p><p class="x">{PROSE}</p></div>', f"{PROSE}\n{PROSE}"),
+        (f'<div><p title="abc>{PROSE}</p></div>', PROSE), (f"<div><p title='a > b' data-y=\"<b>c</b>\">{PROSE}</p></div>", PROSE),
+        (f"<div><p data-hidden=1 title='the class=ad role=banner'>{PROSE}</p><p data-class=sidebar>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+        (f"<div><p>{PROSE}</p><p cla", PROSE),
+        # inline elements
+        (f"<p>{PROSE} <span class=share>a<span>b</span>X</span>end</p>", f"{PROSE} end"), (f"<p>one, <button>Buy</button>two, {PROSE}</p>", f"one, two, {PROSE}"),
+        (f"<div><p>{PROSE}<svg><svg><text>x</text></svg>y</svg></p><p>{PROSE}<select><option>1<option>2</select></p></div>", f"{PROSE}\n{PROSE}"),
+        (f"<div><noscript><p>Turn on scripts, please, to see all of this page.</p></noscript><p>{PROSE}</p><title>T {PROSE}</div>", f"{PROSE}\nT {PROSE}"),
+        # names that only look like parts
+        *((f"<article><p>{PROSE}</p><div class='{x}'><p>{PROSE}</p></div><p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}\n{PROSE}") for x in ("notice-of-meeting", "comment-analysis", "menu-items-recipe", "share-price")),
+        (f"<article><p>{PROSE}</p><div class=share-price>12.30</div></article>", f"{PROSE}\n12.30"),
+        (f"<div class='post social'><p>{PROSE}</p></div>", PROSE), ("<div class=social>Hello there</div>", "Hello there"), (f"<body><div class=menu><p>{PROSE}</p></div></body>", PROSE),
+        *((f"<article><p>{PROSE}</p><div class='{x}'><p>{PROSE}</p></div></article>", PROSE) for x in ("user-comments", "recent-comments", "advert-box", "newsletter-signup", "ad-300x250", "comments-wrapper-2")),
+        # links around blocks
+        (f"<body><div>" + "".join(f"<a href=x{k}><div><p>{PROSE}</p></div></a>" for k in range(8)) + f"</div><div><p>{PROSE} Own.</p></div></body>", f"{PROSE} Own."),
+        (f"<div><p><a href=x>{PROSE}</p><p>{PROSE}</p><p>{PROSE} 3.</p></div>", f"{PROSE}\n{PROSE}\n{PROSE} 3."), (f"<div><a name=top><p>{PROSE}</p></div>", PROSE),
+    ],
+)
+def test_odd_markup_loses_nothing(html, want):
+    assert main_text(html) == want
+
+
 def test_deep_and_long_pages_are_linear():
     assert main_text("<div>" * 20_000 + f"<p>{PROSE}</p>") == PROSE
     big = "<article>" + f"<p>{PROSE}</p>" * 20_000 + "</article>"
     assert main_text(big).count("\n") == 19_999
 
 
+@pytest.mark.parametrize(
+    "unit",
+    ["<div>x, y ", "<div class=share>x, y ", "<span class=share>x ", "<p class=\"a", "<a href=x><div>x ", "</section><div>x", "<b><i></b>", "<li><blockquote>x", "<title>", "<button></i>x", "<!-", "<p title='"],
+)
+def test_time_is_linear_in_any_nesting(unit):
+    began = time.process_time()
+    for _ in range(2):
+        main_text(unit * 8_000)
+    assert time.process_time() - began < 2
+
+
+class Tree(HTMLParser):
+    """A plain tree of well-formed pages: [name, parent, children or texts]."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.top = self.at = ["", None, []]
+        self.feed(source)
+
+    def handle_starttag(self, name, attrs):
+        self.at[2].append([name, self.at, []])
+        self.at = self.at[2][-1]
+
+    def handle_endtag(self, name):
+        assert self.at[0] == name
+        self.at = self.at[1]
+
+    def handle_data(self, data):
+        if data.strip():
+            self.at[2].append(data.strip())
+
+
+def plain_score(node, linked=False):
+    """(score, characters, characters in links) of a container by the definition, from its children up."""
+    score = chars = links = 0
+    for x in node[2]:
+        if isinstance(x, str):
+            text, heading, own = x, False, linked
+        elif x[0] in ("p", "h2"):
+            text, heading, own = "".join(y if isinstance(y, str) else y[2][0] for y in x[2]), x[0] == "h2", linked or any(y[0] == "a" for y in x[2] if not isinstance(y, str))
+        else:
+            s, c, n = plain_score(x, linked)
+            score, chars, links = score + s / 2, chars + c, links + n
+            continue
+        score += 0.5 if heading else 1 + text.count(",") + min(len(text) // 100, 3)
+        chars, links = chars + len(text), links + len(text) * own
+    return score, chars, links
+
+
+def test_scores_against_a_plain_tree():
+    rnd = random.Random(6)
+
+    def made(depth):
+        out = []
+        for _ in range(rnd.randint(1, 4)):
+            if depth and rnd.random() < 0.5:
+                out.append(f"<{(tag := rnd.choice(['div', 'section', 'ul']))}>{made(depth - 1)}</{tag}>")
+            else:
+                words = ", ".join("word" * rnd.randint(1, 9) for _ in range(rnd.randint(1, 30)))
+                out.append(rnd.choice([f"<p>{words}</p>", f"<h2>{words}</h2>", f"<p><a href=x>{words}</a></p>", f"<div>{words}</div>"]))
+        return "".join(out)
+
+    for _ in range(60):
+        source = f"<body>{made(4)}</body>"
+        page = html_extract.parse(source)
+        want, todo = [], [Tree(source).top]
+        while todo:
+            node = todo.pop()
+            if node[0] not in ("p", "h2"):
+                want.append((node[0], *plain_score(node)))
+                todo += reversed([x for x in node[2] if not isinstance(x, str) and x[0] != "a"])
+        assert [(x.name, x.score, x.chars, x.links) for x in page.nodes if x.name not in ("p", "h2")] == want
+
+
 def test_extract_odd(spark):
     kind = "page_id long, url string, html string, text int"
     rows = [(1, None, None, 1), (None, "u", "<p>x</p>", 2), (2, "u", "<p>x</p>", 3), (2, "u", "<p>x</p>", 3)]
