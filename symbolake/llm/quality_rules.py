@@ -4,74 +4,92 @@ Each document gets whole-text measures (all of them built-in functions). Their
 distribution within a language and source is kept as a sketch: counts of values
 rounded to six significant bits, so at most a few hundred counters whatever the
 group, exact in rank, within 3 % in value, and mergeable by adding counters. A
-group's fences are its quartiles widened by SPREAD times their distance, and at
-least by the measure's least spread; a group under MIN_GROUP documents takes the
-fences of its language, and a language under MIN_GROUP those of all documents,
-whose sketches are sums of the groups' sketches. Documents are then joined to
-their group's fences and kept when they lie within all of them.
+language's sketch is the sum of its groups' sketches, and that of all documents
+the sum of all. Quartiles are read from the sketches and shrunk to those of the
+next larger sketch as if that had PRIOR documents more of its kind in the group:
+(docs * own + PRIOR * larger) // (docs + PRIOR). So a group of a few documents is
+judged nearly as its language is, a large one by itself, and no count is a cliff.
+A group's fences are its quartiles widened by SPREAD times their distance, and at
+least by the measure's least spread. Documents are then joined to their group's
+fences and kept when they lie within all of them.
 
 Edge cases: null, empty and blank texts have no words and fail the base rule.
 Null languages and sources are groups of their own. Rows with equal doc_id are
-judged one by one. An empty table gives no rows. Other columns are ignored.
+judged one by one. Very long texts are arrays of their words, about 50 bytes a
+word. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolake.llm.base import bare, let, stash, words
+from symbolake.llm.base import SPACE, bare, let, stash, words
 
 MIN_WORDS, MAX_REPEATED = 50, 50
-MIN_GROUP = 100
+#: Documents that the larger sketch counts for within a group.
+PRIOR = 100
 SPREAD = 3
 #: Measures in thousandths, the least spread of each, and whether it has a lower fence.
 MEASURES = (("symbols", 100, False), ("dup_lines", 200, False), ("repeats", 250, False), ("word_len", 1500, True))
 #: Groups whose fences may be broadcast.
-FEW_GROUPS = 1_000_000
+FEW_GROUPS = 200_000
 
 
 def repeated_words(w: Column) -> Column:
-    """Words of an array that lie in a three-word window found twice or more."""
-    n = F.size(w).cast("long")
+    """Words of an array column that lie in a three-word window found twice or more.
+
+    Windows are hashed; texts whose hashes are all distinct end there. Else hashes
+    are sorted with their places in the low bits, and windows next to one of their
+    hash are repeats. Their words are compared, and where two windows only share a
+    hash the text's candidates are sorted by their words instead.
+    """
+    n = F.size(w)
+
+    def windows(h):
+        return F.transform(F.slice(h, 1, F.size(h) - 2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
 
-    def positions(w):
-        bits = F.length(F.bin(n)).cast("int")
-        mask = F.pow(F.lit(2.0), bits).cast("long") - 1
+    def alike(places, p, q):
+        at = lambda x, k: F.get(w, x.bitwiseAND(places).cast("int") + k)
+        return (at(p, 0) == at(q, 0)) & (at(p, 1) == at(q, 1)) & (at(p, 2) == at(q, 2))
 
-        def sorted_windows(h):
-            one = lambda i: F.xxhash64(F.get(h, i.cast("int")), F.get(h, (i + 1).cast("int")), F.get(h, (i + 2).cast("int"))).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i)
-            return F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), n - 3), one))
+    def by_words(p):
+        at = lambda i, k: F.get(w, (i + k).cast("int"))
+        text = F.sort_array(F.transform(p, lambda i: F.struct(F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)).alias("t"), i.alias("i"))))
+        same = lambda s, x, i: F.when(i > 0, F.get(s, i - 1)["t"] == x["t"]).otherwise(False) | F.coalesce(F.get(s, i + 1)["t"] == x["t"], F.lit(False))
+        return let(text, lambda s: F.transform(F.filter(s, lambda x, i: same(s, x, i)), lambda x: x["i"]))
 
-        def candidates(s):
-            key = lambda x: F.coalesce(x, F.lit(0)).bitwiseAND(F.bitwise_not(mask))
-            near = lambda x, i: ((i > 0) & (key(F.get(s, i - 1)) == key(x))) | ((i + 1 < F.size(s)) & (key(F.get(s, i + 1)) == key(x)))
-            return F.transform(F.filter(s, near), lambda x: x.bitwiseAND(mask))
+    def count(keys, places):
+        twin = lambda x, y: x.bitwiseXOR(y).between(F.lit(0).cast("long"), places)
+        ordered = F.sort_array(F.transform(keys, lambda x, i: x.bitwiseAND(F.bitwise_not(places)).bitwiseOR(i.cast("long"))))
+        near = let(ordered, lambda s: F.filter(s, lambda x, i: twin(x, F.get(s, i + 1)) | twin(x, F.get(s, i - 1))))
 
-        def verified(p):
-            at = lambda i, k: F.get(w, (i + k).cast("int"))
-            text = F.sort_array(F.transform(p, lambda i: F.struct(F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)).alias("t"), i.alias("i"))))
-            same = lambda s, x, i: F.when(i > 0, F.get(s, i - 1)["t"] == x["t"]).otherwise(False) | F.coalesce(F.get(s, i + 1)["t"] == x["t"], F.lit(False))
-            return let(text, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: same(s, x, i)), lambda x: x["i"])))
+        def found(s):
+            sound = F.forall(F.transform(s, lambda x, i: ~F.coalesce(twin(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce(alike(places, x, F.get(s, i + 1)), F.lit(True))), lambda x: x)
+            return let(F.transform(s, lambda x: x.bitwiseAND(places)), lambda p: F.when(sound, p).otherwise(by_words(p)))
 
-        hashed = F.transform(w, lambda x: F.xxhash64(x))
-        return let(let(let(hashed, sorted_windows), candidates), verified)
+        return let(let(near, found), lambda p: F.size(F.array_union(F.array_union(p, F.transform(p, lambda x: x + 1)), F.transform(p, lambda x: x + 2))))
 
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
-    step = lambda a, i: F.struct((a["n"] + F.least(F.lit(3).cast("long"), i - a["last"])).alias("n"), i.alias("last"))
-    count = lambda w: F.aggregate(positions(w), start, step, lambda a: a["n"])
-    return F.when(n >= 3, let(w, count)).otherwise(0).cast("long")
+    def some(keys):
+        places = F.pow(F.lit(2.0), F.length(F.bin(F.size(keys).cast("long")))).cast("long") - 1
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(places, lambda m: count(keys, m)))
+
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(n >= 3, let(let(hashed, windows), some)).otherwise(0).cast("long")
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every row, written to the shared folder."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split("t", "\n", -1), lambda x: bare(x) != "")
+    several = F.filter(F.split("t", "\n", -1), lambda x: bare(x) != "")
+    lines = F.when(F.contains("t", F.lit("\n")), several).otherwise(F.filter(F.array("t"), lambda x: F.size("w") > 0))
     base = docs.select("doc_id", "lang", "source", text.alias("t"), words(text).alias("w"))
     out = base.select(
         "doc_id", "lang", "source",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
@@ -91,7 +109,7 @@ def rounded(value: Column) -> Column:
 
 
 def fences(table: DataFrame) -> DataFrame:
-    """lang, source, level and low_/high_ fences of each measure, of every group."""
+    """lang, source, documents and the low and high fences of each measure, of every group."""
     values = F.array(*(F.struct(F.lit(k).alias("k"), rounded(F.col(name)).alias("v")) for k, (name, _, _) in enumerate(MEASURES)))
     sketch = table.where("n_words > 0").select("lang", "source", F.explode(values).alias("m")).groupBy("lang", "source", F.col("m.k").alias("k"), F.col("m.v").alias("v")).agg(F.count("*").alias("n"))
     sketch = stash(sketch, "sketch")
@@ -104,25 +122,28 @@ def fences(table: DataFrame) -> DataFrame:
     ranked = every.withColumn("rank", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy(*group, "k")))
     at = lambda q: F.min(F.when(4 * F.col("rank") >= q * F.col("all"), F.col("v")))
     quartiles = ranked.groupBy(*group, "k").agg(F.max("all").alias("docs"), at(1).alias("low"), at(3).alias("high"))
+    quartiles = stash(quartiles, "quartiles")
+
+    def shrunk(own: DataFrame, larger: DataFrame, on: list[str]) -> DataFrame:
+        """Quartiles of each group moved to those of the next larger sketch."""
+        side = larger.select(*(F.col(c).alias(f"{c}_") for c in (*on, "k")), F.col("low").alias("low_"), F.col("high").alias("high_"))
+        hit = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*on, "k")))
+        to = lambda c: F.expr(f"(docs * {c} + {PRIOR} * {c}_) div (docs + {PRIOR})").alias(c)
+        return own.join(F.broadcast(side) if not on else side, hit).select(*group, "k", "docs", to("low"), to("high"))
+
+    by_language = shrunk(quartiles.where("level = 1"), quartiles.where("level = 0"), [])
+    by_group = shrunk(quartiles.where("level = 2"), by_language, ["lang"])
     least = F.element_at(F.array(*(F.lit(m[1]) for m in MEASURES)), F.col("k") + 1)
     wide = F.greatest(SPREAD * (F.col("high") - F.col("low")), least)
-    quartiles = quartiles.withColumn("lo", F.col("low") - wide).withColumn("hi", F.col("high") + wide)
+    fenced = by_group.withColumn("lo", F.col("low") - wide).withColumn("hi", F.col("high") + wide)
     of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}")
-    flat = quartiles.groupBy(*group).agg(F.max("docs").alias("docs"), *(of(c, k) for k in range(len(MEASURES)) for c in ("lo", "hi")))
-    flat = stash(flat, "fences")
+    flat = fenced.groupBy("lang", "source").agg(F.max("docs").alias("docs"), *(of(c, k) for k in range(len(MEASURES)) for c in ("lo", "hi")))
     names = [f"{c}_{k}" for k in range(len(MEASURES)) for c in ("lo", "hi")]
-    pack = F.struct(*names)
-    langs = flat.where(f"level = 1 and docs >= {MIN_GROUP}").select(F.col("lang").alias("l1"), pack.alias("by_lang"))
-    top = flat.where("level = 0").select(*names).first()
-    whole = F.struct(*(F.lit(top[n]).cast("long").alias(n) for n in names)) if top else F.lit(None).cast("struct<" + ",".join(f"{n}:bigint" for n in names) + ">")
-    own = flat.where("level = 2").join(langs, F.col("lang").eqNullSafe(F.col("l1")), "left")
-    chosen = F.when(F.col("docs") >= MIN_GROUP, pack).when(F.col("by_lang").isNotNull(), F.col("by_lang")).otherwise(whole)
-    level = F.when(F.col("docs") >= MIN_GROUP, "source").when(F.col("by_lang").isNotNull(), "lang").otherwise("all")
-    return own.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), level.alias("fence_level"), chosen.alias("fence"))
+    return flat.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), F.col("docs").alias("fence_docs"), F.struct(*names).alias("fence"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, and the level the fences came from, of every row."""
+    """doc_id, the counts, base_failed, kept, and the documents whose sketch the fences came from, of every row."""
     table = measured(docs)
     for name, part, whole in (("symbols", "n_symbols", "n_words"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"), ("word_len", "word_chars", "n_words")):
         table = table.withColumn(name, thousandths(part, whole))
@@ -137,7 +158,7 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), F.coalesce("fence_level", F.lit("none")).alias("fence_level"),
+        failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), F.coalesce("fence_docs", F.lit(0)).alias("fence_docs"),
     )
 
 
@@ -158,15 +179,16 @@ e AS (SELECT lang, source, k, x // (2 ** greatest(length(bin(x)) - 6, 0))::BIGIN
       FROM (SELECT lang, source, unnest([0, 1, 2, 3]) AS k, unnest([m0, m1, m2, m3]) AS x FROM v WHERE n_words > 0)),
 f AS (SELECT 2 AS level, lang, source, k, v FROM e UNION ALL SELECT 1, lang, NULL, k, v FROM e UNION ALL SELECT 0, NULL, NULL, k, v FROM e),
 q AS (SELECT level, lang, source, k, count(*) AS docs, quantile_disc(v, 0.25) AS low, quantile_disc(v, 0.75) AS high FROM f GROUP BY ALL),
-b AS (SELECT level, lang, source, max(docs) AS docs, max(high + greatest(3 * (high - low), 100)) FILTER (k = 0) AS h0,
+ql AS (SELECT n.lang, n.k, (n.docs * n.low + 100 * z.low) // (n.docs + 100) AS low, (n.docs * n.high + 100 * z.high) // (n.docs + 100) AS high
+       FROM q n JOIN q z ON n.level = 1 AND z.level = 0 AND n.k = z.k),
+qs AS (SELECT a.lang, a.source, a.k, a.docs, (a.docs * a.low + 100 * n.low) // (a.docs + 100) AS low, (a.docs * a.high + 100 * n.high) // (a.docs + 100) AS high
+       FROM q a JOIN ql n ON a.level = 2 AND a.k = n.k AND a.lang IS NOT DISTINCT FROM n.lang),
+f2 AS (SELECT lang, source, max(docs) AS docs, max(high + greatest(3 * (high - low), 100)) FILTER (k = 0) AS h0,
              max(high + greatest(3 * (high - low), 200)) FILTER (k = 1) AS h1, max(high + greatest(3 * (high - low), 250)) FILTER (k = 2) AS h2,
-             max(high + greatest(3 * (high - low), 1500)) FILTER (k = 3) AS h3, max(low - greatest(3 * (high - low), 1500)) FILTER (k = 3) AS l3 FROM q GROUP BY ALL),
-c AS (SELECT a.lang, a.source, CASE WHEN a.docs >= 100 THEN a ELSE CASE WHEN n.docs >= 100 THEN n ELSE z END END AS f,
-             CASE WHEN a.docs >= 100 THEN 'source' WHEN n.docs >= 100 THEN 'lang' ELSE 'all' END AS fence_level
-      FROM b a JOIN b n ON a.level = 2 AND n.level = 1 AND a.lang IS NOT DISTINCT FROM n.lang JOIN b z ON z.level = 0),
-o AS (SELECT v.*, c.fence_level, f, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
-      FROM v LEFT JOIN c ON v.lang IS NOT DISTINCT FROM c.lang AND v.source IS NOT DISTINCT FROM c.source)
+             max(high + greatest(3 * (high - low), 1500)) FILTER (k = 3) AS h3, max(low - greatest(3 * (high - low), 1500)) FILTER (k = 3) AS l3 FROM qs GROUP BY ALL),
+o AS (SELECT v.*, f.docs AS fence_docs, h0, h1, h2, h3, l3, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+      FROM v LEFT JOIN f2 f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(m0 <= f.h0 AND m1 <= f.h1 AND m2 <= f.h2 AND m3 <= f.h3 AND m3 >= f.l3, false) AS kept, coalesce(fence_level, 'none') AS fence_level
+       NOT base_failed AND coalesce(m0 <= h0 AND m1 <= h1 AND m2 <= h2 AND m3 <= h3 AND m3 >= l3, false) AS kept, coalesce(fence_docs, 0)::BIGINT AS fence_docs
 FROM o
 """

@@ -302,6 +302,43 @@ def test_rule_counts(spark, docs, odd_docs, no_docs):
     assert quality_rules.judge(no_docs).count() == 0
 
 
+def test_windows_that_share_a_hash(spark, monkeypatch):
+    """With three hash values for all windows the counts are still those of the words."""
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: real(*c) % 3)
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 30))) for _ in range(200)]
+    df = spark.createDataFrame([*enumerate(texts)], "id long, text string").select("id", F.split("text", " +").alias("w"))
+    got = {r.id: r.n for r in df.select("id", quality_rules.repeated_words(F.col("w")).alias("n")).collect()}
+    assert got == {i: plain_counts(t)[4] for i, t in enumerate(texts)}
+
+
+def test_fences_shrink_by_count(spark):
+    """A group's quartiles move to its language's, and these to all documents', by their counts; no count is a cliff."""
+    rows, rnd = [], random.Random(5)
+    for source, n, size in (("a", 1, 9), ("b", 99, 9), ("c", 100, 9), ("d", 101, 9), ("e", 5000, 9), ("f", 3000, 3)):
+        rows += [(len(rows) + k, "x" if size == 9 else "y", source, 100, 100 * size, 0, 0, 0, 1) for k in range(n)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    for name, value in (("symbols", 0), ("dup_lines", 0), ("repeats", 0)):
+        df = df.withColumn(name, F.lit(value).cast("long"))
+    got = {(r.lang_, r.source_): (r.fence_docs, r.fence.lo_3, r.fence.hi_3) for r in quality_rules.fences(df.withColumn("word_len", F.col("word_chars") * 10)).collect()}
+    nine, three = 8960, 2944  # rounded to six bits
+
+    def shrunk(docs, own, larger):
+        return tuple((docs * a + 100 * b) // (docs + 100) for a, b in zip(own, larger, strict=True))
+
+    def fence(docs, own, larger):
+        low, high = shrunk(docs, own, larger)
+        wide = max(3 * (high - low), 1500)
+        return docs, low - wide, high + wide
+
+    every = (three, nine)  # quartiles of all
+    x, y = shrunk(5301, (nine, nine), every), shrunk(3000, (three, three), every)
+    want = {("x", s): fence(n, (nine, nine), x) for s, n in (("a", 1), ("b", 99), ("c", 100), ("d", 101), ("e", 5000))} | {("y", "f"): fence(3000, (three, three), y)}
+    assert got == want
+
+
 def test_fences_keep_clean_and_drop_junk(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
