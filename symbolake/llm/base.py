@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the word contracts of this package define it.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of a lookup side that may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a lookup side that may be broadcast; beyond it the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -47,7 +49,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage: what follows survives the loss of executors without running
@@ -55,22 +57,45 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *stashes: DataFrame) -> None:
+    """Let go of what finished steps hold: the given written tables, and shuffle files and broadcasts that nothing refers to.
+
+    Spark frees those only when the driver's memory is collected, which a series
+    of many small jobs may not bring about for long. A table that a later step
+    reads must not be given.
+    """
+    for df in stashes:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hold the Arrow batches that go to Python to ``rows`` rows, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str, n_small: int) -> DataFrame:
-    """Join a large side to a lookup side whose row count is known.
+def fits(small: DataFrame) -> bool:
+    """Whether a written side may be broadcast: its measured bytes, with 16 for each row, are within BROADCAST_BYTES."""
+    strings = [F.octet_length(f.name) for f in small.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = 16 + sum(8 * len(f.dataType.fields) if isinstance(f.dataType, T.StructType) else 8 for f in small.schema.fields)
+    rows, size = small.agg(F.count(F.lit(1)), sum((F.coalesce(F.sum(x), F.lit(0)) for x in strings), F.lit(0))).first()
+    return rows * fixed + size <= BROADCAST_BYTES
+
+
+def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join a large side to a written lookup side.
 
-    Broadcast up to ``BROADCAST_ROWS`` rows; beyond, a sort-merge join, whose
-    skewed partitions adaptive execution splits.
+    Broadcast where it ``fits``; beyond, a sort-merge join, whose skewed
+    partitions adaptive execution splits.
     """
-    if n_small <= BROADCAST_ROWS:
+    if fits(small):
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 

@@ -11,9 +11,10 @@ BUDGET; a longer turn has a window of its own, uncut. Each later window begins
 with the system turn (if the first turn is one) and with as many whole turns of
 history as fit in HISTORY tokens. The loss mask covers texts of assistant turns
 that are new in their window, so every target counts once; repeated turns are
-context. Of a whole conversation only token counts are gathered in one place;
-texts meet their windows by the number of their row, so that a conversation of very
-many turns is spread over tasks and its texts are not copied to each window.
+context. Of a whole conversation only token counts are gathered in one place, 24
+bytes a turn (so a conversation may have some ten million turns); texts meet their
+windows by the hash of their row, so that they are read twice and written only as
+windows, and a conversation of very many turns is spread over tasks.
 
 A window is one row: conv_id, window, text, n_context (turns that are repeats)
 and loss, an array of (start, chars) spans of code points in text. ``read_back``
@@ -21,8 +22,9 @@ recovers turns and targets from these columns alone.
 
 Edge cases: null text and null role are empty. Equal turn numbers are ordered by
 role and text, equal rows are turns of their own. A null conv_id is one
-conversation. Conversations without assistant turns have an empty mask. An empty
-table gives no rows. Other columns are ignored.
+conversation, a null turn comes first. Conversations without assistant turns have
+an empty mask. A very long text is a window of its own, in one row. An empty
+table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,21 +56,43 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\\\x00"), F.lit("\\")))
 
 
-def numbered(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns with a row number, and for each row its place in the conversation and the tokens before it.
+KEY = ["key", "key2"]
 
-    Texts are written once; they move for the order only where turn and role are equal.
-    """
+
+def keyed(conversations: DataFrame) -> DataFrame:
+    """Turns without nulls in role and text, and 128 bits of hashes that name a row's content."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
-    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (n_words(text) + FRAME).alias("tokens"))
-    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("same", F.xxhash64("conv_id", "turn", "role")), "turns")
-    ties = stash(rows.groupBy("same").count().where("count > 1").select("same"), "ties")
-    tied = lookup(rows.select("row", "same", "text"), ties, ["same"], "left_semi", ties.count()).select("row", F.col("text").alias("tie"))
-    light = rows.select("row", "conv_id", "turn", "role", "tokens").join(tied, "row", "left")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "tie", "row")
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    return rows.select("*", F.xxhash64("conv_id", "turn", "role", "text").alias("key"), F.xxhash64("text", "role", "turn", "conv_id", F.lit(2)).alias("key2"))
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """For each turn its key, its place in the conversation and the tokens before it.
+
+    Texts move for the order only where turn and role are equal.
+    """
+    light = turns.select("conv_id", "turn", "role", (n_words(F.col("text")) + FRAME).alias("tokens"), *KEY, F.xxhash64("conv_id", "turn", "role").alias("same"))
+    light = stash(light, "turns")
+    ties = stash(light.groupBy("same", *KEY).agg(F.lit(1).alias("one")).groupBy("same").count().where("count > 1").select("same"), "ties")
+    ordered = light.withColumn("tie", F.lit(None).cast("string"))
+    if ties.limit(1).count():
+        tied = lookup(turns.select(*KEY, "text", F.xxhash64("conv_id", "turn", "role").alias("same")), ties, ["same"], "left_semi")
+        tied = tied.groupBy(*KEY).agg(F.min("text").alias("tie"))
+        ordered = light.join(tied, KEY, "left")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "tie")
     up = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    places = light.select("row", "conv_id", (F.row_number().over(order) - 1).alias("i"), (F.col("role") == "system").alias("system"), "tokens", (F.sum("tokens").over(up) - F.col("tokens")).alias("before"))
-    return rows.select("row", "role", "text"), stash(places, "places")
+    places = ordered.select(*KEY, "conv_id", (F.row_number().over(order) - 1).alias("i"), (F.col("role") == "system").alias("system"), "tokens", (F.sum("tokens").over(up) - F.col("tokens")).alias("before"))
+    return stash(places, "places")
+
+
+def one_of_each(turns: DataFrame, places: DataFrame) -> DataFrame:
+    """key, role and text of every content; equal rows, which their places count, once."""
+    some = stash(places.groupBy(*KEY).count().where("count > 1").select(*KEY), "repeats")
+    rows = turns.select(*KEY, "role", "text")
+    if not some.limit(1).count():
+        return rows
+    repeated = lookup(rows, some, KEY, "left_semi").groupBy(*KEY).agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    return lookup(rows, some, KEY, "left_anti").unionByName(repeated)
 
 
 def spans(places: DataFrame, budget: int) -> DataFrame:
@@ -85,15 +109,16 @@ def spans(places: DataFrame, budget: int) -> DataFrame:
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, text, n_context, loss: the formatted windows of every conversation."""
-    turns, places = numbered(conversations)
+    turns = keyed(conversations)
+    places = numbered(turns)
     span = spans(places, budget).withColumnRenamed("conv_id", "conv")
     # a turn has FRAME tokens or more, so history reaches back a bounded number of turns
     near = F.sequence(F.greatest(F.col("first") - history // FRAME, F.lit(0)), F.col("end") - 1)
     wanted = span.select("*", F.explode(F.array_union(F.array(F.lit(0)), near)).alias("at"))
     member = places.join(wanted, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("i") == F.col("at")))
     context = (F.col("start") - F.col("before") <= history) | ((F.col("i") == 0) & F.col("system"))
-    member = stash(member.where((F.col("i") >= F.col("first")) | context).select("row", "conv_id", "window", "i", (F.col("i") < F.col("first")).alias("old")), "members")
-    rows = lookup(turns, member, ["row"], "inner", member.count())
+    member = stash(member.where((F.col("i") >= F.col("first")) | context).select(*KEY, "conv_id", "window", "i", (F.col("i") < F.col("first")).alias("old")), "members")
+    rows = lookup(one_of_each(turns, places), member, KEY, "inner")
     head, body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), escape(F.col("text"))
     framed = F.concat(head, body, F.lit(END), F.lit("\n"))
     turn = F.struct("i", "role", framed.alias("text"), F.length(framed).alias("chars"), F.length(head).alias("head"), F.length(body).alias("body"))
@@ -111,21 +136,22 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns (role and text, in order), target (all text under the mask), formatted_chars."""
+    # windows are gathered as they are, so that each text moves once
+    rows = formatted.select("conv_id", F.struct("window", "text", "n_context", "loss").alias("w"))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
     # text of a turn may end in "<": its marks are those with exactly one bar, found from the left
-    frames = F.regexp_extract_all("text", F.lit(r"(?s)<\|im_start\|>(.*?)<\|im_end\|>\n"), 1)
-    new = let(frames, lambda f: F.slice(f, F.col("n_context") + 1, F.size(f)))
+    frames = lambda x: F.regexp_extract_all(x["text"], F.lit(r"(?s)<\|im_start\|>(.*?)<\|im_end\|>\n"), 1)
+    new = lambda x: let(frames(x), lambda f: F.slice(f, x["n_context"] + 1, F.size(f)))
     turn = lambda t: F.struct(unescape_role(F.substring_index(t, "\n", 1)).alias("role"), unescape(F.substring(t, F.locate("\n", t) + 1, F.length(t))).alias("text"))
-    target = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("text"), s["start"] + 1, s["chars"]))), "")
-    rows = formatted.select("conv_id", F.struct("window", F.transform(new, turn).alias("turns"), target.alias("target"), F.length("text").alias("chars")).alias("w"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
-    turns = F.flatten(F.transform("w", lambda x: x["turns"]))
-    chars = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    return whole.select("conv_id", turns.alias("turns"), F.array_join(F.transform("w", lambda x: x["target"]), "").alias("target"), chars.alias("formatted_chars"))
+    target = lambda x: F.array_join(F.transform(x["loss"], lambda s: unescape(F.substring(x["text"], s["start"] + 1, s["chars"]))), "")
+    turns = F.flatten(F.transform("w", lambda x: F.transform(new(x), turn)))
+    chars = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    return whole.select("conv_id", turns.alias("turns"), F.array_join(F.transform("w", target), "").alias("target"), chars.alias("formatted_chars"))
 
 
 def digest(conversations: DataFrame) -> DataFrame:
     """What ``read_back`` finds in the written windows, as counts and SHA-256 digests."""
-    back = read_back(stash(windows(conversations), "chat"))
+    back = read_back(stash(windows(conversations), "chat", "zstd"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolake.llm.base import stash
+from symbolake.llm.base import fits, stash
 
 RATIO = 0.05
 MIN_PAGES = 2
@@ -61,16 +61,14 @@ def drop_boilerplate(pages: DataFrame, key: str, host: Column, text: Column, rat
     # the hashes of a page's lines are written beside its text, so that counting reads no text
     rows = stash(rows.withColumn("hashes_", F.transform(lines, lambda x: F.xxhash64(x))), "pages")
     hashed = rows.select("row_", "host", F.explode(F.array_distinct("hashes_")).alias("line"))
-    of_host = rows.groupBy("host").agg(F.count("*").alias("n_pages"))
-    n_hosts = of_host.count()
+    of_host = stash(rows.groupBy("host").agg(F.count("*").alias("n_pages")), "hosts")
     counts = hashed.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     counts = counts.withColumnRenamed("host", "h")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    few = F.broadcast(of_host) if n_hosts <= 1_000_000 else of_host
+    few = F.broadcast(of_host) if fits(of_host) else of_host
     often = counts.join(few, same("h", "host")).where(F.col("n") > ratio * F.col("n_pages")).select("h", F.col("line").alias("l"))
     often = stash(often, "boilerplate")
-    n_often = often.count()
-    side = F.broadcast(often) if n_often <= 1_000_000 else often
+    side = F.broadcast(often) if fits(often) else often
     hits = hashed.join(side, same("host", "h") & (F.col("line") == F.col("l"))).groupBy("row_").agg(F.collect_set("line").alias("drop_"))
     joined = rows.join(hits, "row_", "left")
     drop = F.coalesce("drop_", F.array().cast("array<bigint>"))

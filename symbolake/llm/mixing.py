@@ -24,14 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolake.llm.base import n_words, stash
+from symbolake.llm.base import fits, n_words, stash
 
 REPEATS = 3
 #: Hash digits of 15 bits, four of them.
 DIGIT, DIGITS = 15, 4
 WEIGHTS = (1, 2, 3)
-#: Sources that may be broadcast; beyond it their join is shuffled and salted.
-FEW_SOURCES = 100_000
+#: Parts of a hot source where sources are too many to be broadcast.
 SALTS = 32
 
 
@@ -75,7 +74,7 @@ def _with_source(light: DataFrame, side: DataFrame, few: bool) -> DataFrame:
 def thresholds(light: DataFrame) -> DataFrame:
     """source, source_size, target, whole (times all are taken), cut, at_cut (equal to the cut is taken)."""
     sources = stash(targets(stash(light.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")), "sources")
-    few = sources.count() <= FEW_SOURCES
+    few = fits(sources)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = sources.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
     for k in range(DIGITS):
@@ -101,7 +100,7 @@ def thresholds(light: DataFrame) -> DataFrame:
 
 def _taken(light: DataFrame) -> tuple[DataFrame, bool]:
     cuts = thresholds(light)
-    few = cuts.count() <= FEW_SOURCES
+    few = fits(cuts)
     more = (F.col("u") < F.col("cut")) | ((F.col("u") == F.col("cut")) & F.col("at_cut"))
     return _with_source(light, cuts, few).withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0)), few
 
@@ -117,7 +116,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """Every document as many times as the mix takes it, with all of its columns."""
     light = stash(docs.select("source", n_words(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("u")), "words")
     cuts = thresholds(light)
-    few = cuts.count() <= FEW_SOURCES
+    few = fits(cuts)
     # the document travels as one column, so that none of its names clashes
     rows = docs.select(F.struct("*").alias("doc"), "source", hash_of(F.col("doc_id"), F.col("text")).alias("u"), n_words(F.col("text")).alias("size"))
     more = (F.col("u") < F.col("cut")) | ((F.col("u") == F.col("cut")) & F.col("at_cut"))

@@ -26,7 +26,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolake.llm.base import SPACE, bare, let, stash, words
+from symbolake.llm.base import SPACE, bare, fits, let, stash, words
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Documents that the larger sketch counts for within a group.
@@ -34,8 +34,6 @@ PRIOR = 100
 SPREAD = 3
 #: Measures in thousandths, the least spread of each, and whether it has a lower fence.
 MEASURES = (("symbols", 100, False), ("dup_lines", 200, False), ("repeats", 250, False), ("word_len", 1500, True))
-#: Groups whose fences may be broadcast.
-FEW_GROUPS = 200_000
 
 
 def repeated_words(w: Column) -> Column:
@@ -148,7 +146,7 @@ def judge(docs: DataFrame) -> DataFrame:
     for name, part, whole in (("symbols", "n_symbols", "n_words"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"), ("word_len", "word_chars", "n_words")):
         table = table.withColumn(name, thousandths(part, whole))
     limits = stash(fences(table), "limits")
-    side = F.broadcast(limits) if limits.count() <= FEW_GROUPS else limits
+    side = F.broadcast(limits) if fits(limits) else limits
     joined = table.join(side, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
     inside = F.lit(True)
     for k, (name, _, below) in enumerate(MEASURES):

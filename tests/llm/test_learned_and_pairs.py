@@ -73,6 +73,9 @@ def corpus(seed):
     (4, {"FREQUENT": 3, "COMBINE": 3, "SUBCLASSES": 2, "LISTED": 3, "BLOCK": 16}),
     (5, {"FREQUENT": 0, "BITMAP_BITS": 16, "LISTED": 2, "BLOCK": 4}),
     (6, {"PACK": 500, "FREQUENT": 4}),
+    (7, {"PACK": 3000, "LISTED": 3, "BLOCK": 8}),
+    (8, {"PACK": 800, "LISTED": 2, "FREQUENT": 2, "BLOCK": 8}),
+    (9, {"PACK": 9000, "LISTED": 2, "FREQUENT": 3, "SUBCLASSES": 4, "BLOCK": 4}),
 ])
 def test_join_loses_no_link(spark, monkeypatch, seed, settings):
     for k, v in settings.items():
@@ -83,7 +86,7 @@ def test_join_loses_no_link(spark, monkeypatch, seed, settings):
 
 
 def test_join_in_many_packs_and_shuffled_lookups(spark, monkeypatch):
-    monkeypatch.setattr("symbolake.llm.base.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("symbolake.llm.base.BROADCAST_BYTES", 0)
     rows = corpus(9)
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
     assert {tuple(r) for r in got.collect()} == brute(rows)

@@ -140,7 +140,7 @@ def test_mix_hot_source_and_salted_join(spark, monkeypatch):
     rows = [(i, "a b c", "en", "hot" if i % 3 else f"s{i % 7}", 5) for i in range(900)] + [(10_000, "x", None, None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     plain = sorted(map(tuple, mixing.mix_table(docs).fillna("-").collect()))
-    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    monkeypatch.setattr("symbolake.llm.base.BROADCAST_BYTES", 0)
     assert sorted(map(tuple, mixing.mix_table(docs).fillna("-").collect())) == plain
 
 

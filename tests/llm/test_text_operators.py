@@ -394,6 +394,24 @@ def test_chat_round_trip(spark, talks):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == plain_digest(want[r.conv_id])
 
 
+@pytest.mark.parametrize("size", [1 << 20, 0])
+def test_chat_equal_rows(spark, monkeypatch, size):
+    """Turns that are equal in all, or in all but the text, are turns of their own, also where lookups are shuffled."""
+    monkeypatch.setattr("symbolake.llm.base.BROADCAST_BYTES", size)
+    talk = [(1, 0, "assistant", "same", 0, "")] * 900 + [(1, 1, "user", f"t{i % 7}", 0, "") for i in range(50)] + [(None, 5, "user", "same", 0, ""), (5, None, "user", "same", 0, "")]
+    got = {r.conv_id: r for r in chat_format.digest(spark.createDataFrame(talk, ROWS)).collect()}
+    one = [("assistant", "same")] * 900 + sorted(("user", f"t{i % 7}") for i in range(50))
+    for c, want in ((1, one), (None, [("user", "same")]), (5, [("user", "same")])):
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == plain_digest(want)
+
+
+def test_chat_clashing_names(spark):
+    kind = "conv_id long, turn long, role string, text string, key string, key2 string, i string, w string, same string, tie string, tokens string, conv string, at string, first string"
+    df = spark.createDataFrame([(1, 0, "user", "a", *"bcdefghijk"), (1, 1, "assistant", "b", *"bcdefghijk")], kind)
+    (got,) = chat_format.digest(df).collect()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == plain_digest([("user", "a"), ("assistant", "b")])
+
+
 def test_chat_windows(spark, talks):
     tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + chat_format.FRAME
     turns = defaultdict(list)
