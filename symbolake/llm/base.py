@@ -76,9 +76,13 @@ def release(spark: SparkSession, *stashes: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hold the Arrow batches that go to Python to ``rows`` rows, as texts may be long."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
+    """Hold the Arrow batches that go to Python to ``rows`` rows and ``size`` bytes (or one row), as texts may be long.
+
+    These are settings of the session; results do not depend on them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def fits(small: DataFrame) -> bool:

@@ -72,7 +72,7 @@ def corpus(seed):
     (3, {"FREQUENT": 2, "SUBCLASSES": 4, "LISTED": 5, "BLOCK": 8}),
     (4, {"FREQUENT": 3, "COMBINE": 3, "SUBCLASSES": 2, "LISTED": 3, "BLOCK": 16}),
     (5, {"FREQUENT": 0, "BITMAP_BITS": 16, "LISTED": 2, "BLOCK": 4}),
-    (6, {"PACK": 500, "FREQUENT": 4}),
+    (6, {"PACK": 500, "RANGE": 500, "FREQUENT": 4}),
     (7, {"PACK": 3000, "LISTED": 3, "BLOCK": 8}),
     (8, {"PACK": 800, "LISTED": 2, "FREQUENT": 2, "BLOCK": 8}),
     (9, {"PACK": 9000, "LISTED": 2, "FREQUENT": 3, "SUBCLASSES": 4, "BLOCK": 4}),
