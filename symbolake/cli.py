@@ -9,10 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from symbolake import doctor, envelope
 from symbolake.envelope import ERROR, OK, Failure
-from symbolake.model import EMBED_BATCH, GATE_MIN_POPULATION, HIT, SEARCH_K, SIDE, SIMILAR_K, TIMEOUT_S, TOP_K
+from symbolake.model import EMBED_BATCH, ENTRIES, GATE_MIN_POPULATION, HIT, SEARCH_K, SIDE, SIMILAR_K, SNAPSHOT_VERSION, TIMEOUT_S, TOP_K
 from symbolake.operators import diff, lookup, vectors
 from symbolake.plans import indexing, snapshot
 from symbolake.providers import EmbeddingError, Request, Rotation, keys, provider
@@ -31,20 +32,42 @@ def session() -> SparkSession:
     return spark
 
 
+def is_store(path: str) -> bool:
+    """Whether a path names a folder of Parquet versions and no JSON document."""
+    return not path.endswith(".json") and not Path(path).is_file()
+
+
 def read_snapshot(path: str, label: str = "") -> dict:
     """A stored snapshot; a missing one is not an empty one."""
     if not Path(path).exists():
-        raise Failure(f"Snapshot not found{label}: {path}. Run `symbolake scan` first or give another path; a missing snapshot is not taken for an empty one.")
+        raise missing(path, label)
     data = documents.load(path, {})
     if error := documents.snapshot_error(data, path):
         raise Failure(error)
     return data
 
 
+def missing(path: str, label: str = "") -> Failure:
+    return Failure(f"Snapshot not found{label}: {path}. Run `symbolake scan` first or give another path; a missing snapshot is not taken for an empty one.")
+
+
+def open_snapshot(path: str, label: str = "") -> snapshot.Snapshot:
+    """A snapshot as tables: of a store they are scanned, of a document they are made on the driver."""
+    if not is_store(path):
+        return snapshot.from_document(session(), read_snapshot(path, label))
+    version = snapshot.newest(session(), path)
+    if version is None:
+        raise missing(path, label)
+    try:
+        return snapshot.load(session(), version)
+    except ValueError as e:
+        raise Failure(str(e)) from e
+
+
 def read_index(path: str, need_rows: bool = True) -> dict:
     data = documents.load(path, {})
     if need_rows and not data.get("entries"):
-        raise Failure("The index is empty: run `symbolake embed` first.", ERROR)
+        raise Failure(EMPTY, ERROR)
     if error := documents.index_error(data, path):
         raise Failure(error)
     if need_rows and not data.get("centroid"):
@@ -52,27 +75,55 @@ def read_index(path: str, need_rows: bool = True) -> dict:
     return data
 
 
+EMPTY = "The index is empty: run `symbolake embed` first."
+
+
+def open_index(path: str, need_rows: bool = True) -> tuple[indexing.Index, int]:
+    """An index and the number of its entries."""
+    if not is_store(path):
+        data = read_index(path, need_rows)
+        return indexing.from_document(session(), data), len(data.get("entries") or {})
+    version = snapshot.newest(session(), path)
+    index = indexing.load(session(), version) if version else indexing.Index(session().createDataFrame([], ENTRIES))
+    n = index.rows.count()
+    if need_rows and not n:
+        raise Failure(EMPTY, ERROR)
+    if error := documents.index_error({"entries": n, "key_schema": index.key_schema}, path):
+        raise Failure(error)
+    return index, n
+
+
 def rows(df: DataFrame, *names: str) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.select(*names).collect()]
 
 
 def scan(a) -> tuple[dict, list[str]]:
     spark, root = session(), Path(a.root).resolve()
-    before = documents.load(a.out, {})
-    previous = snapshot.placed(snapshot.from_document(spark, before)) if before.get("files") else None
+    if is_store(a.out):
+        version = snapshot.newest(spark, a.out)
+        previous = snapshot.load(spark, version) if version else None
+    else:
+        before = documents.load(a.out, {})
+        previous = snapshot.placed(snapshot.from_document(spark, before)) if before.get("files") else None
     try:
-        built = snapshot.export(snapshot.build(spark, root, a.ignore, previous, a.parser))
+        built = snapshot.build(spark, root, a.ignore, previous, a.parser)
+        if is_store(a.out):
+            kept = snapshot.load(spark, snapshot.save(built, a.out))
+            n = lookup.totals(kept.files, kept.symbols, kept.imports, kept.calls)
+        else:
+            made = snapshot.export(built)
+            documents.save(a.out, made)
+            n = {"files": len(made["files"]), "symbols": sum(map(len, made["symbols"].values())), "files_with_imports": len(made["edges"]["imports"]), "calls": len(made["edges"]["calls"])}
+        built.release()
     except RuntimeError as e:
         raise Failure(str(e), ERROR) from e
-    documents.save(a.out, built)
-    n = sum(map(len, built["symbols"].values()))
-    edges = {"files_with_imports": len(built["edges"]["imports"]), "calls": len(built["edges"]["calls"])}
-    out = {"root": str(root), "out": a.out, "codex_schema_version": built["schema_version"], "files": len(built["files"]), "symbols": n, "edges": edges}
-    return out, [f"{len(built['files'])} file(s), {n} symbol(s) -> {a.out}"]
+    edges = {"files_with_imports": n["files_with_imports"], "calls": n["calls"]}
+    out = {"root": str(root), "out": a.out, "codex_schema_version": SNAPSHOT_VERSION, "files": n["files"], "symbols": n["symbols"], "edges": edges}
+    return out, [f"{n['files']} file(s), {n['symbols']} symbol(s) -> {a.out}"]
 
 
 def _symbols(a):
-    return snapshot.from_document(session(), read_snapshot(a.codex))
+    return open_snapshot(a.codex)
 
 
 def _listed(found: list[dict], say) -> list[str]:
@@ -113,8 +164,7 @@ def unused(a):
 
 
 def diff_(a):
-    spark = session()
-    old, new = (snapshot.from_document(spark, read_snapshot(p, f" ({k})")) for k, p in (("old", a.old), ("new", a.new)))
+    old, new = (open_snapshot(p, f" ({k})") for k, p in (("old", a.old), ("new", a.new)))
     files, symbols = diff.diff_files(old.files, new.files), diff.diff_symbols(old.symbols, new.symbols)
     counts = diff.summary(files, symbols).first().asDict()
     total = counts.pop("total_changes")
@@ -146,64 +196,68 @@ def _rotation(a, source) -> Rotation:
 
 
 def embed(a):
-    data = read_snapshot(a.codex) if Path(a.codex).exists() else None
-    if data is None:
-        raise Failure(f"Snapshot not found: {a.codex}. Run `symbolake scan` first; taking it for empty would prune the whole index.")
+    symbols = open_snapshot(a.codex).symbols
     source = provider(a.provider)
     model, dim = a.model or source.model, a.dimensions or source.dim
     rotation = _rotation(a, source)
-    spark = session()
-    old = indexing.from_document(spark, documents.load(a.index, {"model": model, "dim": dim, "key_schema": 2}))
+    stored = is_store(a.index)
+    if stored:
+        version = snapshot.newest(session(), a.index)
+        old = indexing.load(session(), version) if version else indexing.Index(session().createDataFrame([], ENTRIES), model, dim)
+    else:
+        old = indexing.from_document(session(), documents.load(a.index, {"model": model, "dim": dim, "key_schema": 2}))
     progress = None if a.json else lambda done, n: print(f"  {done}/{n}")
-    got = indexing.refresh(snapshot.from_document(spark, data).symbols, old, rotation.embed, model, dim, a.batch_size, a.timeout, progress)
+    spread = source if stored and source.variable is None else None
+    got = indexing.refresh(symbols, old, rotation.embed, model, dim, a.batch_size, a.timeout, progress, spread)
     if got.discarded:
         print(f"model or size changed ({old.model}/{old.dim} -> {model}/{dim}): {got.discarded} old vector(s) discarded", file=sys.stderr)
-    written = indexing.to_document(got.index)
-    documents.save(a.index, written)
+    if stored:
+        n = indexing.load(session(), indexing.save(got.index, a.index)).rows.count()
+    else:
+        written = indexing.to_document(got.index)
+        documents.save(a.index, written)
+        n = len(written["entries"])
+    got.release()
     if got.error:
         raise Failure(str(got.error))
-    out = {"codex": a.codex, "index": a.index, "provider": source.name, "model": model, "dim": dim, "entries_total": got.total, "entries_indexed": len(written["entries"]), "pruned": got.pruned, "migrated": got.migrated}
-    return out, [f"{got.embedded} embedded, {got.pruned} pruned, {got.migrated} migrated; {len(written['entries'])} in {a.index}"]
+    out = {"codex": a.codex, "index": a.index, "provider": source.name, "model": model, "dim": dim, "entries_total": got.total, "entries_indexed": n, "pruned": got.pruned, "migrated": got.migrated}
+    return out, [f"{got.embedded} embedded, {got.pruned} pruned, {got.migrated} migrated; {n} in {a.index}"]
 
 
 def search(a):
-    data = read_index(a.index)
+    index, n = open_index(a.index)
     source = provider(a.provider)
     rotation = _rotation(a, source)
     try:
         query = rotation.embed(Request((a.question,), "query", a.model or source.model, a.dimensions or source.dim, a.timeout))[0]
     except EmbeddingError as e:
         raise Failure(str(e)) from e
-    index = indexing.from_document(session(), data)
-    gated = len(data["entries"]) >= GATE_MIN_POPULATION
+    gated = n >= GATE_MIN_POPULATION
     found = rows(vectors.search(index.rows, query, index.centroid, a.min_score, a.top_k, a.section), *HIT)
-    text = [] if gated else [f"{len(data['entries'])} entries are too few for the gate"]
+    text = [] if gated else [f"{n} entries are too few for the gate"]
     text += _listed(found, lambda r: f"  [{r['score']:.2f}] {r['name']}  {r['file']}:{r['line']}" + (f"  {r['docstring']}" if r["docstring"] else ""))
     return {"question": a.question, "count": len(found), "threshold_applied": gated, "results": found}, [*text, f"{len(found)} result(s)"]
 
 
 def similar(a):
-    data = read_index(a.index)
-    index = indexing.from_document(session(), data)
-    n = len(data["entries"])
-    pairs, counts = vectors.similar(index.rows, index.centroid, a.min_score, a.section, a.exclude_same_file)
+    index, n = open_index(a.index)
+    above = vectors.similar_pairs(index.rows, index.centroid, a.min_score).persist(StorageLevel.DISK_ONLY)
+    pairs, counts = vectors.similar(index.rows, index.centroid, a.min_score, a.section, a.exclude_same_file, above)
     same = counts.first()[0]
     found = rows(pairs, "score", "a", "b")
+    above.unpersist()
     side = lambda s: f"{s['section']}::{s['name']}  {s['file']}:{s['line']}"
     text = [f"{n} entries, {n * (n - 1) // 2} pair(s), {same} in one file {'left out' if a.exclude_same_file else 'included'}", *(f"  [{r['score']:.2f}] {side(r['a'])}  <->  {side(r['b'])}" for r in found), f"{len(found)} pair(s)"]
     return {"count": len(found), "entries": n, "pairs_considered": n * (n - 1) // 2, "same_file_pairs": same, "excluded_same_file": a.exclude_same_file, "pairs": found}, text
 
 
 def status(a):
-    if not Path(a.codex).exists():
-        raise Failure(f"Snapshot not found: {a.codex}. Run `symbolake scan` first.")
-    held = read_index(a.index, need_rows=False)
-    data = read_snapshot(a.codex)
-    spark = session()
-    index = indexing.from_document(spark, held)
-    got = indexing.stale(snapshot.from_document(spark, data).symbols, index)
-    codex = {"path": a.codex, "resources": sum(map(len, (data.get("symbols") or {}).values())), "schema_version": int(data.get("schema_version") or 0)}
-    out = {"path": a.index, "resources": got["indexed"], "model": index.model, "dim": index.dim, "key_schema": int(held.get("key_schema") or 0), "stale": got["stale"]}
+    data = open_snapshot(a.codex)
+    index, _ = open_index(a.index, need_rows=False)
+    got = indexing.stale(data.symbols, index)
+    codex = {"path": a.codex, "resources": data.symbols.count(), "schema_version": data.schema_version}
+    held = index.key_schema if is_store(a.index) else int(documents.load(a.index, {}).get("key_schema") or 0)
+    out = {"path": a.index, "resources": got["indexed"], "model": index.model, "dim": index.dim, "key_schema": held, "stale": got["stale"]}
     return {"codex": codex, "index": out}, [f"index: {out['resources']}, {index.model or '(none)'} / {index.dim}", f"snapshot: {codex['resources']}, {got['stale']} not indexed"]
 
 

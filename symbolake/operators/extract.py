@@ -10,6 +10,8 @@ from __future__ import annotations
 import ast
 import functools
 import importlib
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -126,20 +128,19 @@ def _line_rows(line: Column, language: str) -> Column:
 
 
 def line_symbols(files: DataFrame, exts: list[str] | None = None) -> DataFrame:
-    """Symbols by the line backend; a file that is not UTF-8 has none."""
-    parts = []
+    """Symbols by the line backend, all languages in one pass; a file that is not UTF-8 has none."""
     exts = [e for e in LANGUAGES if e != ".py"] if exts is None else exts
-    for language in sorted({LANGUAGES[e] for e in exts}):
-        own = files.where(F.col("ext").isin([e for e in exts if LANGUAGES[e] == language]))
-        source = F.try_validate_utf8(F.col("content").cast("string"))
-        lines = own.select("ord", "file", F.posexplode(F.split(source, LINE_BREAK, -1)).alias("at", "text"))
-        rows = lines.select("ord", "file", "at", "text", F.posexplode(_line_rows(F.col("text"), language)).alias("rule", "hit"))
-        parts.append(rows.select(
-            F.col("hit.section").alias("section"), F.col("hit.name").alias("name"), "file", (F.col("at") + 1).cast("int").alias("line"),
-            stripped(F.col("text")).alias("signature"), F.lit("").alias("docstring"), F.lit(language).alias("language"),
-            (F.col("ord") * PER_FILE + F.col("at") * 4 + F.col("rule")).alias("ord"),
-        ))
-    return functools.reduce(DataFrame.unionByName, parts)
+    languages = sorted({LANGUAGES[e] for e in exts})
+    of = lambda pick: functools.reduce(lambda c, x: c.when(F.col("language") == x, pick(x)), languages[1:], F.when(F.col("language") == languages[0], pick(languages[0])))
+    named = F.element_at(F.create_map(*(F.lit(x) for e in exts for x in (e, LANGUAGES[e]))), F.col("ext"))
+    own = files.where(F.col("ext").isin(exts)).select("ord", "file", named.alias("language"), F.try_validate_utf8(F.col("content").cast("string")).alias("source"))
+    lines = own.select("ord", "file", "language", F.posexplode(F.split("source", LINE_BREAK, -1)).alias("at", "text"))
+    rows = lines.select("ord", "file", "language", "at", "text", F.posexplode(of(lambda x: _line_rows(F.col("text"), x))).alias("rule", "hit"))
+    return rows.select(
+        F.col("hit.section").alias("section"), F.col("hit.name").alias("name"), "file", (F.col("at") + 1).cast("int").alias("line"),
+        stripped(F.col("text")).alias("signature"), F.lit("").alias("docstring"), "language",
+        (F.col("ord") * PER_FILE + F.col("at") * 4 + F.col("rule")).alias("ord"),
+    )
 
 
 # Grammar packages and the attribute that gives each language.
@@ -185,75 +186,98 @@ def _say(node) -> str:
     return node.text.decode("utf-8", "replace") if node is not None else ""
 
 
-def _type_name(node) -> str | None:
-    """The first type identifier at or below a node, depth first."""
-    todo = [node] if node is not None else []
-    while todo:
-        at = todo.pop()
-        if at.type == "type_identifier":
-            return _say(at)
-        todo += reversed(at.children)
-    return None
+def _field(name: str):
+    return lambda node: _say(node.child_by_field_name(name))
+
+
+def _child(*types: str):
+    return lambda node: next((_say(c) for c in node.children if c.type in types), "")
+
+
+def _type_in(name: str):
+    """The first type identifier at or below a field, depth first."""
+
+    def found(node) -> str:
+        todo = [node.child_by_field_name(name)]
+        while todo:
+            at = todo.pop()
+            if at is not None and at.type == "type_identifier":
+                return _say(at)
+            todo += reversed(at.children) if at is not None else ()
+        return ""
+
+    return found
+
 
+def _holds(*types: str):
+    return lambda node: any(c.type in types for c in node.children)
 
-def _child(node, *types: str) -> str | None:
-    return next((_say(c) for c in node.children if c.type in types), None)
+
+@dataclass(frozen=True)
+class Declares:
+    """What a node type declares: its section and name, under which owner, and what lies in it."""
+
+    name: Callable | None = None
+    section: str = ""
+    #: Section where there is an owner around it; "" where the node then declares nothing else.
+    member: str = ""
+    #: Prefix of the name, if not the owner around it.
+    owner: Callable | None = None
+    #: Owner of what lies in the node; None leaves it as it is.
+    opens: Callable | None = None
+    enter: bool = True
+    when: Callable = lambda node: True
+    #: Whether a node that is the only one of its type in its parent is shown as the parent.
+    shown_whole: bool = False
+
+
+_NAMED = _child("identifier", "type_identifier")
+_FUNCTION = Declares(_NAMED, "generic_functions", "generic_methods")
+_SCRIPT = {
+    "class_declaration": Declares(lambda n: _NAMED(n) or "?", "generic_classes", opens=lambda n: _NAMED(n) or "?"),
+    "method_definition": Declares(_child("property_identifier"), "", "generic_methods"),
+    "function_declaration": _FUNCTION,
+    "variable_declarator": replace(_FUNCTION, when=_holds("arrow_function", "function_expression")),
+}
+_RUST_TYPE = Declares(_field("name"), "generic_classes", enter=False)
+#: Node types that declare something, by language.
+DECLARATIONS = {
+    "javascript": _SCRIPT,
+    "typescript": _SCRIPT,
+    "go": {
+        "function_declaration": Declares(_field("name"), "generic_functions", enter=False),
+        "method_declaration": Declares(_field("name"), "generic_functions", owner=_type_in("receiver"), enter=False),
+        "type_spec": Declares(_field("name"), "generic_classes", enter=False, when=lambda n: getattr(n.child_by_field_name("type"), "type", "") == "struct_type", shown_whole=True),
+    },
+    "rust": {
+        "impl_item": Declares(opens=_type_in("type")),
+        "function_item": Declares(_field("name"), "generic_functions", "generic_functions", enter=False),
+        "struct_item": _RUST_TYPE,
+        "enum_item": _RUST_TYPE,
+    },
+}
 
 
 def tree_symbols(root, language: str) -> list[tuple[str, str, int, str]]:
     """(section, name, line, signature) of the declarations of a syntax tree, in order of the source."""
-    out: list[tuple[str, str, int, str]] = []
-
-    def add(section: str, name: str, node) -> None:
-        out.append((section, name, node.start_point[0] + 1, (_say(node).splitlines() or [""])[0].strip()))
-
-    def script(node, owner):
-        kind, inside, name = node.type, owner, None
-        section = "generic_methods" if owner else "generic_functions"
-        if kind == "class_declaration":
-            inside = _child(node, "identifier", "type_identifier") or "?"
-            add("generic_classes", inside, node)
-        elif kind == "method_definition":
-            name = _child(node, "property_identifier") if owner else None
-        elif kind == "function_declaration" or (kind == "variable_declarator" and any(c.type in ("arrow_function", "function_expression") for c in node.children)):
-            name = _child(node, "identifier", "type_identifier")
-        if name:
-            add(section, f"{owner}.{name}" if owner else name, node)
-        return inside, node.children
-
-    def go(node, owner):
-        if node.type in ("function_declaration", "method_declaration"):
-            name, of = _say(node.child_by_field_name("name")), None
-            if node.type == "method_declaration":
-                of = _type_name(node.child_by_field_name("receiver"))
-            if name:
-                add("generic_functions", f"{of}.{name}" if of else name, node)
-            return owner, []
-        if node.type == "type_declaration":
-            specs = [c for c in node.children if c.type == "type_spec"]
-            for spec in specs:
-                kind, name = spec.child_by_field_name("type"), _say(spec.child_by_field_name("name"))
-                if name and kind is not None and kind.type == "struct_type":
-                    add("generic_classes", name, node if len(specs) == 1 else spec)
-            return owner, []
-        return owner, node.children
-
-    def rust(node, owner):
-        if node.type == "impl_item":
-            return _type_name(node.child_by_field_name("type")), node.children
-        name = _say(node.child_by_field_name("name")) if node.type in ("function_item", "struct_item", "enum_item") else ""
-        if name and node.type == "function_item":
-            add("generic_functions", f"{owner}.{name}" if owner else name, node)
-        elif name:
-            add("generic_classes", name, node)
-        return owner, [] if node.type in ("function_item", "struct_item", "enum_item") else node.children
-
-    visit = {"go": go, "rust": rust}.get(language, script)
-    todo = [(child, None) for child in reversed(root.children)]
+    rules, out = DECLARATIONS[language], []
+    todo = [(c, root, "") for c in reversed(root.children)]
     while todo:
-        node, owner = todo.pop()
-        owner, children = visit(node, owner)
-        todo += [(c, owner) for c in reversed(children)]
+        node, parent, owner = todo.pop()
+        rule, within = rules.get(node.type), owner
+        if rule is not None:
+            section = rule.member if owner and rule.member else rule.section
+            name = rule.name(node) if rule.name and section and rule.when(node) else ""
+            if name:
+                prefix = rule.owner(node) if rule.owner else owner if rule.member else ""
+                alone = rule.shown_whole and sum(c.type == node.type for c in parent.children) == 1
+                shown = parent if alone else node
+                first = (_say(shown).splitlines() or [""])[0].strip()
+                out.append((section, f"{prefix}.{name}" if prefix else name, shown.start_point[0] + 1, first))
+            within = rule.opens(node) if rule.opens else owner
+            if not rule.enter:
+                continue
+        todo += [(c, node, within) for c in reversed(node.children)]
     return out
 
 

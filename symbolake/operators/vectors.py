@@ -82,14 +82,15 @@ def gate(scored: DataFrame, k: float, column: str = "score", minimum: int = GATE
     """Rows whose score is at least mean + k * deviation of all rows.
 
     Scores are compared after the smallest one is taken off, so that equal
-    scores all pass.
+    scores all pass. One aggregation gives all that the cutoff needs.
     """
-    low, n = scored.agg(F.min(column), F.count(column)).first()
+    score = F.col(column)
+    n, low, high, mean, sd = scored.agg(F.count(score), F.min(score), F.max(score), F.avg(score), F.stddev_pop(score)).first()
     if n < minimum:
         return scored
-    shifted = F.col(column) - F.lit(low)
-    mean, sd = scored.agg(F.avg(shifted), F.stddev_pop(shifted)).first()
-    return scored.where(shifted >= mean + k * sd)
+    if low == high:
+        return scored.where(score.isNotNull())
+    return scored.where(score - F.lit(low) >= F.lit((mean - low) + k * sd))
 
 
 def scores(entries: DataFrame, query: list[float], centre: list[float]) -> DataFrame:
@@ -199,16 +200,19 @@ def similar_pairs(entries: DataFrame, centre: list[float], k: float = SIMILAR_K,
     return _sides(vectors, n, block).groupBy("i", "j").applyInArrow(above, "a long, b long, score double")
 
 
-def similar(entries: DataFrame, centre: list[float], k: float = SIMILAR_K, section: str | None = None, exclude_same_file: bool = False) -> tuple[DataFrame, DataFrame]:
+def similar(entries: DataFrame, centre: list[float], k: float = SIMILAR_K, section: str | None = None, exclude_same_file: bool = False, above: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs above the gate with both sides, and one row of counts.
 
+    ``above`` gives the result of ``similar_pairs`` where the caller holds it, as
+    both the rows and the counts read it.
+
     pairs: score, a, b (structs of section, name, file, line), a_ord, b_ord.
     counts: same_file_pairs (before the filters by file and section).
     """
     side = F.struct("section", "name", "file", "line")
     named = entries.select("ord", side.alias("side"))
     left, right = (named.select(F.col("ord").alias(c), F.col("side").alias(f"{c}_side")) for c in ("a", "b"))
-    pairs = similar_pairs(entries, centre, k).join(left, "a").join(right, "b")
+    pairs = (similar_pairs(entries, centre, k) if above is None else above).join(left, "a").join(right, "b")
     pairs = pairs.select("score", F.col("a_side").alias("a"), F.col("b_side").alias("b"), F.col("a").alias("a_ord"), F.col("b").alias("b_ord"))
     same = F.col("a.file") == F.col("b.file")
     counts = pairs.agg(F.count_if(same).alias("same_file_pairs"))

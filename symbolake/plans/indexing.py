@@ -1,17 +1,19 @@
-"""Life cycle of the vector index kept as a JSON document."""
+"""Life cycle of the vector index, kept as a JSON document or as a store of Parquet versions."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from symbolake.model import EMBED_BATCH, ENTRIES, KEY_VERSION, TIMEOUT_S
 from symbolake.operators import index as ops
 from symbolake.operators import vectors
-from symbolake.providers import Request
+from symbolake.providers import Request, embed_table
 
 FIELDS = ("section", "name", "file", "line", "signature", "docstring", "hash", "vector")
 
@@ -38,6 +40,24 @@ def to_document(index: Index) -> dict:
     return {"model": index.model, "dim": index.dim, "key_schema": KEY_VERSION, "centroid": index.centroid, "entries": entries}
 
 
+META = "model string, dim int, key_schema int, centroid array<double>"
+
+
+def save(index: Index, folder: str) -> str:
+    """Store the rows as Parquet under a new version of ``folder``; returns the version's path."""
+    spark, path = index.rows.sparkSession, f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
+    index.rows.write.parquet(f"{path}/entries")
+    meta = spark.createDataFrame([(index.model, index.dim, KEY_VERSION, index.centroid)], META)
+    meta.withColumn("saved", F.current_timestamp()).coalesce(1).write.parquet(f"{path}/meta")
+    return path
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """A stored index; its rows are read from Parquet where a plan needs them."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return Index(spark.read.schema(ENTRIES).parquet(f"{path}/entries"), meta["model"], meta["dim"], meta["key_schema"], [*meta["centroid"]])
+
+
 @dataclass
 class Refreshed:
     index: Index
@@ -47,15 +67,22 @@ class Refreshed:
     embedded: int
     discarded: int
     error: Exception | None = None
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Let go of what is kept in storage while the index is written."""
+        while self.held:
+            self.held.pop().unpersist()
 
 
-def refresh(symbols: DataFrame, old: Index, embed: Callable[[Request], list[list[float]]], model: str, dim: int, batch: int = EMBED_BATCH, timeout: float = TIMEOUT_S, progress: Callable[[int, int], None] | None = None) -> Refreshed:
+def refresh(symbols: DataFrame, old: Index, embed: Callable[[Request], list[list[float]]], model: str, dim: int, batch: int = EMBED_BATCH, timeout: float = TIMEOUT_S, progress: Callable[[int, int], None] | None = None, on_executors=None) -> Refreshed:
     """Bring an index up to date with symbols.
 
     Another model or size starts a new index. Old keys are made again from the
     rows, rows without a symbol are pruned, and what is new or has another hash
     is embedded batch by batch. A provider error ends embedding; what was done by
-    then is kept, and the error is returned with it.
+    then is kept, and the error is returned with it. A provider without keys may be
+    given as ``on_executors``; then no vector passes through the driver.
     """
     spark = symbols.sparkSession
     entries = ops.entries_of(symbols, model, dim).persist()
@@ -81,20 +108,27 @@ def refresh(symbols: DataFrame, old: Index, embed: Callable[[Request], list[list
         if progress:
             progress(done, n)
 
-    try:
-        for r in todo.toLocalIterator():
-            waiting.append(r)
-            if len(waiting) == batch:
+    held = [entries]
+    if on_executors is not None:
+        made = embed_table(todo, on_executors, model, dim, batch).persist(StorageLevel.DISK_ONLY)
+        held.append(made)
+        new, done = todo.join(made, "key").select(kept.columns), n
+    else:
+        try:
+            for r in todo.toLocalIterator():
+                waiting.append(r)
+                if len(waiting) == batch:
+                    send()
+            if waiting:
                 send()
-        if waiting:
-            send()
-    except RuntimeError as e:
-        error = e
-    rows = ops.upsert(kept, spark.createDataFrame(fresh, ENTRIES)) if fresh else kept
+        except RuntimeError as e:
+            error = e
+        new = spark.createDataFrame(fresh, ENTRIES)
+    rows = ops.upsert(kept, new) if done else kept
     # a centroid belongs to its version of the index: it is computed once, over rows in their order
     some = rows.where(F.size("vector") > 0)
     index = Index(rows, model, dim, KEY_VERSION, vectors.centroid(some))
-    return Refreshed(index, symbols.count(), pruned, migrated, done, discarded, error)
+    return Refreshed(index, symbols.count(), pruned, migrated, done, discarded, error, held)
 
 
 def stale(symbols: DataFrame, index: Index) -> dict[str, int]:

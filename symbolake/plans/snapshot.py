@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,12 @@ class Snapshot:
     root: str = ""
     schema_version: int = SNAPSHOT_VERSION
     parser: str = "auto"
-    views: dict = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Let go of what ``build`` keeps in storage while the tables are written."""
+        while self.held:
+            self.held.pop().unpersist()
 
     def register(self, prefix: str = "") -> None:
         """Make the tables available to SQL."""
@@ -72,7 +78,17 @@ def build(spark: SparkSession, root: str | Path, globs: Sequence[str] = (), prev
         symbols = symbols.unionByName(old.select(symbols.columns))
         imports = imports.unionByName(previous.imports.join(moved.select("file"), "file", "left_semi"))
         calls = calls.unionByName(previous.calls.join(moved.select("file"), "file", "left_semi").select(calls.columns))
-    return Snapshot(files.select("file", "sha256", "ord"), symbols, imports, calls, str(root), SNAPSHOT_VERSION, parser)
+    return Snapshot(files.select("file", "sha256", "ord"), symbols, imports, calls, str(root), SNAPSHOT_VERSION, parser, [files, facts])
+
+
+def by_file(imports: DataFrame) -> DataFrame:
+    """file and its modules, each once and in order."""
+    return imports.groupBy("file").agg(F.array_sort(F.collect_set("module")).alias("modules"))
+
+
+def by_section(symbols: DataFrame) -> DataFrame:
+    """section, its first place and the number of its symbols: sections stand in order of their first symbol."""
+    return symbols.groupBy("section").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("symbols"))
 
 
 def export(snapshot: Snapshot) -> dict:
@@ -81,9 +97,8 @@ def export(snapshot: Snapshot) -> dict:
     for r in snapshot.symbols.orderBy("ord").toLocalIterator():
         by_section.setdefault(r["section"], []).append({k: r[k] for k in ("name", "file", "line", "signature", "docstring", "language")})
     modules: dict[str, list[str]] = {}
-    grouped = snapshot.imports.groupBy("file").agg(F.array_sort(F.collect_set("module")).alias("m"))
-    for r in grouped.orderBy("file").toLocalIterator():
-        modules[r["file"]] = list(r["m"])
+    for r in by_file(snapshot.imports).orderBy("file").toLocalIterator():
+        modules[r["file"]] = list(r["modules"])
     calls = [r.asDict() for r in snapshot.calls.select("file", "caller", "callee", "line").orderBy("file", "caller", "callee").toLocalIterator()]
     files = {r["file"]: r["sha256"] for r in snapshot.files.orderBy("ord").toLocalIterator()}
     return {"root": snapshot.root, "schema_version": SNAPSHOT_VERSION, "parser": snapshot.parser, "files": files, "symbols": by_section, "edges": {"language": EDGE_LANGUAGE, "imports": modules, "calls": calls}}
@@ -120,10 +135,22 @@ def save(snapshot: Snapshot, folder: str) -> str:
         writer = getattr(snapshot, name).write
         (writer.partitionBy("section") if name == "symbols" else writer).parquet(f"{path}/{name}")
     meta = "root string, schema_version int, parser string"
-    snapshot.files.sparkSession.createDataFrame([(snapshot.root, SNAPSHOT_VERSION, snapshot.parser)], meta).coalesce(1).write.parquet(f"{path}/meta")
+    spark = snapshot.files.sparkSession
+    # written last: a version without it is not complete
+    spark.createDataFrame([(snapshot.root, SNAPSHOT_VERSION, snapshot.parser)], meta).withColumn("saved", F.current_timestamp()).coalesce(1).write.parquet(f"{path}/meta")
     return path
 
 
+def newest(spark: SparkSession, folder: str) -> str | None:
+    """The path of the last complete version in a store of snapshots or indexes."""
+    try:
+        meta = spark.read.parquet(f"{folder.rstrip('/')}/v-*/meta").select("saved", F.col("_metadata.file_path").alias("file"))
+    except AnalysisException:
+        return None
+    last = meta.orderBy(F.desc("saved"), "file").first()
+    return last["file"].rsplit("/meta/", 1)[0] if last else None
+
+
 def load(spark: SparkSession, path: str) -> Snapshot:
     """A stored snapshot; one of another version is an error."""
     meta = spark.read.parquet(f"{path}/meta").first()

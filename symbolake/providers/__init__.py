@@ -163,7 +163,7 @@ class Rotation:
                 self.left.pop(0)
 
 
-def embed_table(entries: DataFrame, source, model: str, batch: int = 50) -> DataFrame:
+def embed_table(entries: DataFrame, source, model: str, dim: int | None = None, batch: int = 50) -> DataFrame:
     """key and vector of every (key, text), by a provider that needs no key, on the executors."""
 
     def run(batches):
@@ -171,7 +171,7 @@ def embed_table(entries: DataFrame, source, model: str, batch: int = 50) -> Data
             texts = part.column(1).to_pylist()
             out: list[list[float]] = []
             for i in range(0, len(texts), batch):
-                out += source.embed(Request(tuple(texts[i : i + batch]), "document", model, source.dim))
+                out += source.embed(Request(tuple(texts[i : i + batch]), "document", model, dim or source.dim))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.float64()))], ["key", "vector"])
 
     return entries.select("key", "text").mapInArrow(run, "key string, vector array<double>")

@@ -7,12 +7,17 @@ parts where an operator parses.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolake.functions import entry_hash, entry_key, entry_text, last_segment
+from symbolake.model import HIT
 from symbolake.operators import diff, extract, index, lookup, vectors
+from symbolake.plans import snapshot
+from symbolake.plans.ranking import digits, joined, ranked
+from symbolake.providers import Local, embed_table
 from symbolake.sources.tree import path_order, skipped
+from symbolake.streaming import change_counts, latest
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +59,11 @@ def vector_entries(spark, sf_dir) -> DataFrame:
     )
 
 
-UNIT = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v) GROUP BY i)),
-d AS (SELECT vec_id, label, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS d FROM v, c),
-r AS (SELECT vec_id, label, list_transform(d, lambda x: x / sqrt(list_dot_product(d, d))) AS r FROM d)"""
+UNIT = """v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+c AS MATERIALIZED (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v) GROUP BY i)),
+d AS MATERIALIZED (SELECT vec_id, label, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS d FROM v, c),
+n AS MATERIALIZED (SELECT vec_id, label, d, sqrt(list_dot_product(d, d)) AS n FROM d),
+r AS MATERIALIZED (SELECT vec_id, label, list_transform(d, lambda x: x / n) AS r FROM n)"""
 
 
 def sources(spark, sf_dir, language: str) -> DataFrame:
@@ -133,18 +139,16 @@ def content_hash(spark, sf_dir):
 @query("""WITH cur AS (SELECT doc_id AS file, sha256(text) AS h FROM documents), prev AS (SELECT doc_id AS file, CASE WHEN doc_id % 11 = 0 THEN 'changed' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 3)
 SELECT cur.file, CASE WHEN prev.file IS NULL THEN 'parsed' ELSE 'reused' END AS how FROM cur LEFT JOIN prev ON cur.file = prev.file AND cur.h = prev.h""")
 def incremental_reuse(spark, sf_dir):
-    from symbolake.plans.snapshot import split_unchanged
-
     files = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     before = files.where("file % 10 <> 3").withColumn("sha256", F.when(F.col("file") % 11 == 0, "changed").otherwise(F.col("sha256")))
-    same, changed = split_unchanged(files, before)
+    same, changed = snapshot.split_unchanged(files, before)
     return same.select("file", F.lit("reused").alias("how")).unionByName(changed.select("file", F.lit("parsed").alias("how")))
 
 
-@query("""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ' ') AS modules FROM pages""")
+@query("""SELECT page_id, array_to_string(list_sort(list_distinct(refs)), ' ') AS modules FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS refs FROM pages) WHERE len(refs) > 0""")
 def imports_per_file(spark, sf_dir):
-    refs = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1).alias("refs"))
-    return refs.select("page_id", F.array_join(F.array_sort(F.array_distinct("refs")), " ").alias("modules"))
+    refs = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("module"))
+    return snapshot.by_file(refs).select(F.col("file").alias("page_id"), F.array_join("modules", " ").alias("modules"))
 
 
 FILES_SQL = """old AS (SELECT 'd' || doc_id AS file, md5(text) AS h FROM documents WHERE doc_id % 7 <> 1), new AS (SELECT 'd' || doc_id AS file, CASE WHEN doc_id % 5 = 2 THEN '' ELSE md5(text) END AS h FROM documents WHERE doc_id % 9 <> 4),
@@ -292,7 +296,7 @@ def recentre(spark, sf_dir):
     return moved.select("ord", F.posexplode("vector_r").alias("place", "x")).select("ord", "place", F.round("x", 6).alias("value"))
 
 
-SCORED = f"{UNIT}, s AS (SELECT a.vec_id, a.label, list_dot_product(a.r, b.r) AS score FROM r a JOIN r b ON b.vec_id = 0), h AS (SELECT * FROM s WHERE score >= (SELECT avg(score) + 1.0 * stddev_pop(score) FROM s))"
+SCORED = f"{UNIT}, s AS MATERIALIZED (SELECT a.vec_id, a.label, list_dot_product(a.r, b.r) AS score FROM r a JOIN r b ON b.vec_id = 0), h AS (SELECT * FROM s WHERE score >= (SELECT avg(score) + 1.0 * stddev_pop(score) FROM s))"
 
 
 def _search(spark, sf_dir, section=None):
@@ -312,7 +316,7 @@ def search_section(spark, sf_dir):
     return _search(spark, sf_dir, "3")
 
 
-PAIRS = f"{UNIT}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_dot_product(a.r, b.r) AS score FROM r a JOIN r b ON a.vec_id < b.vec_id), h AS (SELECT * FROM s WHERE score >= (SELECT avg(score) + 2.0 * stddev_pop(score) FROM s))"
+PAIRS = f"{UNIT}, s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_dot_product(a.r, b.r) AS score FROM r a JOIN r b ON a.vec_id < b.vec_id), h AS (SELECT * FROM s WHERE score >= (SELECT avg(score) + 2.0 * stddev_pop(score) FROM s))"
 
 
 def _similar(spark, sf_dir, **options):
@@ -356,17 +360,127 @@ def _paths(spark, sf_dir):
 
 @query(f"WITH p AS ({PATHS}) SELECT file, row_number() OVER (ORDER BY string_split(file, '/')) - 1 AS ord FROM p")
 def path_order_rank(spark, sf_dir):
-    paths = _paths(spark, sf_dir)
-    return paths.select("file", (F.row_number().over(Window.orderBy(path_order(F.col("file")))) - 1).cast("long").alias("ord"))
+    return ranked(_paths(spark, sf_dir).select("file"), path_order(F.col("file")), "ord")
+
+
+DEEP = f"SELECT CASE WHEN doc_id % 4 = 1 THEN 'x/' ELSE '' END || file || CASE WHEN doc_id % 6 = 5 THEN '.rs' ELSE '' END AS file FROM ({PATHS})"
 
 
-@query(f"WITH p AS ({PATHS}) SELECT file FROM p WHERE NOT list_has_any(string_split(file, '/')[:-2], ['build', 'env', 'dist', 'vendor', 'target']) AND NOT (file LIKE '%/%\\_pb2.py' ESCAPE '\\') AND NOT (file LIKE 'a-b/src1%')")
+@query(f"WITH p AS ({DEEP}) SELECT file FROM p WHERE NOT list_has_any(string_split(file, '/')[:-2], ['build', 'env', 'dist', 'vendor', 'target']) AND NOT (file LIKE '%/%\\_pb2.py' ESCAPE '\\') AND NOT (file LIKE 'a-b/src1%') AND NOT (file LIKE 'x/a/%7.rs')")
 def ignore_globs(spark, sf_dir):
-    return _paths(spark, sf_dir).where(~skipped(F.col("file"), ["**/*_pb2.py", "a-b/src1*"])).select("file")
+    """Globs hold for whole paths: what they name stays where it stands deeper in a path or before its end."""
+    deep = F.concat(F.when(F.col("doc_id") % 4 == 1, "x/").otherwise(""), "file", F.when(F.col("doc_id") % 6 == 5, ".rs").otherwise(""))
+    return _paths(spark, sf_dir).select(deep.alias("file")).where(~skipped(F.col("file"), ["**/*_pb2.py", "a-b/src1*", "x/a/*7.rs"])).select("file")
 
 
-@query(f"SELECT count(*) AS symbols, count(DISTINCT file) AS files, (SELECT count(*) FROM (SELECT DISTINCT file, caller, callee FROM ({LINES}))) AS calls FROM ({PART})")
+@query(f"SELECT count(*) AS symbols, count(DISTINCT file) AS files, (SELECT count(DISTINCT file) FROM ({LINES}) WHERE l_quantity > 45) AS files_with_imports, (SELECT count(*) FROM (SELECT DISTINCT file, caller, callee FROM ({LINES}))) AS calls FROM ({PART})")
 def scan_counts(spark, sf_dir):
-    calls = extract.first_calls(line_calls(spark, sf_dir))
-    one = part_symbols(spark, sf_dir).agg(F.count("*").alias("symbols"), F.count_distinct("file").alias("files"))
-    return one.withColumn("calls", F.lit(calls.count()).cast("long"))
+    symbols, visits = part_symbols(spark, sf_dir), line_calls(spark, sf_dir)
+    imports = visits.where("l_quantity > 45").select("file", F.col("callee").alias("module"))
+    n = lookup.totals(symbols.select("file").distinct(), symbols, imports, extract.first_calls(visits))
+    return spark.createDataFrame([tuple(n[k] for k in ("symbols", "files", "files_with_imports", "calls"))], "symbols long, files long, files_with_imports long, calls long")
+
+
+# ---- orders, export and index rules ------------------------------------------------
+
+
+@query(f"SELECT file, caller, callee, line, row_number() OVER (ORDER BY file, caller, callee) - 1 AS place FROM (SELECT file, caller, callee, arg_min(line, ord) AS line FROM ({LINES}) GROUP BY ALL)")
+def calls_in_order(spark, sf_dir):
+    return ranked(extract.first_calls(line_calls(spark, sf_dir)), joined("file", "caller", "callee"), "place")
+
+
+@query(f"SELECT file, module, row_number() OVER (ORDER BY file, module) - 1 AS place FROM (SELECT DISTINCT file, callee AS module FROM ({LINES}))")
+def imports_in_order(spark, sf_dir):
+    imports = line_calls(spark, sf_dir).select("file", F.col("callee").alias("module"))
+    listed = snapshot.by_file(imports).select("file", F.explode("modules").alias("module"))
+    return ranked(listed, joined("file", "module"), "place")
+
+
+@query(f"WITH s AS (SELECT *, regexp_extract(name, '[^.]*$') AS bare FROM ({PART})) SELECT name, file, line, row_number() OVER (ORDER BY file, line, ord) - 1 AS place FROM s WHERE language = 'python' AND NOT (bare LIKE '\\_\\_%' ESCAPE '\\' AND bare LIKE '%\\_\\_' ESCAPE '\\') AND NOT bare LIKE 'test\\_%' ESCAPE '\\' AND bare <> 'main'")
+def unused_in_order(spark, sf_dir):
+    symbols = part_symbols(spark, sf_dir)
+    found = lookup.unused(symbols, line_calls(spark, sf_dir)).withColumns({"l_": digits("line"), "o_": digits("ord")})
+    return ranked(found, joined("file", "l_", "o_"), "place").select("name", "file", "line", "place")
+
+
+@query(f"WITH {FILES_SQL} SELECT kind, file, row_number() OVER (PARTITION BY kind ORDER BY file) - 1 AS place FROM f")
+def file_changes_in_order(spark, sf_dir):
+    changes = ranked(_file_changes(spark, sf_dir), joined("kind", "file"), "place")
+    first = changes.groupBy("kind").agg(F.min("place").alias("first"))
+    return changes.join(F.broadcast(first), "kind").select("kind", "file", (F.col("place") - F.col("first")).alias("place"))
+
+
+@query(f"WITH {SYMBOLS_SQL}, o AS (SELECT kind, section, name, file, coalesce(new_line, old_line)::INT AS line FROM s) SELECT *, dense_rank() OVER (ORDER BY kind, section, file, name, line) AS place FROM o")
+def symbol_changes_in_order(spark, sf_dir):
+    rows = _symbol_changes(spark, sf_dir).select("kind", "section", "name", "file", "line")
+    keys = ["kind", "section", "file", "name", "line"]
+    one = ranked(rows.distinct().withColumn("l_", digits("line")), joined("kind", "section", "file", "name", "l_"), "place").select(*keys, (F.col("place") + 1).alias("place"))
+    return rows.join(one, keys)
+
+
+@query(f"SELECT section, min(ord) AS ord, count(*) AS symbols FROM ({PART}) GROUP BY section")
+def sections_in_order(spark, sf_dir):
+    return snapshot.by_section(part_symbols(spark, sf_dir))
+
+
+@query(f"WITH {INDEX_SQL} SELECT key, hash FROM k")
+def pending_for_another_model(spark, sf_dir):
+    entries, held = _entries_and_index(spark, sf_dir)
+    return index.pending(entries, held, same_model=False).select("key", "hash")
+
+
+@query(f"WITH {SCORED} SELECT round(score, 6) AS score, label::VARCHAR AS section, 'e' || vec_id AS name, 'f' || (vec_id % 50) AS file, vec_id::INT AS line, '' AS signature, '' AS docstring FROM h ORDER BY h.score DESC, vec_id LIMIT 8")
+def search_hits(spark, sf_dir):
+    entries = vector_entries(spark, sf_dir)
+    first = entries.where("ord = 0").first()["vector"]
+    hits = vectors.search(entries, first, vectors.centroid(entries))
+    return hits.select(*HIT).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, '') AS name, coalesce(lang, '') AS file,
+CASE WHEN doc_id % 5 IN (0, 1) THEN doc_id::INT ELSE 0 END AS line, '' AS signature, 's' AS section, doc_id AS ord FROM documents""")
+def coerced_rows(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    line = F.element_at(F.array(F.col("doc_id").cast("string"), F.concat(F.lit(" "), "doc_id", F.lit(" ")), F.lit(""), F.lit("x1"), F.lit(None).cast("string")), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = d.select(F.lit("s").alias("section"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("name"), F.col("lang").alias("file"), line.alias("line"), F.lit(None).cast("string").alias("signature"), F.lit("").alias("docstring"), F.lit("").alias("language"), F.col("doc_id").alias("ord"))
+    return snapshot.normalised(rows).select("section", "name", "file", "line", "signature", "ord")
+
+
+@query(f"WITH e AS (SELECT ord, [length(t)::DOUBLE, 3.0, 4.0] AS v FROM (SELECT ord, section || ' : ' || name || chr(10) || signature || chr(10) || docstring || chr(10) || 'file : ' || file AS t FROM ({PART}))) SELECT ord, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS x, round(v[3] / sqrt(list_dot_product(v, v)), 6) AS z FROM e")
+def embedded_on_executors(spark, sf_dir):
+    entries = part_symbols(spark, sf_dir).withColumn("text", entry_text()).withColumn("key", F.col("ord").cast("string"))
+    local = Local(lambda model, texts: [[float(len(t)), 3.0, 4.0] for t in texts])
+    got = embed_table(entries, local, "m", 3, 7)
+    return got.select(F.col("key").cast("long").alias("ord"), F.round(F.get("vector", F.lit(0)), 6).alias("x"), F.round(F.get("vector", F.lit(2)), 6).alias("z"))
+
+
+@query("""SELECT file, section, name, line::INT AS line, language FROM (
+SELECT 'f' || p_partkey || '.rs' AS file, 'generic_classes' AS section, 'S' || p_partkey AS name, 1 AS line, 'rust' AS language FROM part
+UNION ALL SELECT 'f' || p_partkey || '.rs', 'generic_functions', 'new' || p_partkey, 3, 'rust' FROM part UNION ALL SELECT 'f' || p_partkey || '.rs', 'generic_functions', 'gen' || p_size, 4, 'rust' FROM part
+UNION ALL SELECT 'f' || p_partkey || '.go', 'generic_functions', 'M' || p_partkey, 2, 'go' FROM part UNION ALL SELECT 'f' || p_partkey || '.go', 'generic_functions', 'F' || p_partkey, 4, 'go' FROM part
+UNION ALL SELECT 'f' || p_partkey || '.ts', 'generic_functions', 'f' || p_partkey, 1, 'typescript' FROM part UNION ALL SELECT 'f' || p_partkey || '.ts', 'generic_classes', 'K' || p_size, 3, 'typescript' FROM part
+UNION ALL SELECT 'f' || p_partkey || '.ts', 'generic_functions', 'g' || p_partkey, 5, 'typescript' FROM part UNION ALL SELECT 'f' || p_partkey || '.ts', 'generic_functions', 'h' || p_partkey, 6, 'typescript' FROM part)""")
+def generic_languages_in_one_pass(spark, sf_dir):
+    typed = sources(spark, sf_dir, "js").withColumn("file", F.regexp_replace("file", r"\.js$", ".ts")).withColumn("ext", F.lit(".ts"))
+    files = sources(spark, sf_dir, "rs").unionByName(sources(spark, sf_dir, "go")).unionByName(typed)
+    return extract.generic_symbols(files, "regex", [".rs", ".go", ".ts"]).select("file", "section", "name", "line", "language")
+
+
+@query("""SELECT 'f' || p_partkey || '.py' AS file, section, name FROM (SELECT p_partkey, 'python_classes' AS section, 'C' || p_size AS name FROM part UNION ALL SELECT p_partkey, 'python_methods', 'C' || p_size || '.m' || p_partkey FROM part) WHERE p_partkey % 4 = 3""")
+def python_ast_tolerance(spark, sf_dir):
+    """Files with broken syntax, bytes that are no text, or null bytes have no rows and stop nothing."""
+    broken = F.when(F.col("ord") % 4 == 0, F.concat("content", F.lit("\ndef bad(:").cast("binary"))).when(F.col("ord") % 4 == 1, F.concat("content", F.unhex(F.lit("FFFE")))).when(F.col("ord") % 4 == 2, F.concat("content", F.lit("\0").cast("binary"))).otherwise(F.col("content"))
+    facts = extract.python_table(sources(spark, sf_dir, "py").withColumn("content", broken))
+    return extract.symbols_of(facts).select("file", "section", "name")
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP), '%Y-%m-%d') AS day, count(*) AS versions FROM events GROUP BY 1""")
+def change_windows(spark, sf_dir):
+    changes = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("file"), F.col("ts").cast("timestamp").alias("ts"))
+    return change_counts(changes, "1 day").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "versions")
+
+
+@query("""SELECT user_id, max_by(event_id, struct_pack(ts := ts, event_id := event_id)) AS ord FROM events GROUP BY user_id""")
+def latest_versions(spark, sf_dir):
+    changes = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("file"), F.col("ts").cast("timestamp").alias("ts"))
+    return latest(changes).select(F.col("file").alias("user_id"), "ord")

@@ -38,7 +38,7 @@ def skipped(file: Column, globs: Sequence[str] = ()) -> Column:
     parts = F.split(file, "/")
     out = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, SKIPPED)))
     for g in globs:
-        out = out | file.rlike(glob_regex(g))
+        out = out | file.rlike(rf"\A(?:{glob_regex(g)})")  # rlike finds, a glob matches whole paths
     return out
 
 
@@ -77,5 +77,5 @@ def read_tree(spark: SparkSession, root: str | Path, globs: Sequence[str] = (),
 
 
 def path_order(file: Column) -> Column:
-    """A sort key that orders paths by their components."""
-    return F.split(file, "/")
+    """A sort key, as a string, that orders paths by their components: nothing sorts before the end of one."""
+    return F.replace(file, F.lit("/"), F.lit("\0"))

