@@ -7,18 +7,20 @@ also have backslash and newline escaped.
 
 Windows: turns are laid out by the running sum of their tokens (words, and
 FRAME for the frame). A window takes whole turns until the next would exceed
-BUDGET; a longer turn has a window of its own, uncut. Each later window begins
+BUDGET, or has a number that BLOCK divides; a longer turn has a window of its own, uncut. Each later window begins
 with the system turn (if the first turn is one) and with as many whole turns of
 history as fit in HISTORY tokens. The loss mask covers texts of assistant turns
 that are new in their window, so every target counts once; repeated turns are
-context. Of a whole conversation only token counts are gathered in one place, 24
-bytes a turn (so a conversation may have some ten million turns); texts meet their
-windows by the hash of their row, so that they are read twice and written only as
-windows, and a conversation of very many turns is spread over tasks.
+context. No conversation is gathered in one place: token counts are gathered by
+BLOCK turns; sums over a conversation of more than HOT turns are taken in parts by
+turn number, and go on from the sums of the parts before; texts meet their windows
+by the hash of their row, so that they are read twice and written only as windows.
 
 A window is one row: conv_id, window, text, n_context (turns that are repeats)
-and loss, an array of (start, chars) spans of code points in text. ``read_back``
-recovers turns and targets from these columns alone.
+and loss, an array of (start, chars) spans of code points in text. Windows of a
+conversation are numbered in its order, from a multiple of BLOCK on in each block.
+``read_back`` recovers turns and targets from these columns alone; as it returns a
+conversation's turns in one row, it does gather those.
 
 Edge cases: null text and null role are empty. Equal turn numbers are ordered by
 role and text, equal rows are turns of their own. A null conv_id is one
@@ -32,9 +34,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolake.llm.base import let, lookup, n_words, stash
+from symbolake.llm.base import fits, let, lookup, n_words, stash
 
 BUDGET, HISTORY, FRAME = 400, 100, 4
+#: Turns that are cut into windows together, and turns of a conversation that are summed up in one task.
+BLOCK, HOT = 4096, 1_000_000
 START, END = "<|im_start|>", "<|im_end|>"
 TARGET = "assistant"
 
@@ -79,10 +83,32 @@ def numbered(turns: DataFrame) -> DataFrame:
         tied = lookup(turns.select(*KEY, "text", F.xxhash64("conv_id", "turn", "role").alias("same")), ties, ["same"], "left_semi")
         tied = tied.groupBy(*KEY).agg(F.min("text").alias("tie"))
         ordered = light.join(tied, KEY, "left")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "tie")
+    parted, before = _in_parts(ordered)
+    order = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "tie")
     up = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    places = ordered.select(*KEY, "conv_id", (F.row_number().over(order) - 1).alias("i"), (F.col("role") == "system").alias("system"), "tokens", (F.sum("tokens").over(up) - F.col("tokens")).alias("before"))
-    return stash(places, "places")
+    at, sums = F.row_number().over(order).cast("long") - 1, F.sum("tokens").over(up) - F.col("tokens")
+    placed = parted.select(*KEY, "conv_id", "part", at.alias("i"), (F.col("role") == "system").alias("system"), "tokens", sums.alias("before"))
+    if before is not None:
+        same = F.col("conv_id").eqNullSafe(F.col("hot_")) & (F.col("part") == F.col("of_"))
+        placed = placed.join(F.broadcast(before) if fits(before) else before, same, "left")
+        placed = placed.withColumns({"i": F.col("i") + F.coalesce("i_", F.lit(0)), "before": F.col("before") + F.coalesce("before_", F.lit(0))})
+    return stash(placed.select(*KEY, "conv_id", "i", "system", "tokens", "before"), "places")
+
+
+def _in_parts(turns: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Turns with a part, 0 but for conversations of more than HOT turns; and the turns and tokens before each of their parts."""
+    some = turns.groupBy(F.col("conv_id").alias("hot_")).agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high"))
+    some = stash(some.where(F.col("n") > HOT), "hot")
+    if not some.limit(1).count():
+        return turns.withColumn("part", F.lit(0)), None
+    side = F.broadcast(some) if fits(some) else some
+    share = (F.col("turn") - F.col("low")).cast("double") / (F.col("high") - F.col("low") + 1)
+    part = F.when(F.col("n").isNull(), 0).when(F.col("turn").isNull(), -1).otherwise(F.floor(share * F.ceil(F.col("n") / HOT)).cast("int"))
+    parted = stash(turns.join(side, F.col("conv_id").eqNullSafe(F.col("hot_")) & F.col("n").isNotNull(), "left").withColumn("part", part).drop("hot_", "n", "low", "high"), "parts")
+    sums = parted.join(side, F.col("conv_id").eqNullSafe(F.col("hot_")), "left_semi").groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("tokens").alias("t"))
+    up = Window.partitionBy("conv_id").orderBy("part")
+    before = sums.select(F.col("conv_id").alias("hot_"), F.col("part").alias("of_"), (F.sum("k").over(up) - F.col("k")).alias("i_"), (F.sum("t").over(up) - F.col("t")).alias("before_"))
+    return parted, stash(before, "sums")
 
 
 def one_of_each(turns: DataFrame, places: DataFrame) -> DataFrame:
@@ -96,14 +122,16 @@ def one_of_each(turns: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def spans(places: DataFrame, budget: int) -> DataFrame:
-    """conv_id, window, first, end, start (tokens before it) of every window; only token counts are gathered."""
-    counts = places.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "before", "tokens"))).alias("t"))
-    zero = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).cast("long").alias("start")))
+    """conv_id, window, first, end, start (tokens before it) of every window; the token counts of BLOCK turns are gathered."""
+    block = F.floor(F.col("i") / BLOCK).alias("block")
+    counts = places.groupBy("conv_id", block).agg(F.sort_array(F.collect_list(F.struct("i", "before", "tokens"))).alias("t"))
+    head = F.get("t", F.lit(0))
+    zero = F.array(F.struct(head["i"].alias("first"), head["before"].alias("start")))
     # a window ends before the first turn that would take it over the budget
-    over = lambda a, t: (t["i"] > 0) & (t["before"] + t["tokens"] - F.element_at(a, -1)["start"] > budget)
+    over = lambda a, t: (t["i"] > head["i"]) & (t["before"] + t["tokens"] - F.element_at(a, -1)["start"] > budget)
     cut = lambda a, t: F.when(over(a, t), F.concat(a, F.array(F.struct(t["i"].alias("first"), t["before"].alias("start"))))).otherwise(a)
-    starts = counts.select("conv_id", F.size("t").alias("n"), F.aggregate("t", zero, cut).alias("s"))
-    every = F.transform("s", lambda s, k: F.struct(k.alias("window"), s["first"].alias("first"), F.coalesce(F.get("s", k + 1)["first"], F.col("n")).alias("end"), s["start"].alias("start")))
+    starts = counts.select("conv_id", "block", (head["i"] + F.size("t")).alias("n"), F.aggregate("t", zero, cut).alias("s"))
+    every = F.transform("s", lambda s, k: F.struct((F.col("block") * BLOCK + k).alias("window"), s["first"].alias("first"), F.coalesce(F.get("s", k + 1)["first"], F.col("n")).alias("end"), s["start"].alias("start")))
     return starts.select("conv_id", F.explode(every).alias("s")).select("conv_id", "s.*")
 
 
@@ -165,7 +193,7 @@ WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(
 t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS n,
              length('<|im_start|>' || regexp_replace(role, '<(\|+)', '<|\1', 'g') || chr(10) || regexp_replace(text, '<(\|+)', '<|\1', 'g') || '<|im_end|>' || chr(10)) AS chars FROM c),
 g(conv_id, i, first, used) AS (SELECT conv_id, 1::BIGINT, 1::BIGINT, n FROM t WHERE i = 1
-  UNION ALL SELECT t.conv_id, t.i, CASE WHEN g.used + t.n > 400 THEN t.i ELSE g.first END, CASE WHEN g.used + t.n > 400 THEN t.n ELSE g.used + t.n END
+  UNION ALL SELECT t.conv_id, t.i, CASE WHEN g.used + t.n > 400 OR (t.i - 1) % 4096 = 0 THEN t.i ELSE g.first END, CASE WHEN g.used + t.n > 400 OR (t.i - 1) % 4096 = 0 THEN t.n ELSE g.used + t.n END
   FROM g JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.i = g.i + 1),
 w AS (SELECT DISTINCT conv_id, first FROM g WHERE first > 1),
 h AS (SELECT w.conv_id, sum(CASE WHEN t.i = 1 AND t.role = 'system' THEN t.chars

@@ -412,6 +412,33 @@ def test_chat_clashing_names(spark):
     assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == plain_digest([("user", "a"), ("assistant", "b")])
 
 
+@pytest.mark.parametrize("block, hot", [(4096, 40), (8, 1_000_000), (8, 25)])
+def test_chat_hot_conversations(spark, monkeypatch, talks, block, hot):
+    """Conversations that are summed in parts and cut in blocks give the same turns; windows keep to the budget and begin at each block."""
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    monkeypatch.setattr(chat_format, "HOT", hot)
+    long = [(c, None if t < 2 else t - t % 3, "assistant" if t % 2 else "user", f"{t:03} " + "w " * (t % 50), 0, "") for c in (500, None) for t in range(120)]
+    rows = [r for r in talks if r[0] is not None] + long
+    want = defaultdict(list)
+    for c, _, role, text, *_ in sorted(rows, key=lambda r: (r[0] or -1, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        want[c].append((role or "", text or ""))
+    df = spark.createDataFrame(rows, ROWS)
+    for r in chat_format.digest(df).collect():
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == plain_digest(want[r.conv_id])
+    spans = defaultdict(list)
+    for s in chat_format.spans(chat_format.numbered(chat_format.keyed(df)), 100).collect():
+        spans[s.conv_id].append((s.window, s.first, s.end, s.start))
+    for c, turns in want.items():
+        tokens = [len(re.findall(r"[^\x20\x09-\x0D]+", t)) + chat_format.FRAME for _, t in turns]
+        plain, first = [], 0
+        for i in range(1, len(tokens) + 1):
+            if i == len(tokens) or i % block == 0 or sum(tokens[first : i + 1]) > 100:
+                plain.append((first, i, sum(tokens[:first])))
+                first = i
+        own = sorted(spans[c])
+        assert [x[1:] for x in own] == plain and len({x[0] for x in own}) == len(own)
+
+
 def test_chat_windows(spark, talks):
     tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + chat_format.FRAME
     turns = defaultdict(list)
