@@ -15,8 +15,9 @@ nearer to the budget.
 
 Edge cases: null, empty and blank texts have size 0 and are taken 0 times. A
 null source is a source. Documents with equal doc_id and text share a hash and
-are taken alike. A source without words has target 0. Other columns are ignored
-by ``mix_table`` and kept by ``mix_documents``, which repeats rows.
+are taken alike. A source without words has target 0. An empty table gives no
+rows. A very long text is only counted and hashed, whole. Other columns are ignored
+by ``mix_table`` and kept by ``mix_documents``, whatever their names, which repeats rows.
 """
 
 from __future__ import annotations
