@@ -126,6 +126,21 @@ def test_tree_walks():
     assert extract.tree_symbols(rust, "rust") == [("generic_classes", "E", 2, "enum E {"), ("generic_functions", "T.new", 4, "fn new() {"), ("generic_functions", "new", 4, "fn new() {")]
 
 
+@pytest.mark.parametrize("ext, source, want", [
+    (".js", "class K {\n  go() {}\n}\nconst f = () => 1\nfunction g() {}\n", [("generic_classes", "K", 1), ("generic_methods", "K.go", 2), ("generic_functions", "f", 4), ("generic_functions", "g", 5)]),
+    (".ts", "class K<T> {\n  go(): void {}\n}\n", [("generic_classes", "K", 1), ("generic_methods", "K.go", 2)]),
+    (".go", "package p\nfunc (w *W) R() {}\nfunc F[T any](x T) {}\ntype (\n\tA struct{}\n\tB interface{}\n)\n", [("generic_functions", "W.R", 2), ("generic_functions", "F", 3), ("generic_classes", "A", 5)]),
+    (".rs", "struct S;\nimpl<T> Box<T> {\n    pub fn new() {}\n}\nenum E {}\nfn free() {}\n", [("generic_classes", "S", 1), ("generic_functions", "Box.new", 3), ("generic_classes", "E", 5), ("generic_functions", "free", 6)]),
+])
+def test_real_grammars(ext, source, want):
+    if extract.grammar(ext) is None:
+        pytest.skip(f"{extract.grammar_package(ext)} is not installed: only stand-in trees were walked")
+    from tree_sitter import Parser
+
+    root = Parser(extract.grammar(ext)).parse(source.encode()).root_node
+    assert [r[:3] for r in extract.tree_symbols(root, extract.LANGUAGES[ext])] == want
+
+
 # ---- trees -------------------------------------------------------------------------------
 
 
