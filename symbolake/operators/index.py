@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolake.functions import entry_hash, entry_key, entry_text, number, stripped, text
@@ -20,9 +20,9 @@ def entries_of(symbols: DataFrame, model: str = "", dim: int = 0) -> DataFrame:
 
 def last_of_key(rows: DataFrame) -> DataFrame:
     """Of rows with equal key the one with the largest ``ord``, in the place of the first."""
-    w = Window.partitionBy("key")
-    ranked = rows.withColumn("nth_", F.row_number().over(w.orderBy(F.desc("ord")))).withColumn("first_", F.min("ord").over(w))
-    return ranked.where("nth_ = 1").withColumn("ord", F.col("first_")).drop("nth_", "first_")
+    # aggregated before the shuffle, so that a key with very many rows is no single task's
+    one = rows.groupBy("key").agg(F.max_by(F.struct(*rows.columns), "ord").alias("row"), F.min("ord").alias("first_"))
+    return one.select(*(F.col("first_").alias(c) if c == "ord" else F.col(f"row.{c}") for c in rows.columns))
 
 
 def pending(entries: DataFrame, index: DataFrame, same_model: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,8 +14,8 @@ CHANGES = "ord long, file string, ext string, content binary, ts timestamp"
 
 def latest(changes: DataFrame) -> DataFrame:
     """The newest version of each file within a batch."""
-    w = Window.partitionBy("file").orderBy(F.desc("ts"), F.desc("ord"))
-    return changes.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
+    newest = changes.groupBy("file").agg(F.max_by(F.struct(*changes.columns), F.struct("ts", "ord")).alias("row"))
+    return newest.select("row.*")
 
 
 def refresh_symbols(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
