@@ -61,17 +61,21 @@ def stash(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *stashes: DataFrame) -> None:
-    """Let go of what finished steps hold: the given written tables, and shuffle files and broadcasts that nothing refers to.
-
-    Spark frees those only when the driver's memory is collected, which a series
-    of many small jobs may not bring about for long. A table that a later step
-    reads must not be given.
-    """
+def discard(*stashes: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
     for df in stashes:
+        spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and broadcasts of finished steps that nothing refers to.
+
+    Spark frees those only when the driver's memory is collected, which a series
+    of many small jobs may not bring about for long.
+    """
     gc.collect()
     spark._jvm.System.gc()
 
