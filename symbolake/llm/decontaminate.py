@@ -18,7 +18,8 @@ within ``floor(EDITS * n)`` word edits (insert, delete, replace) of it.
   REPEATS is set for a recall of 0.99 at the largest allowed distance at every
   length; the least measured, over all places of the edits, is 0.97 (items of 8
   and 9 words with their edit at the worst place).
-* Of those, only places are kept around which n + k words have n - k words of
+* Of those, only places are kept where what follows in the item's window is in
+  the text with one edit at most, and around which n + k words have n - k words of
   the item. Around these the edit distance of every start is computed, so what
   is returned is exact: the least distance of the leaks found, of equal ones the
   first start, and of equal ones the shortest window.
@@ -89,26 +90,51 @@ def coins(hashes: np.ndarray, lane: int) -> np.ndarray:
     return mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (lane + 1) % 2**64)).view(np.uint8).reshape(-1, 8)
 
 
-def walk(words: np.ndarray, coin: np.ndarray, start: np.ndarray, steps: list[int]) -> np.ndarray:
-    """Key of the sampled steps of the walk from each start; ``coin`` has a byte for each word."""
-    at, key = start.copy(), np.zeros(len(start), np.uint64)
+#: Samples after which walks whose words no item has in these places end.
+EARLY = 2
+
+
+def walk(words: np.ndarray, coin: np.ndarray, start: np.ndarray, steps: list[int], early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and keys of the sampled steps of the walk from each; ``coin`` has a byte for each word.
+
+    ``early`` flags keys of EARLY samples; walks under others end there.
+    """
+    at, key, taken = start.copy(), np.zeros(len(start), np.uint64), 0
     for step in range(steps[-1] + 1):
         if step in steps:
-            key = join_key(key, words[at])
+            key, taken = join_key(key, words[at]), taken + 1
+            if early is not None and taken == EARLY:
+                may = flagged(early, key)
+                at, key, start = at[may], key[may], start[may]
         if step < steps[-1]:
             at += (coin[at] >> step) & 1
-    return key
+    return start, key
+
+
+def flags(keys: np.ndarray) -> np.ndarray:
+    """Which first bits keys have, of sixteen times as many values as there are keys."""
+    bits = max(len(keys).bit_length() + 4, 10)
+    out = np.zeros(1 << bits, bool)
+    out[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return out
+
+
+def flagged(flag: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Indices of the keys whose first bits are flagged."""
+    return np.flatnonzero(flag[(keys >> np.uint64(65 - len(flag).bit_length())).astype(np.int64)])
 
 
 class Table:
     """Keys of item windows under one sample, and where the windows stand in their items."""
 
-    def __init__(self, repeat: int, steps: list[int], keys: np.ndarray, which: np.ndarray, at: np.ndarray, span: int, least: int):
+    def __init__(self, repeat: int, steps: list[int], words: np.ndarray, coin: np.ndarray, begin: np.ndarray, which: np.ndarray, at: np.ndarray, left: np.ndarray, span: int, least: int):
         self.repeat, self.steps, self.span, self.least = repeat, steps, span, least
+        _, keys = walk(words, coin, begin, steps)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.which, self.at = keys[order], which[order], at[order]
-        self.flag = np.zeros(1 << 20, bool)
-        self.flag[(keys >> np.uint64(44)).astype(np.int64)] = True
+        self.keys, self.which, self.at, self.flag = keys[order], which[order], at[order], flags(keys)
+        #: Where the walk begins among all items' words, and how many words its window has from there.
+        self.begin, self.left = begin[order], left[order]
+        self.early = flags(walk(words, coin, begin, steps[:EARLY])[1]) if len(steps) > EARLY else None
 
 
 class Block:
@@ -130,13 +156,13 @@ class Block:
         for a, item in zip(begin.tolist(), self.items, strict=True):
             words[a : a + len(item)] = item
         hashes = np.concatenate([np.zeros(1, np.uint64), vocabulary])[words]
+        self.words = words
         self.tables: list[Table] = []
         exact = self.allowed == 0
         reach = np.minimum(self.sizes, STEPS)
         for n in np.unique(reach[exact & (self.sizes > 0)]).tolist():
             which = np.flatnonzero(exact & (reach == n))
-            keys = walk(words, np.ascontiguousarray(coins(hashes, 0)[:, 0]), begin[which], [*range(n)])
-            self.tables.append(Table(0, [*range(n)], keys, which, np.zeros(len(which), np.int64), n, n))
+            self.tables.append(Table(0, [*range(n)], words, np.ascontiguousarray(coins(hashes, 0)[:, 0]), begin[which], which, np.zeros(len(which), np.int64), np.full(len(which), n), n, n))
         windows = [(i, np.arange(k // 2 + 2) * len(self.items[i]) // (k // 2 + 1)) for i, k in enumerate(self.allowed.tolist()) if k]
         if windows:
             which = np.concatenate([np.full(len(c) - 1, i) for i, c in windows])
@@ -148,8 +174,7 @@ class Block:
                 if repeat % 8 == 0:
                     coin = coins(hashes, repeat // 8)
                 own = at + repeat % later
-                keys = walk(words, np.ascontiguousarray(coin[:, repeat % 8]), begin[which] + own, sampled(repeat))
-                self.tables.append(Table(repeat, sampled(repeat), keys, which, own, short + 1, short - 1))
+                self.tables.append(Table(repeat, sampled(repeat), words, np.ascontiguousarray(coin[:, repeat % 8]), begin[which] + own, which, own, size - repeat % later, short + 1, short - 1))
 
 
 def numbers(block: Block, hashes: np.ndarray) -> np.ndarray:
@@ -162,9 +187,26 @@ def numbers(block: Block, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def hits(table: Table, key: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leading(alike: np.ndarray) -> np.ndarray:
+    """How many columns of each row are true from the left."""
+    return np.logical_and.accumulate(alike, axis=1).sum(axis=1)
+
+
+def one_edit(item: np.ndarray, begin: np.ndarray, left: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether ``left`` words of the items stand in the text with one edit at most (what lies behind the edit, as far as the words go)."""
+    column = np.arange(int(left.max(initial=0)))
+    past = column >= left[:, None]
+    own = item[np.minimum(begin[:, None] + column, len(item) - 1)]
+    at = start[:, None] + column
+    same, later, sooner = (((own == text[np.clip(at + k, 0, len(text) - 1)]) | past) for k in (0, 1, -1))
+    first, n = leading(same), len(column)
+    behind = lambda alike: leading(alike[:, ::-1])
+    return (same.sum(axis=1) >= n - 1) | (first + behind(later) >= n) | (first + behind(sooner) >= n - 1)
+
+
+def hits(table: Table, key: np.ndarray, start: np.ndarray, block: Block, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(item index, place of the item's beginning) of every window under a key, HELD at a time."""
-    may = np.flatnonzero(table.flag[(key >> np.uint64(44)).astype(np.int64)])
+    may = flagged(table.flag, key)
     start, key = start[may], key[may]
     a, b = np.searchsorted(table.keys, key, "left"), np.searchsorted(table.keys, key, "right")
     may = np.flatnonzero(b > a)
@@ -174,7 +216,11 @@ def hits(table: Table, key: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.
         hi = max(int(np.searchsorted(total, total[lo] - n[lo] + HELD, "right")), lo + 1)
         some = n[lo:hi]
         entry = np.arange(some.sum()) + np.repeat(a[lo:hi] - (np.cumsum(some) - some), some)
-        yield table.which[entry], np.repeat(start[lo:hi], some) - table.at[entry]
+        place = np.repeat(start[lo:hi], some)
+        for part in range(0, len(entry), HELD // 16):
+            own, where = entry[part : part + HELD // 16], place[part : part + HELD // 16]
+            fine = one_edit(block.words, table.begin[own], table.left[own], words, where)
+            yield table.which[own[fine]], where[fine] - table.at[own[fine]]
         lo = hi
 
 
@@ -190,17 +236,19 @@ def candidates(block: Block, words: np.ndarray, hashes: np.ndarray) -> Iterator[
 
     for lo in range(0, end, SLICE):
         hi = min(lo + SLICE, end)
-        here, lane = words[lo : hi + STEPS], None
+        here, lane, bar = words[lo : hi + STEPS], None, None
         for table in block.tables:
-            last = np.minimum(np.arange(lo, hi) + table.span, len(words))
-            start = np.flatnonzero(known[last] - known[lo:hi] >= table.least)
-            if not len(start):
+            if bar != (table.span, table.least):
+                bar = (table.span, table.least)
+                last = np.minimum(np.arange(lo, hi) + table.span, len(words))
+                starts = np.flatnonzero(known[last] - known[lo:hi] >= table.least).astype(np.int32)
+            if not len(starts):
                 continue
             if lane != table.repeat // 8:
                 lane = table.repeat // 8
                 coin = coins(hashes[lo : hi + STEPS], lane)
-            key = walk(here, np.ascontiguousarray(coin[:, table.repeat % 8]), start, table.steps)
-            for item, place in hits(table, key, start + lo):
+            start, key = walk(here, np.ascontiguousarray(coin[:, table.repeat % 8]), starts, table.steps, table.early)
+            for item, place in hits(table, key, start.astype(np.int64) + lo, block, words):
                 k = block.allowed[item]
                 # the item's words that are left are within k words of their places
                 first, last = np.maximum(place - k, 0), np.clip(place + block.sizes[item] + k, 0, len(words))

@@ -298,6 +298,21 @@ def test_recall_when_edits_are_spread_evenly(length):
     assert len({(i, i) for i in range(len(items))} & set(got)) >= 196
 
 
+def test_one_edit_against_plain():
+    """What stands in a text with one edit is kept, whatever the edit; two edits that are not one are not."""
+    rnd = random.Random(3)
+    for _ in range(300):
+        item = [rnd.randint(1, 50) for _ in range(9)]
+        left = rnd.randint(4, 9)
+        for edits in (0, 1):
+            own = edited(rnd, [str(x) for x in item[:left]], edits)
+            text = np.array([int("".join(c for c in x if c.isdigit())) + 100 * (not x.isdigit()) for x in own] + item[left:] + [0] * 9, np.int32)
+            assert decontaminate.one_edit(np.array(item, np.int32), np.array([0]), np.array([left]), text, np.array([0]))[0]
+        other = np.array([-x if j in (1, left - 2) else x for j, x in enumerate(item)] + [0] * 9, np.int32)
+        if left > 5 and len(set(item)) == 9:
+            assert not decontaminate.one_edit(np.array(item, np.int32), np.array([0]), np.array([left]), other, np.array([0]))[0]
+
+
 def test_words_of_any_script():
     words = decontaminate.plain(pa.array(["It's É-cole, 42!", "it S école 42", None, "РУС “рус”", "一丠 ab一", "x\u200by"])).to_pylist()
     assert [w.split() for w in words] == [["it", "s", "é", "cole", "42"], ["it", "s", "école", "42"], [], ["рус", "рус"], ["一", "丠", "ab", "一"], ["x", "y"]]
