@@ -49,14 +49,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+def stash(df: DataFrame, tag: str, codec: str = "snappy", few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage: what follows survives the loss of executors without running
-    what came before again.
+    what came before again. Light tables may be written as ``few`` files, two for
+    each core, however many partitions they come in.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if few:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
