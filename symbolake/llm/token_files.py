@@ -55,7 +55,7 @@ BLOCK = 1 << 14
 #: Words whose ids a worker keeps.
 KNOWN = 1_000_000
 #: Text bytes that are encoded together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 #: Bytes of texts that one file takes.
 FILE_BYTES = 1 << 28
 #: Sets hashes of exact spellings apart from case-free ones.
