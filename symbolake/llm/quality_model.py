@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbolake.llm.base import small_batches
-from symbolake.llm.textkernel import EXACT, buffers, chunks, shingle_hashes, word_hashes
+from symbolake.llm.textkernel import CHUNK, EXACT, buffers, chunks, shingle_hashes, word_hashes
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "digit", "symbol", "mark", "bang", "pipe", "high", "line_words",
@@ -72,13 +72,17 @@ def features(array: pa.Array) -> np.ndarray:
         part = offsets[lo : hi + 1] - offsets[lo]
         bytes_ = raw[offsets[lo] : offsets[hi]]
         n = hi - lo
-        of = np.repeat(np.arange(n), np.diff(part))
-        count = np.bincount(of * 11 + _KIND[bytes_], minlength=n * 11).reshape(n, 11).astype(float)
+        if n == 1:  # a text that may be very long
+            count = sum((np.bincount(_KIND[bytes_[a : a + CHUNK]], minlength=11) for a in range(0, len(bytes_), CHUNK)), np.zeros(11))[None, :]
+            wide = np.array([float(np.count_nonzero((bytes_[:-1] == 0xC3) & (bytes_[1:] < 0xA0)))])
+        else:
+            of = np.repeat(np.arange(n), np.diff(part))
+            count = np.bincount(of * 11 + _KIND[bytes_], minlength=n * 11).reshape(n, 11).astype(float)
+            # upper case beyond ASCII is the second byte below 0xA0 after a lead byte 0xC3
+            wide = np.bincount(of[1:][(bytes_[:-1] == 0xC3) & (bytes_[1:] < 0xA0)], minlength=n) if len(bytes_) else np.zeros(n)
         hashes, first = word_hashes(bytes_, part, EXACT)
         shingles, at = shingle_hashes(hashes, first, 3)
         words = np.diff(first).astype(float)
-        # upper case beyond ASCII is the second byte below 0xA0 after a lead byte 0xC3
-        wide = np.bincount(of[1:][(bytes_[:-1] == 0xC3) & (bytes_[1:] < 0xA0)], minlength=n) if len(bytes_) else np.zeros(n)
         some = np.maximum(words, 1)
         size = np.maximum(np.diff(part) - count[:, LATER], 1)
         letters = np.maximum(count[:, UPPER] + count[:, LOWER] + count[:, HIGH], 1)

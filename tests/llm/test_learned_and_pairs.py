@@ -422,6 +422,16 @@ def test_scores_are_those_of_the_rows_features(spark, docs):
     assert (again.score(quality_model.features(pa.array(["one two"]))) == model.score(quality_model.features(pa.array(["one two"])))).all()
 
 
+def test_features_of_long_texts(monkeypatch, docs):
+    """A text that is read in pieces has the features that it has beside others."""
+    texts = [r.text for r in docs.limit(60).collect()] + ["", "É Ü a", "x" * 9000, "Ab É\n" * 900, None]
+    together = quality_model.features(pa.array(texts))
+    for name in ("symbolake.llm.textkernel.CHUNK", "symbolake.llm.quality_model.CHUNK"):
+        monkeypatch.setattr(name, 1000)
+    apart = np.concatenate([quality_model.features(pa.array([t], pa.string())) for t in texts])
+    assert (together == apart).all()
+
+
 def test_classifier_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (7, None, None), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality_model.classify(odd_docs, labels).collect()
