@@ -65,12 +65,12 @@ HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OUT = {"nav", "aside", "footer", "form", "dialog", "menu", "fieldset", "head", *HOLLOW}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 #: Names of parts that are never content, and of parts that may be.
-FIRM = r"ads?|advert[a-z0-9]*|adsense|nav|navbar|navigation|menu[a-z0-9]*|breadcrumbs?|sidebar[a-z0-9]*|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|newsletter|pager|pagination|skip-?link|login|search-?(?:form|box)"
+FIRM = r"ads?|advert[a-z0-9]*|adsense|nav|navbar|navbox|navigation|noprint|editsection|sharedaddy|addtoany|menu[a-z0-9]*|breadcrumbs?|sidebar[a-z0-9]*|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|newsletter|pager|pagination|skip-?link|login|search-?(?:form|box)"
 LOOSE = r"banner|promo[a-z0-9]*|sponsor[a-z0-9]*|notice|notification|popup|modal|overlay|subscribe|signup|share|sharing|social|related|recommend[a-z0-9]*|widget|toolbar"
 NAMES = re.compile(rf"(?:^|[\s_-])({FIRM}|{LOOSE})(?=$|[\s_-])", re.I)
 IS_FIRM = re.compile(FIRM, re.I)
 #: Words that may stand beside a name without changing what it says.
-LAYOUT = r"all|area|articles?|bar|block|blog|body|bottom|box|buttons?|col|column|component|container|content|custom|entry|fb|form|global|group|header|icons?|inner|items?|js|label|latest|left|links?|list|main|media|mobile|module|more|my|new|news|outer|page|panel|posts?|primary|readers?|recent|right|rail|row|secondary|section|single|site|slot|stories|story|text|thread|title|top|unit|users?|visitors?|wrap|wrapper|\d+(?:x\d+)?"
+LAYOUT = r"all|area|articles?|bar|block|blog|body|bottom|box|buttons?|col|column|component|container|content|custom|enabled|entry|fb|form|global|group|header|icons?|inner|items?|js|label|latest|left|links?|list|main|media|mobile|module|more|my|new|news|outer|page|panel|posts?|primary|readers?|recent|right|rail|row|secondary|section|single|site|slot|stories|story|text|thread|title|top|unit|users?|visitors?|wrap|wrapper|\d+(?:x\d+)?"
 #: Atomic, so that no token takes more than one try.
 WHOLE = re.compile(rf"(?>(?:[_-]*(?>(?:{FIRM}|{LOOSE}|{LAYOUT})(?=[_-]|$)))+)[_-]*", re.I)
 #: Names of parts that stay out even where nothing else is left.

@@ -125,6 +125,8 @@ SHORT = "One more short section of the same article."
         (f"<article><p>{PROSE}</p><div class=share-price>12.30</div></article>", f"{PROSE}\n12.30"),
         (f"<div class='post social'><p>{PROSE}</p></div>", PROSE), ("<div class=social>Hello there</div>", "Hello there"), (f"<body><div class=menu><p>{PROSE}</p></div></body>", PROSE),
         *((f"<article><p>{PROSE}</p><div class='{x}'><p>{PROSE}</p></div></article>", PROSE) for x in ("user-comments", "recent-comments", "advert-box", "newsletter-signup", "ad-300x250", "comments-wrapper-2")),
+        (f"<div id=content><h1>T</h1><div class=noprint>From a site</div><p>{PROSE}<sup>[1]</sup></p><h2><span id=H>H</span><span class=mw-editsection>[<a href=e>edit</a>]</span></h2><p>{PROSE}</p><div class=navbox><a href=x>A</a></div></div>", f"T\n{PROSE}[1]\nH\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><div class='sharedaddy sharing-enabled'><h3>Share this:</h3><a href=x>Somewhere</a></div></article>", PROSE),
         # links around blocks
         (f"<body><div>" + "".join(f"<a href=x{k}><div><p>{PROSE}</p></div></a>" for k in range(8)) + f"</div><div><p>{PROSE} Own.</p></div></body>", f"{PROSE} Own."),
         (f"<div><p><a href=x>{PROSE}</p><p>{PROSE}</p><p>{PROSE} 3.</p></div>", f"{PROSE}\n{PROSE}\n{PROSE} 3."), (f"<div><a name=top><p>{PROSE}</p></div>", PROSE),
