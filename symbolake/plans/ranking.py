@@ -19,8 +19,7 @@ def ranked(rows: DataFrame, key: Column, name: str = "rank", parts: int = PARTS)
     some = keyed.select("key_").where("key_ is not null").orderBy(F.xxhash64("key_"), "key_").limit(SAMPLE)
     found = sorted({r[0] for r in some.collect()}, key=str.encode)  # bounded by SAMPLE
     bounds = [found[len(found) * k // parts] for k in range(1, parts)] if found else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key_"))) if bounds else F.lit(0)
-    parted = keyed.withColumn("part_", F.when(F.col("key_").isNull(), -1).otherwise(part))
+    parted = keyed.withColumn("part_", F.when(F.col("key_").isNull(), -1).otherwise(_part(bounds, 0, len(bounds))))
     counts = parted.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
     before = counts.select(F.col("part_").alias("of_"), (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))  # at most parts + 1 rows
     within = F.row_number().over(Window.partitionBy("part_").orderBy("key_")) - 1
@@ -28,6 +27,14 @@ def ranked(rows: DataFrame, key: Column, name: str = "rank", parts: int = PARTS)
     return placed.withColumn(name, F.col("before_") + F.col("at_")).drop("key_", "part_", "at_", "of_", "before_")
 
 
+def _part(bounds: list[str], low: int, high: int) -> Column:
+    """How many of the ascending bounds a key reaches, by halving."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(F.col("key_") < F.lit(bounds[middle]), _part(bounds, low, middle)).otherwise(_part(bounds, middle + 1, high))
+
+
 def joined(*columns: str) -> Column:
     """A key that orders by strings one after another, nulls as empty."""
     return F.concat_ws("\0", *(F.coalesce(F.col(c), F.lit("")) for c in columns))
