@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from symbolake.llm import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality_model, quality_rules, sharding, token_files
+from symbolake.llm import chat_format, decontaminate, fill_middle, html_extract, jaccard_join, line_dedup, mixing, periodic_runs, quality_model, quality_rules, sharding, token_files, url_filter
 from symbolake.llm.base import table
 
 SHARDS = 8
@@ -62,9 +62,24 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.digest(rows.unionByName(probe))
 
 
+def op11_url_filter(spark, sf_dir):
+    """Labels come by the document that a url names."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.labelled_urls(pages, table(spark, sf_dir, "labels")), url_filter.RULES)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+def op13_fill_middle(spark, sf_dir):
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ring_sharding, op2_html_extraction, op3_site_line_dedup, op4_source_mixing, op5_benchmark_decontamination,
     op6_quality_classifier, op7_quality_rules, op8_token_files, op9_ngram_jaccard_join, op10_chat_format,
+    op11_url_filter, op12_periodic_runs, op13_fill_middle,
 )}
 
 JACCARD_SQL = r"""
@@ -88,5 +103,8 @@ ORACLES = {
     "op7_quality_rules": quality_rules.ORACLE,
     "op9_ngram_jaccard_join": JACCARD_SQL,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_url_filter": url_filter.ORACLE,
+    "op12_periodic_runs": periodic_runs.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
 }
 
