@@ -14,7 +14,7 @@ from pyspark.storagelevel import StorageLevel
 from symbolake import doctor, envelope
 from symbolake.envelope import ERROR, OK, Failure
 from symbolake.model import EMBED_BATCH, ENTRIES, GATE_MIN_POPULATION, HIT, SEARCH_K, SIDE, SIMILAR_K, SNAPSHOT_VERSION, TIMEOUT_S, TOP_K
-from symbolake.operators import diff, lookup, vectors
+from symbolake.operators import clusters, diff, lookup, vectors
 from symbolake.plans import indexing, snapshot
 from symbolake.providers import EmbeddingError, Request, Rotation, keys, provider
 from symbolake.sources import documents
@@ -233,7 +233,7 @@ def search(a):
     except EmbeddingError as e:
         raise Failure(str(e)) from e
     gated = n >= GATE_MIN_POPULATION
-    found = rows(vectors.search(index.rows, query, index.centroid, a.min_score, a.top_k, a.section), *HIT)
+    found = rows(indexing.search(index, query, a.min_score, a.top_k, a.section), *HIT)
     text = [] if gated else [f"{n} entries are too few for the gate"]
     text += _listed(found, lambda r: f"  [{r['score']:.2f}] {r['name']}  {r['file']}:{r['line']}" + (f"  {r['docstring']}" if r["docstring"] else ""))
     return {"question": a.question, "count": len(found), "threshold_applied": gated, "results": found}, [*text, f"{len(found)} result(s)"]
@@ -241,7 +241,7 @@ def search(a):
 
 def similar(a):
     index, n = open_index(a.index)
-    above = vectors.similar_pairs(index.rows, index.centroid, a.min_score).persist(StorageLevel.DISK_ONLY)
+    above = clusters.similar_pairs(index.rows, index.centroid, a.min_score).rows.persist(StorageLevel.DISK_ONLY)
     pairs, counts = vectors.similar(index.rows, index.centroid, a.min_score, a.section, a.exclude_same_file, above)
     same = counts.first()[0]
     found = rows(pairs, "score", "a", "b")

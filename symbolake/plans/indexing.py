@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from symbolake.model import EMBED_BATCH, ENTRIES, KEY_VERSION, TIMEOUT_S
+from symbolake.model import EMBED_BATCH, ENTRIES, KEY_VERSION, SEARCH_K, TIMEOUT_S, TOP_K
+from symbolake.operators import clusters, vectors
 from symbolake.operators import index as ops
-from symbolake.operators import vectors
 from symbolake.providers import Request, embed_table
 
 FIELDS = ("section", "name", "file", "line", "signature", "docstring", "hash", "vector")
@@ -25,6 +25,8 @@ class Index:
     dim: int = 0
     key_schema: int = KEY_VERSION
     centroid: list[float] = field(default_factory=list)
+    #: Where the rows are stored, if they are.
+    path: str = ""
 
 
 def from_document(spark: SparkSession, document: dict) -> Index:
@@ -44,9 +46,12 @@ META = "model string, dim int, key_schema int, centroid array<double>"
 
 
 def save(index: Index, folder: str) -> str:
-    """Store the rows as Parquet under a new version of ``folder``; returns the version's path."""
+    """Store the rows as Parquet under a new version of ``folder``, by clusters where they have vectors; returns the version's path."""
     spark, path = index.rows.sparkSession, f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
-    index.rows.write.parquet(f"{path}/entries")
+    if index.centroid:
+        clusters.build(index.rows, index.centroid, path)
+    else:
+        index.rows.write.parquet(f"{path}/entries")
     meta = spark.createDataFrame([(index.model, index.dim, KEY_VERSION, index.centroid)], META)
     meta.withColumn("saved", F.current_timestamp()).coalesce(1).write.parquet(f"{path}/meta")
     return path
@@ -55,7 +60,16 @@ def save(index: Index, folder: str) -> str:
 def load(spark: SparkSession, path: str) -> Index:
     """A stored index; its rows are read from Parquet where a plan needs them."""
     meta = spark.read.parquet(f"{path}/meta").first()
-    return Index(spark.read.schema(ENTRIES).parquet(f"{path}/entries"), meta["model"], meta["dim"], meta["key_schema"], [*meta["centroid"]])
+    rows = spark.read.schema(ENTRIES).parquet(f"{path}/entries").select(*clusters.NAMES)
+    return Index(rows, meta["model"], meta["dim"], meta["key_schema"], [*meta["centroid"]], path)
+
+
+def search(index: Index, query: list[float], k: float = SEARCH_K, top: int = TOP_K, section: str | None = None) -> DataFrame:
+    """The best entries above the gate; of a stored index only the clusters that can hold them are read."""
+    stored = clusters.load(index.rows.sparkSession, index.path) if index.path else None
+    if stored is None:
+        return vectors.search(index.rows, query, index.centroid, k, top, section)
+    return clusters.search(stored, query, k, top, section).rows
 
 
 @dataclass

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from symbolake.functions import entry_hash, entry_key, entry_text, last_segment
 from symbolake.model import HIT
-from symbolake.operators import diff, extract, index, lookup, vectors
-from symbolake.plans import snapshot
+from symbolake.operators import clusters, diff, extract, index, lookup, vectors
+from symbolake.plans import snapshot, workspace
 from symbolake.plans.ranking import digits, joined, ranked
 from symbolake.providers import Local, embed_table
 from symbolake.sources.tree import path_order, skipped
@@ -59,11 +59,14 @@ def vector_entries(spark, sf_dir) -> DataFrame:
     )
 
 
-UNIT = """v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+_UNIT = """v AS MATERIALIZED (SELECT vec_id, label, {} AS v FROM embeddings),
 c AS MATERIALIZED (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v) GROUP BY i)),
 d AS MATERIALIZED (SELECT vec_id, label, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS d FROM v, c),
 n AS MATERIALIZED (SELECT vec_id, label, d, sqrt(list_dot_product(d, d)) AS n FROM d),
 r AS MATERIALIZED (SELECT vec_id, label, list_transform(d, lambda x: x / n) AS r FROM n)"""
+UNIT = _UNIT.format("embedding::DOUBLE[]")
+#: Vectors that lie near one of ten directions, by their label.
+GROUPED_UNIT = _UNIT.format("list_transform(embedding::DOUBLE[], lambda x, i: x * 0.2 + CASE WHEN i = label + 1 THEN 4.0 ELSE 0.0 END)")
 
 
 def sources(spark, sf_dir, language: str) -> DataFrame:
@@ -296,7 +299,8 @@ def recentre(spark, sf_dir):
     return moved.select("ord", F.posexplode("vector_r").alias("place", "x")).select("ord", "place", F.round("x", 6).alias("value"))
 
 
-SCORED = f"{UNIT}, s AS MATERIALIZED (SELECT a.vec_id, a.label, list_dot_product(a.r, b.r) AS score FROM r a JOIN r b ON b.vec_id = 0), h AS (SELECT * FROM s WHERE score >= (SELECT avg(score) + 1.0 * stddev_pop(score) FROM s))"
+_SCORED = ", s AS MATERIALIZED (SELECT a.vec_id, a.label, list_dot_product(a.r, b.r) AS score FROM r a JOIN r b ON b.vec_id = 0), h AS (SELECT * FROM s WHERE score >= (SELECT avg(score) + 1.0 * stddev_pop(score) FROM s))"
+SCORED = UNIT + _SCORED
 
 
 def _search(spark, sf_dir, section=None):
@@ -316,7 +320,12 @@ def search_section(spark, sf_dir):
     return _search(spark, sf_dir, "3")
 
 
-PAIRS = f"{UNIT}, s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_dot_product(a.r, b.r) AS score FROM r a JOIN r b ON a.vec_id < b.vec_id), h AS (SELECT * FROM s WHERE score >= (SELECT avg(score) + 2.0 * stddev_pop(score) FROM s))"
+_PAIRS = """,
+f AS MATERIALIZED (SELECT vec_id, label, r::DOUBLE[64] AS r FROM r),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, array_inner_product(a.r, b.r) AS score FROM f a JOIN f b ON a.vec_id < b.vec_id),
+t AS MATERIALIZED (SELECT avg(score) + 2.0 * stddev_pop(score) AS cut FROM s),
+h AS MATERIALIZED (SELECT s.* FROM s, t WHERE s.score >= t.cut)"""
+PAIRS = UNIT + _PAIRS
 
 
 def _similar(spark, sf_dir, **options):
@@ -345,6 +354,47 @@ def similar_same_file_count(spark, sf_dir):
     return _similar(spark, sf_dir)[1]
 
 
+def grouped_entries(spark, sf_dir) -> DataFrame:
+    near = F.transform("vector", lambda x, i: x * 0.2 + F.when(i == F.col("section").cast("int"), 4.0).otherwise(0.0))
+    return vector_entries(spark, sf_dir).withColumn("key", F.col("name")).withColumn("hash", F.lit("")).withColumn("vector", near)
+
+
+def _clustered(spark, sf_dir, entries, section=None):
+    """Top hits from a search index, and whether some clusters were left unread."""
+    path = workspace.new_path(spark, "search-index")
+    clusters.build(entries, vectors.centroid(entries), path)
+    first = entries.where("ord = 0").first()["vector"]
+    hits = clusters.search(clusters.load(spark, path), first, section=section)
+    return hits.rows.select("ord", "section", F.round("score", 6).alias("score")), hits.clusters_read < hits.clusters
+
+
+@query(f"WITH {SCORED} SELECT vec_id AS ord, label::VARCHAR AS section, round(score, 6) AS score FROM h ORDER BY score DESC, vec_id LIMIT 8")
+def search_index_scattered(spark, sf_dir):
+    """Vectors without groups, which no bound can spare: the rows of a scan all the same."""
+    entries = vector_entries(spark, sf_dir).withColumn("key", F.col("name")).withColumn("hash", F.lit(""))
+    return _clustered(spark, sf_dir, entries)[0]
+
+
+@query(f"WITH {GROUPED_UNIT}{_SCORED} SELECT vec_id AS ord, label::VARCHAR AS section, round(score, 6) AS score, true AS clusters_left_unread FROM h ORDER BY h.score DESC, vec_id LIMIT 8")
+def search_index_grouped(spark, sf_dir):
+    rows, spared = _clustered(spark, sf_dir, grouped_entries(spark, sf_dir))
+    return rows.withColumn("clusters_left_unread", F.lit(spared))
+
+
+@query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM h")
+def similar_blocks_scattered(spark, sf_dir):
+    entries = vector_entries(spark, sf_dir)
+    return clusters.similar_pairs(entries, vectors.centroid(entries), block=256).rows.select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {GROUPED_UNIT}{_PAIRS} SELECT a, b, round(score, 6) AS score, true AS blocks_left_unscored FROM h")
+def similar_blocks_grouped(spark, sf_dir):
+    """Pairs of grouped vectors: most pairs of blocks are too far apart to be scored."""
+    entries = grouped_entries(spark, sf_dir)
+    got = clusters.similar_pairs(entries, vectors.centroid(entries), block=64)
+    return got.rows.select("a", "b", F.round("score", 6).alias("score"), F.lit(2 * got.scored < got.possible).alias("blocks_left_unscored"))
+
+
 @query("SELECT event_id, value FROM events WHERE value >= (SELECT avg(value) + 1.5 * stddev_pop(value) FROM events)")
 def zscore_gate_generic(spark, sf_dir):
     return vectors.gate(_t(spark, sf_dir, "events").select("event_id", "value"), 1.5, "value")
