@@ -280,7 +280,7 @@ def parser() -> argparse.ArgumentParser:
     # Commands, options and their defaults.
     codex, index = {"codex": "codex.json"}, {"index": "semantic_index.json"}
     p = add("scan", scan, "root", out="codex.json", ignore=[])
-    p.add_argument("--parser", default="auto", choices=["auto", "regex", "treesitter"])
+    p.add_argument("--parser", default="auto", choices=["auto", "regex", "treesitter", "outline"])
     add("find", find, "pattern", **codex)
     add("section", section, "name", **codex)
     add("deps", deps, "symbol", **codex)

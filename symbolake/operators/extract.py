@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from symbolake.functions import stripped
 from symbolake.model import LANGUAGES, MODULE_CALLER
 
-MODES = ("auto", "regex", "treesitter")
+MODES = ("auto", "regex", "treesitter", "outline")
 
 FACTS = "kind string, file string, ord long, section string, name string, line int, signature string, docstring string, caller string"
 #: ``ord`` of a row: that of its file, and its place within the file.
@@ -64,7 +64,7 @@ def decoded(content: bytes) -> str | None:
         return None
 
 
-def _facts_batch(rows: list[tuple]) -> pa.RecordBatch:
+def facts_batch(rows: list[tuple]) -> pa.RecordBatch:
     names = ["kind", "file", "ord", "section", "name", "line", "signature", "docstring", "caller"]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
     columns = [*zip(*rows, strict=True)] if rows else [()] * len(names)
@@ -78,7 +78,7 @@ def _python(batches):
             source = decoded(content or b"")
             for k, (kind, section, name, line, signature, docstring, caller) in enumerate(python_facts(source) if source is not None else ()):
                 rows.append((kind, file, ord_ * PER_FILE + k, section, name, line, signature, docstring, caller))
-        yield _facts_batch(rows)
+        yield facts_batch(rows)
 
 
 def python_table(files: DataFrame) -> DataFrame:
@@ -166,15 +166,15 @@ def grammar_package(ext: str) -> str:
 
 
 def backend(ext: str, mode: str = "auto") -> str | None:
-    """Which backend reads an extension: ``ast``, ``treesitter``, ``regex`` or None."""
+    """Which backend reads an extension: ``ast``, ``treesitter``, ``regex``, ``outline`` or None."""
     if mode not in MODES:
         raise ValueError(f"unknown parser mode {mode!r}; available: {', '.join(MODES)}")
     if ext == ".py":
         return "ast"
     if ext not in GRAMMARS:
         return None
-    if mode == "regex":
-        return "regex"
+    if mode in ("regex", "outline"):
+        return mode
     if grammar(ext) is not None:
         return "treesitter"
     if mode == "treesitter":
@@ -293,7 +293,7 @@ def _tree(batches):
             root = parsers[ext].parse(content).root_node
             for k, (section, name, line, signature) in enumerate(tree_symbols(root, LANGUAGES[ext])):
                 rows.append(("symbol", file, ord_ * PER_FILE + k, section, name, line, signature, "", None))
-        yield _facts_batch(rows)
+        yield facts_batch(rows)
 
 
 def generic_symbols(files: DataFrame, mode: str = "auto", exts: list[str] | None = None) -> DataFrame:
@@ -302,6 +302,10 @@ def generic_symbols(files: DataFrame, mode: str = "auto", exts: list[str] | None
     by = {e: backend(e, mode) for e in exts}
     lined = [e for e in exts if by[e] == "regex"]
     out = line_symbols(files, lined) if lined else None
+    if mode == "outline":
+        from symbolake.operators.outline import outline_symbols  # reads with this module's tables
+
+        return outline_symbols(files, exts)
     for language in sorted({LANGUAGES[e] for e in exts if by[e] == "treesitter"}):
         own = files.where(F.col("ext").isin([e for e in exts if by[e] == "treesitter" and LANGUAGES[e] == language]))
         rows = symbols_of(own.select("ord", "file", "content", "ext").mapInArrow(_tree, FACTS), language)

@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Parts of the order, and keys sampled to find their bounds.
-PARTS, SAMPLE = 64, 6400
+from symbolake.plans.workspace import written
 
+#: Bits of monotonically_increasing_id that number the rows of one partition.
+_WITHIN = (1 << 33) - 1
 
-def ranked(rows: DataFrame, key: Column, name: str = "rank", parts: int = PARTS) -> DataFrame:
-    """Add the position (from 0) of each row by a string key; rows of equal keys in any order.
 
-    Bounds come from the keys of smallest hash, so they are the same each time.
-    Each part is numbered by itself, and starts after the rows of the parts below.
+def ranked(rows: DataFrame, key: Column, name: str = "rank", parts: int | None = None) -> DataFrame:
+    """Add the position (from 0) of each row by a string key, null first; rows of equal keys in any order.
+
+    Spark deals the rows to ranges that it samples from all of them, so that a range
+    has as many rows as others, whatever its keys weigh; rows of one heavy key are
+    told apart by a hash of the row and may fill several ranges. The number of
+    ranges is the session's number of shuffle partitions, or fewer as adaptive
+    execution joins small ones, unless ``parts`` gives it. Sorted ranges are written
+    once, and each starts after the rows of those before it.
     """
-    keyed = rows.withColumn("key_", key)
-    some = keyed.select("key_").where("key_ is not null").orderBy(F.xxhash64("key_"), "key_").limit(SAMPLE)
-    found = sorted({r[0] for r in some.collect()}, key=str.encode)  # bounded by SAMPLE
-    bounds = [found[len(found) * k // parts] for k in range(1, parts)] if found else []
-    parted = keyed.withColumn("part_", F.when(F.col("key_").isNull(), -1).otherwise(_part(bounds, 0, len(bounds))))
-    counts = parted.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = counts.select(F.col("part_").alias("of_"), (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))  # at most parts + 1 rows
-    within = F.row_number().over(Window.partitionBy("part_").orderBy("key_")) - 1
-    placed = parted.withColumn("at_", within).join(F.broadcast(before), F.col("part_") == F.col("of_"))
-    return placed.withColumn(name, F.col("before_") + F.col("at_")).drop("key_", "part_", "at_", "of_", "before_")
-
-
-def _part(bounds: list[str], low: int, high: int) -> Column:
-    """How many of the ascending bounds a key reaches, by halving."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(F.col("key_") < F.lit(bounds[middle]), _part(bounds, low, middle)).otherwise(_part(bounds, middle + 1, high))
+    plain = [F.col(f"`{f.name}`") for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    keyed = rows.withColumn("key_", key).withColumn("tie_", F.xxhash64(*plain) if plain else F.lit(0))
+    order = ("key_", "tie_")
+    dealt = keyed.repartitionByRange(parts, *order) if parts else keyed.repartitionByRange(*order)
+    numbered = dealt.sortWithinPartitions(*order).select(*rows.columns, F.spark_partition_id().alias("range_"), F.monotonically_increasing_id().bitwiseAND(F.lit(_WITHIN)).alias("at_"))
+    held = written(numbered, "ranked")
+    sizes = sorted(held.groupBy("range_").count().collect())  # one row a range
+    starts, total = [], 0
+    for part, size in sizes:
+        starts.append((part, total))
+        total += size
+    before = rows.sparkSession.createDataFrame(starts, "range_ int, before_ long")
+    placed = held.join(F.broadcast(before), "range_")
+    return placed.select(*rows.columns, (F.col("before_") + F.col("at_")).alias(name))
 
 
 def joined(*columns: str) -> Column:

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolake.functions import entry_hash, entry_key, entry_text, last_segment
+from symbolake.functions import entry_hash, entry_key, entry_text, last_segment, tables
 from symbolake.model import HIT
 from symbolake.operators import clusters, diff, extract, index, lookup, vectors
 from symbolake.plans import snapshot, workspace
 from symbolake.plans.ranking import digits, joined, ranked
 from symbolake.providers import Local, embed_table
+from symbolake.sources import datasource
 from symbolake.sources.tree import path_order, skipped
 from symbolake.streaming import change_counts, latest
 
@@ -534,3 +535,88 @@ def change_windows(spark, sf_dir):
 def latest_versions(spark, sf_dir):
     changes = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("file"), F.col("ts").cast("timestamp").alias("ts"))
     return latest(changes).select(F.col("file").alias("user_id"), "ord")
+
+
+# ---- outlines, table functions and the tree as a data source -----------------------------
+
+
+def outlined(spark, sf_dir, language: str) -> DataFrame:
+    """A source file for every part with members, nested and grouped declarations, and what only looks like one."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    say = {
+        "js": ["/* class No { */\nexport default class K", key, " extends Base {\n  constructor(a) { super(`${a + `}`}`) }\n  static async m", size, "(x = {y: 1}) {\n    const inner = () => /[{]/g\n  }\n  field = () => 1\n}\nconst a", key, " = async (x) => x, b = 2, c", size, " = function () {}\nconst s = 'function no() {}'\nfunction* g() {}\n"],
+        "ts": ["abstract class No { m() {} }\nexport class Box", key, "<T extends {a: 1}> implements I<T> {\n  private readonly x: number = 1\n  public get", size, "<U>(u: U): Map<string, U> { return f<U>(u) }\n  over(a: string): void\n}\nfunction over", key, "(a: string): void;\nfunction over", key, "(a: any): { x: number } {\n  return a\n}\nconst typed", size, ": (a: number) => void = (a) => {}\n"],
+        "go": ["package p\n\ntype (\n\tA", key, " struct{}\n\tI interface { M() }\n\tB struct { f func() }\n)\n\nfunc (b *Box", size, "[T]) Get", key, "() T { return `}` }\nfunc G[K comparable](m map[K]int) map[string]interface{} {\n\ttype no struct{}\n}\ntype Box", size, "[T any] struct {\n\tv T\n}\n"],
+        "rs": ["pub struct W", key, "<T> { v: T }\nimpl<T: Into<Vec<T>>> fmt::Display for a::W", key, "<T> where T: Clone {\n    pub(crate) async fn go", size, "<'a>(&'a self) -> char { '{' }\n}\nmod t {\n    /* /* nested */ fn no() {} */\n    enum E", size, " { A, B { x: u8 } }\n}\ntrait D { fn d(&self); fn e(&self) {} }\nmacro_rules! m { () => { fn no() {} } }\n"],
+    }[language]
+    source = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in say))
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("f"), key, F.lit(f".{language}")).alias("file"), F.lit(f".{language}").alias("ext"), source.cast("binary").alias("content"))
+
+
+def _outline_sql(ext: str, language: str, *rows: tuple[str, str, int, str]) -> str:
+    """Rows (section, name, line, signature), where k and z stand for a part's key and size as text."""
+    each = " UNION ALL ".join(f"SELECT 'f' || k || '.{ext}' AS file, '{section}' AS section, {name} AS name, {line}::INT AS line, {shown} AS signature, '{language}' AS language FROM p" for section, name, line, shown in rows)
+    return f"WITH p AS (SELECT p_partkey::VARCHAR AS k, p_size::VARCHAR AS z FROM part) {each}"
+
+
+def _outline(spark, sf_dir, language):
+    return extract.generic_symbols(outlined(spark, sf_dir, language), "outline").select("file", "section", "name", "line", "signature", "language")
+
+
+_F, _C, _M = "generic_functions", "generic_classes", "generic_methods"
+
+
+@query(_outline_sql(
+    "js", "javascript", (_C, "'K' || k", 2, "'class K' || k || ' extends Base {'"), (_M, "'K' || k || '.constructor'", 3, "'constructor(a) { super(`${a + `}`}`) }'"),
+    (_M, "'K' || k || '.m' || z", 4, "'static async m' || z || '(x = {y: 1}) {'"), (_M, "'K' || k || '.inner'", 5, "'inner = () => /[{]/g'"),
+    (_F, "'a' || k", 9, "'a' || k || ' = async (x) => x'"), (_F, "'c' || z", 9, "'c' || z || ' = function () {}'"),
+))
+def outline_javascript(spark, sf_dir):
+    return _outline(spark, sf_dir, "js")
+
+
+@query(_outline_sql(
+    "ts", "typescript", (_C, "'Box' || k", 2, "'class Box' || k || '<T extends {a: 1}> implements I<T> {'"),
+    (_M, "'Box' || k || '.get' || z", 4, "'public get' || z || '<U>(u: U): Map<string, U> { return f<U>(u) }'"),
+    (_F, "'over' || k", 8, "'function over' || k || '(a: any): { x: number } {'"), (_F, "'typed' || z", 11, "'typed' || z || ': (a: number) => void = (a) => {}'"),
+))
+def outline_typescript(spark, sf_dir):
+    return _outline(spark, sf_dir, "ts")
+
+
+@query(_outline_sql(
+    "go", "go", (_C, "'A' || k", 4, "'A' || k || ' struct{}'"), (_C, "'B'", 6, "'B struct { f func() }'"), (_F, "'Box' || z || '.Get' || k", 9, "'func (b *Box' || z || '[T]) Get' || k || '() T { return `}` }'"),
+    (_F, "'G'", 10, "'func G[K comparable](m map[K]int) map[string]interface{} {'"), (_C, "'Box' || z", 13, "'type Box' || z || '[T any] struct {'"),
+))
+def outline_go(spark, sf_dir):
+    return _outline(spark, sf_dir, "go")
+
+
+@query(_outline_sql(
+    "rs", "rust", (_C, "'W' || k", 1, "'pub struct W' || k || '<T> { v: T }'"), (_F, "'W' || k || '.go' || z", 3, "'pub(crate) async fn go' || z || '<''a>(&''a self) -> char { ''{'' }'"),
+    (_C, "'E' || z", 7, "'enum E' || z || ' { A, B { x: u8 } }'"), (_F, "'e'", 9, "'fn e(&self) {}'"),
+))
+def outline_rust(spark, sf_dir):
+    return _outline(spark, sf_dir, "rs")
+
+
+@query(ORACLES["python_ast_symbols"])
+def python_symbols_in_sql(spark, sf_dir):
+    """The parser as a table function in SQL text."""
+    tables.register(spark)
+    sources(spark, sf_dir, "py").createOrReplaceTempView("composed_files")
+    return spark.sql("SELECT f.file, s.section, s.name, s.line, s.signature, s.docstring FROM composed_files f, LATERAL python_symbols(f.content) s")
+
+
+@query("""WITH b AS (SELECT replace(p_brand, '#', '_') AS b, p_partkey % 3 AS t, string_agg('def m' || p_partkey || '(): pass' || chr(10), '' ORDER BY p_partkey) AS c FROM part GROUP BY ALL),
+f AS (SELECT ['a', 'a-b', 'a/b'][t + 1] || '/' || b || '.py' AS file, c FROM b WHERE NOT (t = 1 AND b LIKE '%1')) SELECT row_number() OVER (ORDER BY string_split(file, '/')) - 1 AS ord, file, sha256(c) AS sha256 FROM f""")
+def tree_listed_by_tasks(spark, sf_dir):
+    """A tree that tasks write from the parts, read back through the data source: folders from the driver, files from tasks."""
+    root = workspace.new_path(spark, "tree").removeprefix("file://").removeprefix("file:")
+    p = _t(spark, sf_dir, "part").select(F.replace("p_brand", F.lit("#"), F.lit("_")).alias("b"), (F.col("p_partkey") % 3).cast("int").alias("t"), "p_partkey")
+    line = F.concat(F.lit("def m"), F.col("p_partkey").cast("string"), F.lit("(): pass\n"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"])
+    made = p.groupBy("b", "t").agg(F.array_join(lines, "").alias("content"))
+    folder = F.element_at(F.array(*map(F.lit, ("a", "a-b", "a/b"))), F.col("t") + 1)
+    datasource.write_tree(made.select(F.concat(folder, F.lit("/"), "b", F.lit(".py")).alias("file"), F.col("content").cast("binary").alias("content")), root)
+    return datasource.read_tree(spark, root, ["a-b/*1.py"], folders=1).select("ord", "file", "sha256")

@@ -58,7 +58,8 @@ def listing(root: str | Path, globs: Sequence[str] = ()) -> list[str]:
     return sorted(_names(Path(root), [*globs]), key=lambda rel: rel.split("/"))
 
 
-def _read(root: str):
+def read_files(root: str):
+    """Reads (ord, file) rows' contents under a root, one file at a time."""
     def run(batches):
         for batch in batches:
             for ord_, rel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -73,7 +74,7 @@ def read_tree(spark: SparkSession, root: str | Path, globs: Sequence[str] = (),
     names = listing(root, ignore_globs(root, globs))
     table = spark.createDataFrame([*enumerate(names)], "ord long, file string")
     table = table.repartition(max(1, -(-len(names) // files_per_task)), "ord")
-    return table.mapInArrow(_read(str(root)), CONTENT).withColumn("sha256", F.sha2("content", 256))
+    return table.mapInArrow(read_files(str(root)), CONTENT).withColumn("sha256", F.sha2("content", 256))
 
 
 def path_order(file: Column) -> Column:

@@ -97,7 +97,7 @@ def test_backends(monkeypatch):
     assert extract.backend(".go", "regex") == "regex" and extract.backend(".go", "treesitter") == "treesitter"
     with pytest.raises(RuntimeError, match="tree-sitter-rust"):
         extract.backend(".rs", "treesitter")
-    with pytest.raises(ValueError, match="auto, regex, treesitter"):
+    with pytest.raises(ValueError, match="auto, regex, treesitter, outline"):
         extract.backend(".py", "other")
 
 
