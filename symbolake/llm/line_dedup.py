@@ -7,16 +7,16 @@ every page of it. So the ratio alone decides for a host of any size but one: the
 only page of a host repeats nothing and loses nothing.
 
 Only hashes of lines move: (host, line) counts are pre-aggregated, and what
-comes back to a page is the set of its boilerplate hashes. The join of pages and
+comes back to a page is the places of its boilerplate lines. The join of pages and
 boilerplate lines goes by (host, line), so that a hot host is spread over its
 lines; the share of one hot line is split by adaptive execution, or the lines
 are broadcast while they are few.
 
 Edge cases: a null or empty text has no lines and stays null or empty. A null
 host is a host of its own. A line counts once a page however often it stands
-there; each of its places goes. Lines are compared as they are, trimmed; blank
-lines are kept and never counted. Rows with equal ids are separate pages. A very
-long page moves whole, once, and its lines as hashes. An empty table gives no
+there; each of its places goes. Lines are compared by a 64-bit hash of their
+trimmed text; blank lines are kept and never counted. Rows with equal ids are separate pages. A very
+long page moves whole, once, and its lines as hashes; time is linear in its lines. An empty table gives no
 rows; other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolake.llm.base import fits, stash
+from symbolake.llm.base import fits, let, stash
 
 RATIO = 0.05
 MIN_PAGES = 2
@@ -56,11 +56,12 @@ def visible_lines(html: Column) -> Column:
 
 def drop_boilerplate(pages: DataFrame, key: str, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """key, host, text without boilerplate lines, n_lines and n_dropped (non-blank lines) of every page."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    # one hash for each line, null for a blank one
+    hashes = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
     rows = pages.select(F.col(key), host.alias("host"), text.alias("text")).withColumn("row_", F.monotonically_increasing_id())
     # the hashes of a page's lines are written beside its text, so that counting reads no text
-    rows = stash(rows.withColumn("hashes_", F.transform(lines, lambda x: F.xxhash64(x))), "pages")
-    hashed = rows.select("row_", "host", F.explode(F.array_distinct("hashes_")).alias("line"))
+    rows = stash(rows.withColumn("hashes_", hashes), "pages")
+    hashed = rows.select("row_", "host", F.explode(F.array_distinct("hashes_")).alias("line")).where("line is not null")
     of_host = stash(rows.groupBy("host").agg(F.count("*").alias("n_pages")), "hosts")
     counts = hashed.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     counts = counts.withColumnRenamed("host", "h")
@@ -69,16 +70,18 @@ def drop_boilerplate(pages: DataFrame, key: str, host: Column, text: Column, rat
     often = counts.join(few, same("h", "host")).where(F.col("n") > ratio * F.col("n_pages")).select("h", F.col("line").alias("l"))
     often = stash(often, "boilerplate")
     side = F.broadcast(often) if fits(often) else often
-    hits = hashed.join(side, same("host", "h") & (F.col("line") == F.col("l"))).groupBy("row_").agg(F.collect_set("line").alias("drop_"))
+    # what comes back to a page is the places of its boilerplate lines; all further steps are linear in its lines
+    placed = rows.select("row_", "host", F.posexplode("hashes_").alias("at", "line")).where("line is not null")
+    hits = placed.join(side, same("host", "h") & (F.col("line") == F.col("l"))).groupBy("row_").agg(F.collect_list("at").alias("drop_"))
     joined = rows.join(hits, "row_", "left")
-    drop = F.coalesce("drop_", F.array().cast("array<bigint>"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("drop_"), F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("hashes_") - 1), F.col("drop_"))
+    left = let(F.split("text", "\n", -1), lambda lines: F.transform(kept, lambda i: F.get(lines, i)))
     return joined.select(
         key,
         "host",
-        F.when(F.col("drop_").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size("hashes_").cast("long").alias("n_lines"),
-        F.size(F.filter("hashes_", lambda x: F.array_contains(drop, x))).cast("long").alias("n_dropped"),
+        F.when(F.col("drop_").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.size(F.filter("hashes_", lambda x: x.isNotNull())).cast("long").alias("n_lines"),
+        F.when(F.col("drop_").isNull(), 0).otherwise(F.size("drop_")).cast("long").alias("n_dropped"),
     )
 
 

@@ -248,6 +248,22 @@ def test_line_dedup_against_plain_counts(spark):
         assert (r.n_lines, r.n_dropped) == (len(n), sum(not keep(x) for x in n))
 
 
+def test_line_dedup_is_linear_in_a_page(spark):
+    """Two pages of n equal lines and one own line: all but the own lines go, in time that grows as n."""
+
+    def took(n):
+        line = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")
+        pages = spark.range(2).select("id", F.lit("h").alias("host"), F.concat(line, F.lit("\nown "), F.col("id").cast("string")).alias("text"))
+        began = time.perf_counter()
+        got = line_dedup.drop_boilerplate(pages, "id", F.col("host"), F.col("text")).collect()
+        assert sorted(tuple(r)[2:] for r in got) == [(f"own {i}", n + 1, n) for i in range(2)]
+        return time.perf_counter() - began
+
+    took(1000)
+    small = took(62_500)
+    assert took(500_000) < 12 * small + 10
+
+
 def test_line_dedup_odd(spark):
     kind = "id long, host string, text string, line string, drop_ int, h string"
     rows = [(1, None, "a\n\na", None, 1, None), (1, None, "a", None, 1, None), (2, None, "", None, 1, None), (3, "x", None, None, 1, None), (None, None, "a", None, 1, None)]
