@@ -152,6 +152,30 @@ def test_mix_documents_repeats_what_the_table_says(docs):
     assert counts == Counter({k: v for k, v in table.items() if v})
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_equal_rows_are_taken_up_to_the_target(spark, monkeypatch, broadcast):
+    """Rows with one doc_id and text are interchangeable: so many are taken as come nearest to the target, however often they stand."""
+    if not broadcast:
+        monkeypatch.setattr("symbolake.llm.base.BROADCAST_BYTES", 0)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(7, "a b", f"l{i % 3}", "s", None) for i in range(100)] + [(i, "x", None, f"t{i % 2}", None) for i in range(8, 12)] + [(None, "c d e", None, "t0", 1)] * 90
+    docs = spark.createDataFrame(rows, kind).repartition(5)
+    got = mixing.mix_table(docs).collect()
+    assert len(got) == len(rows)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        taken[r.source], target[r.source] = taken[r.source] + r.taken, r.target
+    assert all(abs(taken[s] - target[s]) <= 1.5 for s in target) and any(0 < target[s] % 200 for s in target)
+    again = mixing.mix_documents(docs).groupBy("doc_id", "lang", "source").count().collect()
+    by_text = Counter()
+    for r in again:
+        by_text[r.source] += r["count"] * (2 if r.doc_id == 7 else 1 if r.doc_id else 3)
+    assert by_text == {s: n for s, n in taken.items() if n}
+    # of rows that differ elsewhere some are taken once more than others, the same ones each time
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, mixing.mix_documents(docs.repartition(3)).groupBy("doc_id", "lang", "source").count().collect()), key=repr)
+
+
 def test_mix_odd(odd_docs, no_docs):
     got = mixing.mix_table(odd_docs).collect()
     assert len(got) == odd_docs.count()
