@@ -9,8 +9,13 @@ container is kept, and in page order what else belongs to it: beside an article
 main element the siblings that score well, else all parts beside it or beside the
 containers around it that read as prose, short or long, and have few links. Parts that are never content (menus, headers,
 footers, sidebars, notices, adverts, forms, comments of readers, scripts, styles)
-are left out by element, role, class or id before scoring. A class or id only
-counts where it agrees with the text: a name within a longer token ("my-widget-x")
+are left out by element, role, class or id before scoring. A form goes unless most
+of the page's prose lies in it, a field set without prose goes, a button's text stays
+in a sentence. Articles of one main belong together; of articles within an article
+teasers and those under a heading of comments go. The id of a heading, a paragraph
+or an item is an anchor and counts for nothing, and a name that a section of an
+article may have as its topic only where the section has no prose or many links. A
+class or id else only counts where it agrees with the text: a name within a longer token ("my-widget-x")
 takes out parts with little prose or many links, and a name that may mean content
 does not count where the parts that have it hold most of the page's prose.
 
@@ -56,19 +61,25 @@ LINK_EDGE = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 #: Elements whose content is no markup; and those left out with all that they hold.
 RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
-HOLLOW = {"template", "noscript", "svg", "math", "object", "select", "canvas", "audio", "video", "button", "datalist"}
+HOLLOW = {"template", "noscript", "svg", "object", "select", "canvas", "audio", "video", "datalist", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "blockquote", "caption", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "article", "main", "body", "html", "head", "aside", "nav", "header", "footer", "form", "fieldset", "dialog", "menu", "center"}
 #: Blocks that hold text and no other block of their kind; all other blocks may be containers.
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "pre", "figcaption", "caption", "summary"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-OUT = {"nav", "aside", "footer", "form", "dialog", "menu", "fieldset", "head", *HOLLOW}
+OUT = {"nav", "aside", "footer", "dialog", "menu", "head", *HOLLOW}
+#: Parts that are judged by what they hold: a form goes unless most of the page's prose is in it, a field set without prose goes, a button goes unless it stands in a sentence.
+JUDGED = {"form", "fieldset", "button"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 #: Names of parts that are never content, and of parts that may be.
 FIRM = r"ads?|advert[a-z0-9]*|adsense|nav|navbar|navbox|navigation|noprint|editsection|sharedaddy|addtoany|menu[a-z0-9]*|breadcrumbs?|sidebar[a-z0-9]*|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|newsletter|pager|pagination|skip-?link|login|search-?(?:form|box)"
 LOOSE = r"banner|promo[a-z0-9]*|sponsor[a-z0-9]*|notice|notification|popup|modal|overlay|subscribe|signup|share|sharing|social|related|recommend[a-z0-9]*|widget|toolbar"
 NAMES = re.compile(rf"(?:^|[\s_-])({FIRM}|{LOOSE})(?=$|[\s_-])", re.I)
 IS_FIRM = re.compile(FIRM, re.I)
+#: Names that a section of an article may have as its topic.
+TOPIC = re.compile(r"nav|navbar|navigation|menu[a-z0-9]*|breadcrumbs?|cookies?|consent|login|pager|pagination|notice|notification|overlay|toolbar", re.I)
+#: A heading over the comments of readers.
+COMMENTS = re.compile(r"\W*(?:\d+\W+)?(?:(?:reader|user|visitor)s?['’]?s?\s+)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)\W*(?:\(?\d+\)?\W*)?", re.I)
 #: Words that may stand beside a name without changing what it says.
 LAYOUT = r"all|area|articles?|bar|block|blog|body|bottom|box|buttons?|col|column|component|container|content|custom|enabled|entry|fb|form|global|group|header|icons?|inner|items?|js|label|latest|left|links?|list|main|media|mobile|module|more|my|new|news|outer|page|panel|posts?|primary|readers?|recent|right|rail|row|secondary|section|single|site|slot|stories|story|text|thread|title|top|unit|users?|visitors?|wrap|wrapper|\d+(?:x\d+)?"
 #: Atomic, so that no token takes more than one try.
@@ -89,7 +100,7 @@ LINKED = 0.3
 class Node:
     """A block element, or an inline element that is left out or has a telling name."""
 
-    __slots__ = ("name", "parent", "out", "word", "kind", "up", "outer", "firm", "article", "depth", "inline", "within", "score", "chars", "links", "prose", "gone", "kept")
+    __slots__ = ("name", "parent", "out", "word", "kind", "up", "outer", "firm", "article", "depth", "inline", "within", "score", "chars", "links", "prose", "gone", "hard", "kept", "order")
 
     def __init__(self, name: str, parent: Node | None, out: bool, word: str = "", kind: str = ""):
         self.name, self.parent, self.out = name, parent, out
@@ -97,7 +108,7 @@ class Node:
         self.word, self.kind = word, kind
         self.up = (parent if parent.word else parent.up) if parent else None
         self.outer = True
-        self.firm = (self.up.firm if self.up else 0) + (kind == "firm") * (math.inf if NEVER.match(word) else 1)
+        self.firm = (self.up.firm if self.up else 0) + ((math.inf if NEVER.match(word) else 1) if kind == "firm" else 0)
         self.article = bool(parent and parent.article) or name in ("article", "main")
         self.depth = parent.depth + 1 if parent else 0
         #: Open inline elements, kept from the first that tells on, and how many of each name.
@@ -105,28 +116,36 @@ class Node:
         self.within: dict[str, int] = {}
         self.score = 0.0
         self.chars = self.links = self.prose = 0
-        self.gone = self.kept = False
+        self.gone = self.hard = self.kept = False
+        self.order = 0
 
 
 def _unwanted(name: str, attributes: str, inside_article: bool) -> tuple[bool, str, str]:
     """Whether a part is never content; else the name its class or id gives it, and the kind of that name."""
     if name in OUT or (name == "header" and not inside_article):
         return True, "", ""
-    if name in ("html", "body", "article", "main") or not TELLING.search(attributes):
+    if name in ("html", "body", "article", "main"):
         return False, "", ""
-    word = kind = ""
+    if not TELLING.search(attributes):
+        return False, *((name, name) if name in JUDGED else ("", ""))
+    word, kind = (name, name) if name in JUDGED else ("", "")
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
             return True, "", ""
         if key == "role" and value.lower() in ROLES:
             return True, "", ""
+        # an id is an anchor as well as a name: of headings and paragraphs it says what they are about
+        if key == "id" and name in LEAF:
+            continue
         if key in ("class", "id") and kind != "firm" and NAMES.search(value := HAS.sub("", value)):
             for token in value.split():
                 found = [x.lower() for x in NAMES.findall(token)]
                 sure = [x for x in found if IS_FIRM.fullmatch(x)]
                 sort = "part" if not WHOLE.fullmatch(token) else "firm" if sure else "loose"
-                if found and (kind in ("", "part") or sort == "firm"):
+                if name == "section" and inside_article and TOPIC.fullmatch(token):
+                    sort = "topic"
+                if found and (kind in ("", "part", *JUDGED) or sort == "firm"):
                     word, kind = (sure or found)[0], sort
     return False, word, kind
 
@@ -135,6 +154,12 @@ def _prose(value: str, linked: int) -> bool:
     return 3 * linked <= len(value) and (len(value) > 40 or value.endswith((".", "!", "?", "。", "！", "？", "…")))
 
 
+def _stretches(flags: list[bool]) -> list[tuple[int, int]]:
+    """First and end of each stretch of true values."""
+    edges = [i for i in range(len(flags) + 1) if (i < len(flags) and flags[i]) != (i > 0 and flags[i - 1])]
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
 class _Page:
     def __init__(self):
         self.root = Node("", None, False)
@@ -170,6 +195,7 @@ class _Page:
 
     def begin(self, name: str, out: bool, word: str, kind: str) -> Node:
         node = Node(name, self.at, out, word, kind)
+        node.order = len(self.nodes)
         self.nodes.append(node)
         if word:
             node.outer = not self.named.get((word, kind))
@@ -247,12 +273,24 @@ class _Page:
             if x.outer:
                 of_name[x.word, x.kind] = of_name.get((x.word, x.kind), 0) + x.prose
         for x in named:
-            if x.kind != "firm" and 2 * of_name[x.word, x.kind] <= total:
+            if x.kind in ("form", "fieldset", "topic"):
+                x.gone = not x.prose or 2 * x.links > x.chars or (x.kind == "form" and 2 * x.prose <= total)
+                x.hard = x.kind != "topic" and not x.prose
+            elif x.kind not in ("firm", "button") and 2 * of_name[x.word, x.kind] <= total:
                 x.gone = x.kind == "loose" or 2 * x.links > x.chars
-            x.gone = x.gone or bool(x.up and x.up.gone)
+            x.gone, x.hard = x.gone or bool(x.up and x.up.gone), x.hard or bool(x.up and x.up.hard)
         fine = [stays and not (x[0] and x[0].gone) for x, stays in zip(every, keep, strict=True)]
         if not any(f and x[1] for f, x in zip(fine, every, strict=True)):
-            fine = keep
+            fine = [stays and not (x[0] and x[0].hard) for x, stays in zip(every, keep, strict=True)]
+        at = 0
+        for block, pieces in self.blocks:
+            button = [bool(x[0] and x[0].kind == "button") for x in every[at : at + len(pieces)]]
+            if any(button):
+                for i, j in _stretches(button):  # a button's text is a word of the sentence that it stands in
+                    before, after = (pieces[i - 1][1] if i else "")[-1:], (pieces[j][1] if j < len(pieces) else "")[:1]
+                    if block.name not in LEAF or not before.isspace() or not (after.isspace() or after in (".", ",", ";", ":", "!", "?", ")")):
+                        fine[at + i : at + j] = [False] * (j - i)
+            at += len(pieces)
         k = iter(fine)
         self.texts: list[tuple[Node, str, int]] = []
         for block, pieces in self.blocks:
@@ -387,6 +425,52 @@ def _parts(best: Node, page: _Page, holders: dict[int, Node], beside: set[int])
     return keep
 
 
+def _article_of(node: Node | None) -> Node | None:
+    """The nearest article or main around a node, itself included."""
+    while node is not None and node.name not in ("article", "main"):
+        node = node.parent
+    return node
+
+
+def _articles(best: Node, page: _Page, holders: dict[int, Node]) -> tuple[set[int], set[int], set[int]]:
+    """Beside a best article or main: further articles that are kept, parts inside it that go, and texts (by place) that go.
+
+    Articles of one main belong together, wrapped or not, unless they are teasers or
+    mostly links. Of articles within the best container teasers go, and so do, with
+    the part around them, those under a heading that says they are comments.
+    """
+    prose, teasers = _readable(page)
+    keep, gone, silent = set(), set(), set()
+    own = [x for x in page.nodes if x.name == "article" and x is not best and id(x) in holders]
+    main = _article_of(best.parent)
+    inside = {id(best)}  # all that lies in the best container, in page order
+    for x in page.nodes:
+        if x.parent is not None and id(x.parent) in inside:
+            inside.add(id(x))
+    nested = [x for x in own if id(x) in inside]
+    if best.name == "article" and main is not None and main.name == "main":
+        keep = {id(x) for x in own if id(x) not in inside and _article_of(x.parent) is main and id(x) in prose and x.links <= LINKED * x.chars and not (id(x) in teasers and id(best) not in teasers)}
+    if id(best) not in teasers:
+        gone = {id(x) for x in nested if id(x) in teasers}
+    around: dict[int, int] = {}  # how many nested articles a part holds
+    over: dict[int, int] = {}  # the first heading of comments that stands in an article itself
+    for x in reversed(page.nodes):
+        if id(x) in inside:
+            around[id(x)] = around.get(id(x), 0) + (x.name == "article" and x is not best and id(x) in holders)
+            if x.parent is not None and id(x.parent) in inside:
+                around[id(x.parent)] = around.get(id(x.parent), 0) + around[id(x)]
+    for k, (at, value, _) in enumerate(page.texts):
+        holder = _holder(at)
+        if at.name in HEADING and id(holder) in inside and around.get(id(holder)) and COMMENTS.fullmatch(value):
+            if holder is best or holder.name in ("article", "main"):
+                silent.add(k)
+                over.setdefault(id(holder), at.order)
+            else:
+                gone.add(id(holder))
+    gone |= {id(x) for x in nested if over.get(id(x.parent), x.order) < x.order}
+    return keep, gone, silent
+
+
 def main_text(source: str | None) -> str:
     if not source:
         return ""
@@ -410,10 +494,14 @@ def main_text(source: str | None) -> str:
     keep, beside = {id(best)}, set()  # beside: parents whose own headings and prose are kept
     if best.parent is not None:
         keep |= _parts(best, page, holders, beside)
+    more, gone, silent = _articles(best, page, holders) if best.name in ("article", "main") else (set(), set(), set())
+    keep |= more
     for x in page.nodes:  # those inside come after
-        x.kept = id(x) in keep or bool(x.parent and x.parent.kept)
+        x.kept = id(x) not in gone and (id(x) in keep or bool(x.parent and x.parent.kept))
     text = []
-    for at, value, linked in page.texts:
+    for k, (at, value, linked) in enumerate(page.texts):
+        if k in silent:
+            continue
         heading = at.name in HEADING
         own = id(_holder(at)) in beside and (not linked if heading else _prose(value, linked))
         paragraph = best.parent is not None and at.parent is best.parent and at.name == "p" and not linked and _prose(value, linked)

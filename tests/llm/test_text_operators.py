@@ -136,6 +136,40 @@ def test_odd_markup_loses_nothing(html, want):
     assert main_text(html) == want
 
 
+SAY = "Sailors found their way by stars, by the sun and by the colour of the sea around them."
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        # a form around the page, and forms within it
+        (f"<body><form action=x><article><h1>T</h1><p>{PROSE}</p></article></form></body>", f"T\n{PROSE}"),
+        (f"<body><form id=page><div id=content><p>{PROSE}</p><p>{PROSE}</p></div></form></body>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><form><p>Your name:</p><input><button>Send</button></form></article>", PROSE),
+        (f"<article><p>{PROSE}</p><fieldset><legend>Note</legend><p>{PROSE}</p></fieldset><fieldset><legend>Size</legend>S M L</fieldset></article>", f"{PROSE}\nNote\n{PROSE}"),
+        ("<form><p>Name:</p></form>", ""),
+        # several articles of one main, teasers, comments of readers
+        (f"<main><div><article><p>{PROSE} A</p></article></div><div><article><p>{PROSE} B</p></article></div></main>", f"{PROSE} A\n{PROSE} B"),
+        (f"<main><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p><article><h2><a href=x>Other</a></h2><p>{PROSE}</p></article></main>", f"T\n{PROSE}\n{PROSE}\n{PROSE}"),
+        (f"<article><h1>T</h1><p>{PROSE}</p><section><h2>Comments</h2><article><p>First! {PROSE}</p></article><article><p>Second, {PROSE}</p></article></section></article>", f"T\n{PROSE}"),
+        (f"<article><h1>T</h1><p>{PROSE}</p><h2>2 comments</h2><article><p>First! {PROSE}</p></article><article><p>Second, {PROSE}</p></article></article>", f"T\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><section><h2>Comments</h2><p>{SAY}</p></section></article>", f"{PROSE}\nComments\n{SAY}"),
+        (f"<article><p>{PROSE}</p><div id=comments><h3>3 comments</h3><p>{PROSE}</p></div></article>", PROSE),
+        # ids of headings and paragraphs, topics of sections
+        (f"<article><h2 id=menu>The menu of the day</h2><p>{PROSE}</p><h2 id=related>Related work</h2><p>{PROSE}</p><h2 id=login>Login</h2></article>", f"The menu of the day\n{PROSE}\nRelated work\n{PROSE}\nLogin"),
+        (f"<article><p>{PROSE}</p><p id=consent>{SAY}</p></article>", f"{PROSE}\n{SAY}"),
+        (f"<article><p>{PROSE}</p><section id=navigation><h2>Navigation</h2><p>{SAY}</p></section></article>", f"{PROSE}\nNavigation\n{SAY}"),
+        (f"<article><p>{PROSE}</p><section class=cookies><h2>Cookies</h2><p>{SAY}</p></section></article>", f"{PROSE}\nCookies\n{SAY}"),
+        (f"<article><p>{PROSE}</p><section class=menu><ul><li><a href=x>One page</a><li><a href=y>Another page</a></ul></section></article>", PROSE),
+        # inline parts of a sentence
+        (f"<article><p>{PROSE}</p><p>Press <button>OK</button> to go on.</p><p><button>Buy</button></p></article>", f"{PROSE}\nPress OK to go on."),
+        (f"<article><p>{PROSE} Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x = 1</annotation></math> be given.</p></article>", f"{PROSE} Let x=1 be given."),
+    ],
+)
+def test_content_decides(html, want):
+    assert main_text(html) == want
+
+
 def test_deep_and_long_pages_are_linear():
     assert main_text("<div>" * 20_000 + f"<p>{PROSE}</p>") == PROSE
     big = "<article>" + f"<p>{PROSE}</p>" * 20_000 + "</article>"
@@ -144,7 +178,7 @@ def test_deep_and_long_pages_are_linear():
 
 @pytest.mark.parametrize(
     "unit",
-    ["<div>x, y ", "<div class=share>x, y ", "<span class=share>x ", "<p class=\"a", "<a href=x><div>x ", "</section><div>x", "<b><i></b>", "<li><blockquote>x", "<title>", "<button></i>x", "<!-", "<p title='"],
+    ["<div>x, y ", "<div class=share>x, y ", "<span class=share>x ", "<p class=\"a", "<a href=x><div>x ", "</section><div>x", "<b><i></b>", "<li><blockquote>x", "<article>x, y <h2>Comments</h2>", "<form><fieldset>x ", "<p>x <button>y</button> z", "<title>", "<button></i>x", "<!-", "<p title='"],
 )
 def test_time_is_linear_in_any_nesting(unit):
     began = time.process_time()
