@@ -30,9 +30,10 @@ about 60 MB; blocks are built, broadcast and let go one by one. Texts are read i
 slices, so that a text of any length takes some 30 bytes a word.
 
 Edge cases: null or empty texts and items have no words and never match. Items
-under EXACT_BELOW words match word for word only, as chance comes near them (all
-of their copies are found: without edits a walk stays in step);
-``drop_leaks`` can be told to spare what only short items match. Equal items match
+under 1 / EDITS words allow no edit, and all of their copies are found, as a walk
+without edits stays in step. Items under HALVED_BELOW words that allow edits are
+found by their pieces, of which one is unedited, without loss. Chance comes near
+short items; ``drop_leaks`` can be told to spare what only they match. Equal items match
 the same texts, each under its own id. Rows with equal doc_id are judged one by
 one; a null doc_id is kept as null. Bytes that are not UTF-8 separate words.
 Other columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
@@ -42,6 +43,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +54,8 @@ from symbolake.llm.base import small_batches
 from symbolake.llm.textkernel import EXACT, buffers, chunks, mix, valid, word_hashes
 
 EDITS = 0.2
-#: Shorter items allow no edits.
-EXACT_BELOW = 8
+#: Items with fewer words are too short to walk over: one of their halves stands unedited where they leak with one edit.
+HALVED_BELOW = 8
 #: Repetitions of the walk (a multiple of 8), its steps, and the steps that each repetition samples.
 REPEATS, STEPS, SAMPLES = 16, 8, 4
 BLOCK_WORDS = 500_000
@@ -145,7 +147,7 @@ class Block:
         self.vocabulary, self.ids = vocabulary, np.array(ids, np.int64)
         self.items = [np.searchsorted(vocabulary, s).astype(np.int32) + 1 for s in sequences]
         self.sizes = np.array([len(s) for s in sequences], np.int64)
-        self.allowed = np.array([int(edits * len(s)) if len(s) >= EXACT_BELOW else 0 for s in sequences], np.int64)
+        self.allowed = np.array([int(edits * len(s)) for s in sequences], np.int64)
         self.longest = int((self.sizes + self.allowed).max(initial=0))
         # which low bits of word hashes occur: most words of a text end here
         self.low = np.zeros(1 << 18, bool)
@@ -163,7 +165,13 @@ class Block:
         for n in np.unique(reach[exact & (self.sizes > 0)]).tolist():
             which = np.flatnonzero(exact & (reach == n))
             self.tables.append(Table(0, [*range(n)], words, np.ascontiguousarray(coins(hashes, 0)[:, 0]), begin[which], which, np.zeros(len(which), np.int64), np.full(len(which), n), n, n))
-        windows = [(i, np.arange(k // 2 + 2) * len(self.items[i]) // (k // 2 + 1)) for i, k in enumerate(self.allowed.tolist()) if k]
+        # of k + 1 adjacent pieces of a short item one is unedited
+        short = np.flatnonzero(~exact & (self.sizes < HALVED_BELOW))
+        pieces = [(i, a, b - a) for i in short.tolist() for a, b in pairwise((np.arange(self.allowed[i] + 2) * self.sizes[i] // (self.allowed[i] + 1)).tolist()) if b > a]
+        for n in sorted({size for _, _, size in pieces}):
+            which, at = (np.array([x[c] for x in pieces if x[2] == n], np.int64) for c in (0, 1))
+            self.tables.append(Table(0, [*range(n)], words, np.ascontiguousarray(coins(hashes, 0)[:, 0]), begin[which] + at, which, at, np.full(len(which), n), n, n))
+        windows = [(i, np.arange(k // 2 + 2) * len(self.items[i]) // (k // 2 + 1)) for i, k in enumerate(self.allowed.tolist()) if k and self.sizes[i] >= HALVED_BELOW]
         if windows:
             which = np.concatenate([np.full(len(c) - 1, i) for i, c in windows])
             at, size = np.concatenate([c[:-1] for _, c in windows]), np.concatenate([np.diff(c) for _, c in windows])
