@@ -7,12 +7,13 @@ also have backslash and newline escaped.
 
 Windows: turns are laid out by the running sum of their tokens (words, and
 FRAME for the frame). A window takes whole turns until the next would exceed
-BUDGET, or has a number that BLOCK divides; a longer turn has a window of its own, uncut. Each later window begins
+BUDGET; a longer turn has a window of its own, uncut. Each later window begins
 with the system turn (if the first turn is one) and with as many whole turns of
 history as fit in HISTORY tokens. The loss mask covers texts of assistant turns
 that are new in their window, so every target counts once; repeated turns are
 context. No conversation is gathered in one place: token counts are gathered by
-BLOCK turns; sums over a conversation of more than HOT turns are taken in parts by
+BLOCK turns, and of a longer conversation one row carries the start of the window
+that is open from block to block (some 1.6 KB a block); sums over a conversation of more than HOT turns are taken in parts by
 turn number, and go on from the sums of the parts before; texts meet their windows
 by the hash of their row, so that they are read twice and written only as windows.
 
@@ -39,6 +40,8 @@ from symbolake.llm.base import fits, let, lookup, n_words, stash
 BUDGET, HISTORY, FRAME = 400, 100, 4
 #: Turns that are cut into windows together, and turns of a conversation that are summed up in one task.
 BLOCK, HOT = 4096, 1_000_000
+#: Most parts of a conversation's turns that are summed by themselves.
+PARTS = 1024
 START, END = "<|im_start|>", "<|im_end|>"
 TARGET = "assistant"
 
@@ -97,14 +100,21 @@ def numbered(turns: DataFrame) -> DataFrame:
 
 def _in_parts(turns: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Turns with a part, 0 but for conversations of more than HOT turns; and the turns and tokens before each of their parts."""
-    some = turns.groupBy(F.col("conv_id").alias("hot_")).agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high"))
+    some = turns.groupBy(F.col("conv_id").alias("hot_")).agg(F.count(F.lit(1)).alias("n"))
     some = stash(some.where(F.col("n") > HOT), "hot")
     if not some.limit(1).count():
         return turns.withColumn("part", F.lit(0)), None
     side = F.broadcast(some) if fits(some) else some
-    share = (F.col("turn") - F.col("low")).cast("double") / (F.col("high") - F.col("low") + 1)
-    part = F.when(F.col("n").isNull(), 0).when(F.col("turn").isNull(), -1).otherwise(F.floor(share * F.ceil(F.col("n") / HOT)).cast("int"))
-    parted = stash(turns.join(side, F.col("conv_id").eqNullSafe(F.col("hot_")) & F.col("n").isNotNull(), "left").withColumn("part", part).drop("hot_", "n", "low", "high"), "parts")
+    # bounds that cut a conversation's turns into parts of about HOT rows, whatever the numbers are
+    hot = turns.join(side, F.col("conv_id").eqNullSafe(F.col("hot_")))
+    count = F.max(F.ceil(F.col("n") / HOT).cast("int"))
+    quantiles = F.percentile_approx("turn", [k / PARTS for k in range(1, PARTS)], 20 * PARTS)
+    bounds = hot.groupBy("hot_").agg(quantiles.alias("q"), count.alias("parts"))
+    step = F.greatest(F.floor(PARTS / F.col("parts")).cast("int"), F.lit(1))
+    bounds = stash(bounds.select("hot_", F.lit(1).alias("is_hot"), F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("cuts")), "cuts")
+    near = F.broadcast(bounds) if fits(bounds) else bounds
+    part = F.when(F.col("is_hot").isNull(), 0).when(F.col("turn").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda x: x < F.col("turn"))))
+    parted = stash(turns.join(near, F.col("conv_id").eqNullSafe(F.col("hot_")), "left").withColumn("part", part).drop("hot_", "is_hot", "cuts"), "parts")
     sums = parted.join(side, F.col("conv_id").eqNullSafe(F.col("hot_")), "left_semi").groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("tokens").alias("t"))
     up = Window.partitionBy("conv_id").orderBy("part")
     before = sums.select(F.col("conv_id").alias("hot_"), F.col("part").alias("of_"), (F.sum("k").over(up) - F.col("k")).alias("i_"), (F.sum("t").over(up) - F.col("t")).alias("before_"))
@@ -121,16 +131,58 @@ def one_of_each(turns: DataFrame, places: DataFrame) -> DataFrame:
     return lookup(rows, some, KEY, "left_anti").unionByName(repeated)
 
 
+def _entries(counts: DataFrame, budget: int) -> DataFrame:
+    """conv_, block_, entry, next of every block of long conversations: the first window start in the block, as a place in it, and the first in the blocks after it (or the end).
+
+    A window has at most budget // FRAME turns (or is one longer turn), so the first
+    start of a block is among its first turns, or in a later block. Each block says
+    where the last window begins that follows from each such start; one pass over
+    these few numbers of a conversation's blocks then carries the open window's
+    start from block to block.
+    """
+    reach = budget // FRAME + 2
+    size = lambda t: t["before"] + t["tokens"]  # noqa: E731  tokens up to a turn's end
+    # the turn that begins the next window after one that begins at x
+    after = lambda x, i: i + 1 + F.size(F.filter(F.slice("t", i + 2, reach), lambda y: size(y) - x["before"] <= budget))
+    back = F.sequence(F.size("t") - 1, F.lit(0), F.lit(-1))
+    last = F.aggregate(back, F.array().cast("array<int>"), lambda a, i: F.concat(F.array(F.when(F.get("next_", i) >= F.size("t"), i).otherwise(F.get(a, F.get("next_", i) - i - 1))), a))
+    some = counts.withColumn("next_", F.transform("t", after)).withColumn("last_", F.slice(last, 1, reach))
+    few = some.select("conv_id", "block", F.transform(F.slice("t", 1, reach), size).alias("sizes"), F.transform("last_", lambda k: F.get("t", k)["before"]).alias("starts"), (F.element_at("t", -1)["i"] + 1).alias("end"))
+    whole = few.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "sizes", "starts"))).alias("b"), F.max("end").alias("n"))
+    zero = F.struct(F.lit(None).cast("long").alias("open"), F.array().cast("array<struct<block:bigint,entry:int>>").alias("found"))
+
+    def step(a, b):
+        # sizes ascend, so the first that is too much follows those that are not; block 0 begins with its first turn
+        fit = F.when(a["open"].isNull(), 0).otherwise(F.size(F.filter(b["sizes"], lambda x: x - a["open"] <= budget)))
+        return let(fit, lambda k: F.struct(F.coalesce(F.get(b["starts"], k), a["open"]).alias("open"), F.concat(a["found"], F.array(F.struct(b["block"].alias("block"), F.when(k < F.size(b["sizes"]), k).alias("entry")))).alias("found")))
+
+    found = whole.select("conv_id", "n", F.explode(F.aggregate("b", zero, step, lambda a: a["found"])).alias("f")).select("conv_id", "n", "f.*")
+    later = Window.partitionBy("conv_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    first = F.first(F.when(F.col("entry").isNotNull(), F.col("block") * BLOCK + F.col("entry")), ignorenulls=True).over(later)
+    return found.select(F.col("conv_id").alias("conv_"), F.col("block").alias("block_"), "entry", F.coalesce(first, "n").alias("next"))
+
+
 def spans(places: DataFrame, budget: int) -> DataFrame:
     """conv_id, window, first, end, start (tokens before it) of every window; the token counts of BLOCK turns are gathered."""
     block = F.floor(F.col("i") / BLOCK).alias("block")
     counts = places.groupBy("conv_id", block).agg(F.sort_array(F.collect_list(F.struct("i", "before", "tokens"))).alias("t"))
+    long = stash(places.where(F.col("i") == BLOCK).select(F.col("conv_id").alias("long_")), "long")
+    if long.limit(1).count():
+        side = F.broadcast(long) if fits(long) else long
+        entries = stash(_entries(counts.join(side, F.col("conv_id").eqNullSafe(F.col("long_")), "left_semi"), budget), "entries")
+        same = F.col("conv_id").eqNullSafe(F.col("conv_")) & (F.col("block") == F.col("block_"))
+        counts = counts.join(F.broadcast(entries) if fits(entries) else entries, same, "left")
+        counts = counts.withColumn("entry", F.when(F.col("block_").isNull(), 0).otherwise(F.col("entry"))).where("entry is not null")
+    else:
+        counts = counts.withColumns({"entry": F.lit(0), "next": F.lit(None).cast("long")})
+    n = F.coalesce("next", F.element_at("t", -1)["i"] + 1)
+    counts = counts.select("conv_id", "block", n.alias("n"), F.slice("t", F.col("entry") + 1, F.size("t")).alias("t"))
     head = F.get("t", F.lit(0))
     zero = F.array(F.struct(head["i"].alias("first"), head["before"].alias("start")))
     # a window ends before the first turn that would take it over the budget
     over = lambda a, t: (t["i"] > head["i"]) & (t["before"] + t["tokens"] - F.element_at(a, -1)["start"] > budget)
     cut = lambda a, t: F.when(over(a, t), F.concat(a, F.array(F.struct(t["i"].alias("first"), t["before"].alias("start"))))).otherwise(a)
-    starts = counts.select("conv_id", "block", (head["i"] + F.size("t")).alias("n"), F.aggregate("t", zero, cut).alias("s"))
+    starts = counts.select("conv_id", "block", "n", F.aggregate("t", zero, cut).alias("s"))
     every = F.transform("s", lambda s, k: F.struct((F.col("block") * BLOCK + k).alias("window"), s["first"].alias("first"), F.coalesce(F.get("s", k + 1)["first"], F.col("n")).alias("end"), s["start"].alias("start")))
     return starts.select("conv_id", F.explode(every).alias("s")).select("conv_id", "s.*")
 
@@ -193,7 +245,7 @@ WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(
 t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS n,
              length('<|im_start|>' || regexp_replace(role, '<(\|+)', '<|\1', 'g') || chr(10) || regexp_replace(text, '<(\|+)', '<|\1', 'g') || '<|im_end|>' || chr(10)) AS chars FROM c),
 g(conv_id, i, first, used) AS (SELECT conv_id, 1::BIGINT, 1::BIGINT, n FROM t WHERE i = 1
-  UNION ALL SELECT t.conv_id, t.i, CASE WHEN g.used + t.n > 400 OR (t.i - 1) % 4096 = 0 THEN t.i ELSE g.first END, CASE WHEN g.used + t.n > 400 OR (t.i - 1) % 4096 = 0 THEN t.n ELSE g.used + t.n END
+  UNION ALL SELECT t.conv_id, t.i, CASE WHEN g.used + t.n > 400 THEN t.i ELSE g.first END, CASE WHEN g.used + t.n > 400 THEN t.n ELSE g.used + t.n END
   FROM g JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.i = g.i + 1),
 w AS (SELECT DISTINCT conv_id, first FROM g WHERE first > 1),
 h AS (SELECT w.conv_id, sum(CASE WHEN t.i = 1 AND t.role = 'system' THEN t.chars

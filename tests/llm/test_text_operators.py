@@ -464,12 +464,13 @@ def test_chat_clashing_names(spark):
     assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == plain_digest([("user", "a"), ("assistant", "b")])
 
 
-@pytest.mark.parametrize("block, hot", [(4096, 40), (8, 1_000_000), (8, 25)])
+@pytest.mark.parametrize("block, hot", [(4096, 40), (8, 1_000_000), (8, 25), (1, 1_000_000), (31, 1_000_000)])
 def test_chat_hot_conversations(spark, monkeypatch, talks, block, hot):
-    """Conversations that are summed in parts and cut in blocks give the same turns; windows keep to the budget and begin at each block."""
+    """Conversations that are summed in parts and cut in blocks give the same turns; windows are those of one pass, over blocks of any size."""
     monkeypatch.setattr(chat_format, "BLOCK", block)
     monkeypatch.setattr(chat_format, "HOT", hot)
-    long = [(c, None if t < 2 else t - t % 3, "assistant" if t % 2 else "user", f"{t:03} " + "w " * (t % 50), 0, "") for c in (500, None) for t in range(120)]
+    far = lambda t: t if t < 110 else 10**15 + t  # noqa: E731  turn numbers with a far outlier
+    long = [(c, None if t < 2 else far(t - t % 3), "assistant" if t % 2 else "user", f"{t:03} " + "w " * (t % 50), 0, "") for c in (500, None) for t in range(120)]
     rows = [r for r in talks if r[0] is not None] + long
     want = defaultdict(list)
     for c, _, role, text, *_ in sorted(rows, key=lambda r: (r[0] or -1, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
@@ -484,7 +485,7 @@ def test_chat_hot_conversations(spark, monkeypatch, talks, block, hot):
         tokens = [len(re.findall(r"[^\x20\x09-\x0D]+", t)) + chat_format.FRAME for _, t in turns]
         plain, first = [], 0
         for i in range(1, len(tokens) + 1):
-            if i == len(tokens) or i % block == 0 or sum(tokens[first : i + 1]) > 100:
+            if i == len(tokens) or sum(tokens[first : i + 1]) > 100:
                 plain.append((first, i, sum(tokens[:first])))
                 first = i
         own = sorted(spans[c])
@@ -535,6 +536,15 @@ def test_chat_long_conversation(spark):
     assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == plain_digest([(r[2], r[3]) for r in rows])
 
 
+def test_parts_of_far_turn_numbers(spark, monkeypatch):
+    """One outlier does not put all other turns into one part."""
+    monkeypatch.setattr(chat_format, "HOT", 100)
+    turns = spark.createDataFrame([(1, t if t else 10**17, "user", 3) for t in range(1000)], "conv_id long, turn long, role string, tokens long")
+    parted, before = chat_format._in_parts(turns)
+    sizes = [r["count"] for r in parted.groupBy("part").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 200 and before.count() == len(sizes)
+
+
 def test_chat_empty(spark):
     assert chat_format.digest(spark.createDataFrame([], ROWS)).count() == 0
 
