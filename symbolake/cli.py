@@ -108,7 +108,7 @@ def scan(a) -> tuple[dict, list[str]]:
     try:
         built = snapshot.build(spark, root, a.ignore, previous, a.parser)
         if is_store(a.out):
-            kept = snapshot.load(spark, snapshot.save(built, a.out))
+            kept = snapshot.load(spark, snapshot.save(built, a.out, a.find_index))
             n = lookup.totals(kept.files, kept.symbols, kept.imports, kept.calls)
         else:
             made = snapshot.export(built)
@@ -137,7 +137,7 @@ def _listed(found: list[dict], say) -> list[str]:
 
 
 def find(a):
-    found = rows(lookup.find(_symbols(a).symbols, a.pattern).orderBy("ord"), *HIT[1:])
+    found = rows(snapshot.find(_symbols(a), a.pattern).orderBy("ord"), *HIT[1:])
     text = _listed(found, lambda r: f"  {r['name']}  {r['file']}:{r['line']}  {r['signature']}")
     return {"pattern": a.pattern, "count": len(found), "results": found}, [*text, f"{len(found)} result(s)"]
 
@@ -279,7 +279,7 @@ def parser() -> argparse.ArgumentParser:
 
     # Commands, options and their defaults.
     codex, index = {"codex": "codex.json"}, {"index": "semantic_index.json"}
-    p = add("scan", scan, "root", out="codex.json", ignore=[])
+    p = add("scan", scan, "root", out="codex.json", ignore=[], find_index=False)
     p.add_argument("--parser", default="auto", choices=["auto", "regex", "treesitter", "outline"])
     add("find", find, "pattern", **codex)
     add("section", section, "name", **codex)

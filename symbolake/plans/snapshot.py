@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from symbolake.functions import number, text
 from symbolake.model import CALLS, EDGE_LANGUAGE, FILES, IMPORTS, LANGUAGES, SNAPSHOT_VERSION, SYMBOLS
-from symbolake.operators import extract
+from symbolake.operators import extract, lookup, trigrams
 from symbolake.sources.tree import read_tree
 
 TABLES = {"files": FILES, "symbols": SYMBOLS, "imports": IMPORTS, "calls": CALLS}
@@ -29,6 +29,8 @@ class Snapshot:
     schema_version: int = SNAPSHOT_VERSION
     parser: str = "auto"
     held: list[DataFrame] = field(default_factory=list)
+    #: Where the tables are stored, if they are.
+    path: str = ""
 
     def release(self) -> None:
         """Let go of what ``build`` keeps in storage while the tables are written."""
@@ -128,14 +130,19 @@ def placed(snapshot: Snapshot) -> Snapshot:
     return Snapshot(snapshot.files, symbols, snapshot.imports, snapshot.calls, snapshot.root, snapshot.schema_version, snapshot.parser)
 
 
-def save(snapshot: Snapshot, folder: str) -> str:
-    """Store the tables as Parquet under a new version of ``folder``; symbols are partitioned by section. Returns the version's path."""
+def save(snapshot: Snapshot, folder: str, find_index: bool = False) -> str:
+    """Store the tables as Parquet under a new version of ``folder``; symbols are partitioned by section. Returns the version's path.
+
+    ``find_index`` adds an index for substring searches, which holds the symbols once more.
+    """
     path = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
     for name in TABLES:
         writer = getattr(snapshot, name).write
         (writer.partitionBy("section") if name == "symbols" else writer).parquet(f"{path}/{name}")
     meta = "root string, schema_version int, parser string"
     spark = snapshot.files.sparkSession
+    if find_index:
+        trigrams.build(spark.read.schema(SYMBOLS).parquet(f"{path}/symbols"), path)
     # written last: a version without it is not complete
     spark.createDataFrame([(snapshot.root, SNAPSHOT_VERSION, snapshot.parser)], meta).withColumn("saved", F.current_timestamp()).coalesce(1).write.parquet(f"{path}/meta")
     return path
@@ -157,7 +164,13 @@ def load(spark: SparkSession, path: str) -> Snapshot:
     if meta["schema_version"] != SNAPSHOT_VERSION:
         raise ValueError(f"snapshot {path} has version {meta['schema_version']}, expected {SNAPSHOT_VERSION}: scan again")
     tables = {n: spark.read.schema(kind).parquet(f"{path}/{n}") for n, kind in TABLES.items()}
-    return Snapshot(**tables, root=meta["root"], schema_version=meta["schema_version"], parser=meta["parser"])
+    return Snapshot(**tables, root=meta["root"], schema_version=meta["schema_version"], parser=meta["parser"], path=path)
+
+
+def find(snapshot: Snapshot, pattern: str) -> DataFrame:
+    """Symbols that contain a pattern; by the stored index where there is one."""
+    index = trigrams.load(snapshot.files.sparkSession, snapshot.path) if snapshot.path else None
+    return lookup.find(snapshot.symbols, pattern) if index is None else trigrams.find(index, pattern).rows
 
 
 def normalised(symbols: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from symbolake.functions import entry_hash, entry_key, entry_text, last_segment, tables
 from symbolake.model import HIT
-from symbolake.operators import clusters, diff, extract, index, lookup, vectors
+from symbolake.operators import clusters, diff, extract, index, lookup, trigrams, vectors
 from symbolake.plans import snapshot, workspace
 from symbolake.plans.ranking import digits, joined, ranked
 from symbolake.providers import Local, embed_table
@@ -100,10 +100,37 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT doc_id AS ord, source AS name FROM documents WHERE contains(lower(coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || coalesce(text, '') || ' doc' || doc_id), 'reth o')")
+def documents_as_symbols(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(
+        F.lit("s").alias("section"), F.col("source").alias("name"), F.concat(F.lit("doc"), F.col("doc_id")).alias("file"), F.lit(1).alias("line"),
+        F.col("lang").alias("signature"), F.col("text").alias("docstring"), F.lit("").alias("language"), F.col("doc_id").alias("ord"),
+    )
+
+
+FOUND = "SELECT doc_id AS ord, source AS name FROM documents WHERE contains(lower(coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || coalesce(text, '') || ' doc' || doc_id), '{}')"
+
+
+@query(FOUND.format("reth o"))
 def find_substring(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("name"), F.col("lang").alias("signature"), F.col("text").alias("docstring"), F.concat(F.lit("doc"), F.col("doc_id")).alias("file"))
-    return lookup.find(docs, "ReTh o").select("ord", "name")
+    return lookup.find(documents_as_symbols(spark, sf_dir), "ReTh o").select("ord", "name")
+
+
+def _find_indexed(spark, sf_dir, pattern):
+    path = workspace.new_path(spark, "find-index")
+    trigrams.build(documents_as_symbols(spark, sf_dir), path, rows=8)
+    return trigrams.find(trigrams.load(spark, path), pattern)
+
+
+@query(FOUND.format("reth o"))
+def find_indexed(spark, sf_dir):
+    return _find_indexed(spark, sf_dir, "ReTh o").rows.select("ord", "name")
+
+
+@query(FOUND.format("doc177").replace("AS name", "AS name, true AS parts_left_unread"))
+def find_indexed_rare(spark, sf_dir):
+    """A pattern that few parts can hold; the others are not read."""
+    got = _find_indexed(spark, sf_dir, "DOC177")
+    return got.rows.select("ord", "name", F.lit(2 * got.parts_read < got.parts).alias("parts_left_unread"))
 
 
 @query(f"SELECT ord, name, file, line, signature FROM ({PART}) WHERE section = 'PROMO'")
