@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from symbolake.functions import dot, recentred
 from symbolake.model import GATE_MIN_POPULATION, SEARCH_K, SIMILAR_K, TOP_K
+from symbolake.operators import exact
 
 #: Vectors on a side of a block of pairs.
 BLOCK = 2048
@@ -40,34 +41,15 @@ def _matrix(column, dim: int | None = None) -> np.ndarray:
 def centroid(vectors: DataFrame, column: str = "vector") -> list[float]:
     """Mean of the non-empty vectors, not normalised; [] without any. Vectors of unequal length are an error.
 
-    Each task adds up its vectors; the driver receives one row for each element.
+    Sums are exact, so the mean does not depend on the order or the partitions of rows.
     """
     some = vectors.where(F.size(F.coalesce(column, F.array().cast("array<double>"))) > 0)
-
-    def part(batches):
-        n, total, low, high = 0, 0.0, None, 0
-        for batch in batches:
-            size = np.diff(batch.column(0).offsets.to_numpy())
-            if not len(size):
-                continue
-            low, high = int(size.min() if low is None else min(low, size.min())), int(max(high, size.max()))
-            if low == high:
-                n, total = n + len(size), total + _matrix(batch.column(0), high).sum(0)
-        if low is not None:
-            x = total if low == high else np.zeros(high)
-            yield pa.RecordBatch.from_pydict({
-                "i": pa.array(range(high), pa.int32()), "x": pa.array(x, pa.float64()), "n": pa.array([n] * high, pa.int64()),
-                "low": pa.array([low] * high, pa.int32()), "high": pa.array([high] * high, pa.int32()),
-            })
-
-    sums = some.select(F.col(column).cast("array<double>").alias("v")).mapInArrow(part, "i int, x double, n long, low int, high int")
-    rows = sums.groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("i").collect()
-    if not rows:
+    low, high = some.agg(F.min(F.size(column)), F.max(F.size(column))).first()
+    if low is None:
         return []
-    low, high = min(r["low"] for r in rows), max(r["high"] for r in rows)
     if low != high:
         raise ValueError(f"vectors have between {low} and {high} elements")
-    return [r["x"] / r["n"] for r in rows]
+    return exact.column_means(lambda batch: _matrix(batch.column(0), high), some.select(F.col(column).cast("array<double>").alias("v")))
 
 
 def literal(vector: list[float]) -> Column:
@@ -81,16 +63,11 @@ def recentre(vectors: DataFrame, centre: list[float], column: str = "vector", ou
 def gate(scored: DataFrame, k: float, column: str = "score", minimum: int = GATE_MIN_POPULATION) -> DataFrame:
     """Rows whose score is at least mean + k * deviation of all rows.
 
-    Scores are compared after the smallest one is taken off, so that equal
-    scores all pass. One aggregation gives all that the cutoff needs.
+    Mean and deviation are exact before they are rounded once, so that equal scores
+    all pass, and near-equal ones pass alike however the rows are dealt.
     """
-    score = F.col(column)
-    n, low, high, mean, sd = scored.agg(F.count(score), F.min(score), F.max(score), F.avg(score), F.stddev_pop(score)).first()
-    if n < minimum:
-        return scored
-    if low == high:
-        return scored.where(score.isNotNull())
-    return scored.where(score - F.lit(low) >= F.lit((mean - low) + k * sd))
+    n, mean, sd = exact.mean_and_deviation(scored, column)
+    return scored if n < minimum else scored.where(F.col(column) >= F.lit(mean + k * sd))
 
 
 def scores(entries: DataFrame, query: list[float], centre: list[float]) -> DataFrame:

@@ -1,0 +1,52 @@
+import random
+import statistics
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from symbolake.operators import exact, vectors
+
+HARD = [
+    [0.1] * 10, [1e16, 1.0, -1e16], [1e308, -1e308, 3.0], [5e-324, 1.0], [0.0, -0.0], [1 / 3, 2 / 3, 1e-9], [], [7.25],
+    [random.Random(1).gauss(0, 1) * 10 ** random.Random(i).randint(-20, 20) for i in range(300)],
+]
+
+
+@pytest.mark.parametrize("values", HARD)
+def test_sums_are_exact(values):
+    got = sum((Fraction(float(s[0])) for s in exact.column_sums(np.array(values, float).reshape(-1, 1))), Fraction())
+    assert got == sum(map(Fraction, values), Fraction())
+    assert sum(map(Fraction, exact.expansion(got)), Fraction()) == got
+
+
+def test_squares_are_exact():
+    x = np.array([random.Random(i).gauss(0, 3) * 10 ** (i % 9 - 4) for i in range(200)])
+    assert sum(map(Fraction, exact.squares(x).tolist()), Fraction()) == sum((Fraction(v) ** 2 for v in x.tolist()), Fraction())
+    with pytest.raises(ValueError, match="too large"):
+        exact.squares(np.array([1e200]))
+    with pytest.raises(ValueError, match="finite"):
+        exact.column_sums(np.array([[np.inf]]))
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_same_bits_for_any_partitioning(spark, parts):
+    rnd = random.Random(5)
+    near = [0.7 + rnd.randint(0, 3) * 2**-53 for _ in range(200)] + [rnd.uniform(-1, 1) for _ in range(100)]
+    df = spark.createDataFrame([(x,) for x in near] + [(None,)], "score double").repartition(parts)
+    assert exact.mean_and_deviation(df, "score") == (300, statistics.mean(near), statistics.pstdev(near))
+    vs = [[rnd.uniform(-1, 1), 0.1, 0.0] for _ in range(90)]
+    e = spark.createDataFrame([(v,) for v in vs], "vector array<double>").repartition(parts)
+    assert vectors.centroid(e) == [statistics.mean(x) for x in zip(*vs, strict=True)]
+
+
+def test_gate_is_that_of_rational_arithmetic(spark):
+    """Scores within a rounding of the cutoff pass or not as exact mean and deviation say, however the rows are dealt."""
+    rnd = random.Random(9)
+    for trial in range(4):
+        base = [rnd.choice((0.25, 0.5, 0.75)) + rnd.randint(0, 2) * 2**-54 for _ in range(60)]
+        cutoff = statistics.mean(base) + 1.0 * statistics.pstdev(base)
+        want = sorted(x for x in base if x >= cutoff)
+        for parts in (1, 5):
+            df = spark.createDataFrame([(x,) for x in base], "score double").repartition(parts)
+            assert sorted(r.score for r in vectors.gate(df, 1.0).collect()) == want
