@@ -92,6 +92,22 @@ def test_join_in_many_packs_and_shuffled_lookups(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("size, bits", [(900, 27), (900, 6), (0, 14)])
+def test_more_ids_than_a_broadcast_move_no_text(spark, monkeypatch, odd_docs, size, bits):
+    """Ids beyond a broadcast select texts by a bitmap; where the bitmap is crowded or all ids share places, results stay."""
+    monkeypatch.setattr("symbolake.llm.base.BROADCAST_BYTES", size)
+    monkeypatch.setattr(jaccard_join, "MARK_BITS", bits, raising=False)
+    rows = corpus(11)
+    rows += [(i + 1000, t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert {tuple(r) for r in jaccard_join.jaccard_components(docs).collect()} == want
+    kept = jaccard_join.keep_first(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in want if i == c)
+    kept = jaccard_join.keep_first(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 7, 9, 10]
+
+
 def test_signature_pigeonhole():
     """Any two sets that link share a key or are both out of the index's reach only when equal."""
     rnd = np.random.default_rng(4)
