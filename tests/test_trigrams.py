@@ -30,6 +30,22 @@ def test_same_rows_as_a_scan(spark, symbols, tmp_path):
     assert "PartitionFilters: []" not in rare.rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_parts_keep_their_size_beyond_the_folders(spark, symbols, tmp_path, monkeypatch):
+    """More parts than folders: a rare pattern still leaves most parts unread, and all rows are found, named or joined."""
+    for name in ("PARTS", "FOLDERS"):
+        monkeypatch.setattr(trigrams, name, 3, raising=False)
+    many = spark.range(4000).selectExpr("'s' section", "'n' name", "concat('doc', id) file", "1 line", "'' signature", "'' docstring", "'' language", "id ord")
+    trigrams.build(many, str(tmp_path / "m"), rows=8)
+    index = trigrams.load(spark, str(tmp_path / "m"))
+    assert index.symbols.count() == 4000
+    for named in (4096, 1):
+        monkeypatch.setattr(trigrams, "NAMED", named, raising=False)
+        for pattern in ("DOC177", "doc", "39 ", "zzz"):
+            got = trigrams.find(index, pattern)
+            assert sorted(r.ord for r in got.rows.collect()) == sorted(r.ord for r in lookup.find(many, pattern).collect())
+        assert 0 < 2 * trigrams.find(index, "DOC177").parts_read < index.parts
+
+
 def test_grams_of_odd_texts(spark):
     df = spark.createDataFrame([("",), ("ab",), ("abc",), ("abcabc",), (None,)], "t string")
     assert [None if r[0] is None else len(r[0]) for r in df.select(trigrams.grams(F.col("t"))).collect()] == [0, 0, 1, 3, None]
