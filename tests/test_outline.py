@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from symbolake import queries
 from symbolake.functions import tables
 from symbolake.operators import extract, outline
 from symbolake.sources import datasource, tree
@@ -190,3 +192,25 @@ def test_tree_listed_by_tasks(spark, tmp_path, folders):
     assert got == sorted(tree.read_tree(spark, tmp_path, ["a-b/*"]).select("ord", "file", "ext", "content", "sha256").collect(), key=key) and len(got) == 6
     (tmp_path / "empty").mkdir()
     assert datasource.read_tree(spark, tmp_path / "empty").count() == 0
+
+
+@pytest.mark.parametrize("ext, text", [("py", "def f(): pass"), ("js", "function f() {}"), ("sql", "def f(): pass")])
+def test_files_of_one_part_are_parsed_by_many_tasks(spark, sf, ext, text):
+    """A table that comes in one part is dealt to all cores before its files are parsed."""
+    if ext == "sql":
+        rows = queries.python_symbols_in_sql(spark, sf)
+    else:
+        files = spark.range(0, 200, 1, 1).selectExpr("id ord", f"concat('f', id, '.{ext}') file", f"'.{ext}' ext", f"cast('{text}' as binary) content")
+        rows = extract.symbols_of(extract.python_table(files)) if ext == "py" else extract.generic_symbols(files, "outline")
+        assert rows.count() == 200
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_table_functions_get_rows_in_batches(spark):
+    """Not as an Arrow table for each row."""
+    tables.register(spark)
+    files = spark.createDataFrame([(k, f"def f{k}(): pass") for k in range(20)], "k long, content string")
+    files.createOrReplaceTempView("few_files")
+    rows = spark.sql("SELECT k, s.name FROM few_files, LATERAL python_symbols(content) s")
+    assert sorted(rows.collect()) == [(k, f"f{k}") for k in range(20)]
+    assert "BatchEvalPythonUDTF" in rows._jdf.queryExecution().executedPlan().toString()
