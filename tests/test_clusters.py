@@ -113,3 +113,27 @@ def test_stored_index_searches_its_clusters(spark, tmp_path):
     assert ids(found) == ids(vectors.search(e, q, index.centroid))
     assert "PartitionFilters: []" not in found._jdf.queryExecution().executedPlan().toString()
     assert stored.rows.where(F.size("vector") > 0).count() == 237
+
+
+@pytest.mark.parametrize("strip, tile", [(32768, 1 << 22), (40, 64)])
+def test_links_are_the_pairs_counted(spark, monkeypatch, strip, tile):
+    """Counts of links, by strips of blocks and without writing a pair, are those of the pairs."""
+    for name, value in (("STRIP", strip), ("TILE", tile)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    rnd = np.random.default_rng(8)
+    rows = (rnd.normal(size=(200, 6)) + 3 * np.eye(6)[rnd.integers(0, 6, 200)]).tolist()
+    rows[7] = rows[150] = rows[3]
+    e = spark.createDataFrame([(i, str(i % 3), f"f{i % 9}", v) for i, v in enumerate(rows)], "ord long, section string, file string, vector array<double>")
+    centre = vectors.centroid(e)
+    pairs = [(r.a, r.b) for r in vectors.similar_pairs(e, centre, 1.0).collect()]
+    count = lambda kept: {i: n for i in range(200) if (n := sum(i in p for p in kept))}
+    links, own = count(pairs), count([p for p in pairs if p[0] % 9 == p[1] % 9])
+    for got in (vectors.similar_links(e, centre, 1.0, block=16), clusters.similar_links(e, centre, 1.0, 16).rows):
+        got = got.collect()
+        assert {r.ord: r.links for r in got} == links and {r.ord: r.same_file for r in got if r.same_file} == own
+    third = {r.ord: r.links for r in vectors.similar_links(e, centre, 1.0, "2", 16).collect()}
+    assert third == count([p for p in pairs if p[0] % 3 == p[1] % 3 == 2])
+    rows = {r.ord: (r.class_id, r.links) for r in vectors.with_links(e, vectors.similar_links(e, centre, 1.0)).collect()}
+    assert len(rows) == 200 and {i for i, (c, _) in rows.items() if c == 3} == {3, 7, 150} and {i: n for i, (_, n) in rows.items() if n} == links
+    none = spark.createDataFrame([], e.schema)
+    assert vectors.similar_links(none, [], 1.0).count() == 0 and clusters.similar_links(none, [], 1.0).rows.count() == 0
